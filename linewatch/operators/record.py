@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def record_features(
     if split.hot is not None:
         parts.append(_chunked(split))
     measured = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return _columns(measured)
+    return record_columns(measured)
 
 
 def _one_shuffle(base: DataFrame) -> DataFrame:
@@ -109,7 +111,8 @@ def _far() -> Column:
     return F.count_if((spread > 0) & (F.abs(F.col("mean") - F.col("_center")) / spread > Z_LIMIT))
 
 
-def _columns(measured: DataFrame) -> DataFrame:
+def record_columns(measured: DataFrame, keys: Sequence[str] = tuple(PAIR_KEYS)) -> DataFrame:
+    """Output columns from the measured group statistics; shared with the streaming form."""
     span = F.col("ts_max") - F.col("ts_min")
     judged = (F.col("n") > 2) & (F.col("lists") > 1) & (F.col("mean_std") > 0)
     widest = F.greatest(F.col("mean_max") - F.col("mean_avg"), F.col("mean_avg") - F.col("mean_min"))
@@ -135,5 +138,5 @@ def _columns(measured: DataFrame) -> DataFrame:
         "registers_accessed": F.col("registers"),
     }
     return measured.select(
-        *PAIR_KEYS, *[F.coalesce(named[c].cast("double"), F.lit(0.0)).alias(c) for c in ROLLUP_COLUMNS]
+        *keys, *[F.coalesce(named[c].cast("double"), F.lit(0.0)).alias(c) for c in ROLLUP_COLUMNS]
     )

@@ -55,7 +55,7 @@ def register_features(
     if split.hot is not None:
         parts.append(_chunked(split, min_count, extra))
     measured = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return _columns(measured, window_seconds, list(extra))
+    return register_columns(measured, window_seconds, list(extra))
 
 
 def _one_shuffle(base: DataFrame, min_count: int, extra: Mapping[str, Column]) -> DataFrame:
@@ -147,12 +147,18 @@ def _row_counts() -> list[Column]:
     ]
 
 
-def _columns(measured: DataFrame, window_seconds: float, extra: Sequence[str]) -> DataFrame:
+def register_columns(
+    measured: DataFrame,
+    window_seconds: float,
+    extra: Sequence[str] = (),
+    keys: Sequence[str] = tuple(REGISTER_KEYS),
+) -> DataFrame:
+    """Output columns from the measured group statistics; shared with the streaming form."""
     n, mean, std = F.col("n"), F.col("mean"), F.col("std")
     low, high = F.col("low"), F.col("high")
     widest = F.greatest(high - mean, mean - low) / (std + F.lit(EPSILON))
     return measured.select(
-        *REGISTER_KEYS,
+        *keys,
         mean.alias("value_mean"),
         std.alias("value_std"),
         low.alias("value_min"),
@@ -172,14 +178,15 @@ def _columns(measured: DataFrame, window_seconds: float, extra: Sequence[str]) -
     )
 
 
-def pair_rollup(register_windows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+def pair_rollup(
+    register_windows: DataFrame, extra: Sequence[str] = (), keys: Sequence[str] = tuple(PAIR_KEYS)
+) -> DataFrame:
     """Registers of a device pair in one window become one row; extra measures are averaged."""
-    r = register_windows
 
     def number(e: Column, name: str) -> Column:
         return e.cast("double").alias(name)
 
-    return r.groupBy(*PAIR_KEYS).agg(
+    return register_windows.groupBy(*keys).agg(
         F.avg("value_mean").alias("value_mean_mean"),
         F.stddev_samp("value_mean").alias("value_mean_std"),
         F.min("value_mean").alias("value_mean_min"),
