@@ -94,3 +94,25 @@ def chunked_neighbours(
             *[F.col("_prev")[c].alias(f"prev_{c}") for c in carry],
         )
     )
+
+
+def neighbour_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    carry: Sequence[str],
+    max_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Rows that have a predecessor in their key, next to its values as ``prev_<c>``."""
+    split = split_hot(df, keys, max_rows)
+    payload = [c for c in dict.fromkeys([*order, *carry]) if c not in keys]
+    parts = []
+    if split.cold is not None:
+        window = Window.partitionBy(*keys).orderBy(*order)
+        lagged = split.cold.select(
+            *keys, *payload, *[F.lag(c).over(window).alias(f"prev_{c}") for c in carry], F.row_number().over(window).alias("_rn")
+        )
+        parts.append(lagged.filter(F.col("_rn") > 1).drop("_rn"))
+    if split.hot is not None:
+        parts.append(chunked_neighbours(split.hot, keys, order, carry, split.chunks))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
