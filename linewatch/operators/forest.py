@@ -135,9 +135,10 @@ def fit_forest(
 ) -> ForestModel:
     """Standardise, draw one sample per tree and grow the trees. ``keys`` must identify a row."""
     cols = list(cols)
-    scaler = scaler or fit_scaler(df, cols)
+    if scaler is None:
+        scaler = fit_scaler(df, cols)
     scaled = apply_scaler(df.select(*keys, *cols), scaler)
-    rows = df.count()
+    rows = scaler.rows if scaler.rows is not None else df.count()
     if rows == 0:
         raise ValueError("no rows to fit a forest on")
     psi = min(sample_size, rows)

@@ -20,6 +20,7 @@ class Scaler:
     columns: tuple[str, ...]
     means: tuple[float, ...]
     scales: tuple[float, ...]
+    rows: int | None = None  # how many rows it was fitted on
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = list(zip(range(len(self.columns)), self.columns, self.means, self.scales, strict=True))
@@ -48,8 +49,13 @@ def prepare(features: DataFrame, label: str | None = None) -> tuple[DataFrame, l
 
 def scaler_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(position, feature, mean, scale)`` from one aggregation."""
+    return _moments(df, cols).select("position", "feature", "mean", "scale")
+
+
+def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cleaned = {c: X.clean_number(F.col(c)) for c in cols}
     stats = df.agg(
+        F.count(F.lit(1)).alias("rows"),
         *[F.avg(x).alias(f"m_{c}") for c, x in cleaned.items()],
         *[F.stddev_pop(x).alias(f"s_{c}") for c, x in cleaned.items()],
     )
@@ -62,11 +68,18 @@ def scaler_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         )
         for i, c in enumerate(cols)
     ]
-    return stats.select(F.inline(F.array(*rows)))
+    return stats.select("rows", F.inline(F.array(*rows)))
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> Scaler:
-    return Scaler.from_frame(scaler_table(df, cols))
+    """One pass over the features; also notes the number of rows."""
+    found = sorted(_moments(df, cols).collect(), key=lambda r: r["position"])  # one row per feature
+    return Scaler(
+        tuple(r["feature"] for r in found),
+        tuple(r["mean"] for r in found),
+        tuple(r["scale"] for r in found),
+        found[0]["rows"],
+    )
 
 
 def apply_scaler(df: DataFrame, scaler: Scaler) -> DataFrame:

@@ -32,7 +32,7 @@ QUARTER = 21_600
 HOUR = 3_600
 CODES = ["f0", "f1", "f2", "f3"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-THRESHOLD = -0.45
+THRESHOLD = -0.687
 CONTAMINATION = 0.1
 MODEL_COLUMNS = ["value_mean_mean", "read_count_sum", "inter_read_mean_mean"]
 # A small forest stated by hand: (feature number, split, low side, high side), or the path length of a leaf.
