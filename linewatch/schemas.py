@@ -69,7 +69,8 @@ RAW_TSV_COLUMNS = [
     "ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "track_address",
     "unit_id", "func", "network_direction", "register_start", "register_count", "response_values",
 ]
-RAW_TSV = _struct(*[(c, T.StringType()) for c in RAW_TSV_COLUMNS])
+EXTRA = "_extra"  # set where a line has more fields than the log format
+RAW_TSV = _struct(*[(c, T.StringType()) for c in [*RAW_TSV_COLUMNS, EXTRA]])
 
 _FEATURES = [(c, T.DoubleType()) for c in PAIR_FEATURE_COLUMNS]
 PAIR_FEATURES = _struct(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewatch.functions import exprs as X
-from linewatch.schemas import CORRUPT, RAW_JSON, RAW_TSV, READING
+from linewatch.schemas import CORRUPT, EXTRA, RAW_JSON, RAW_TSV, READING
 
 
 def normalise(raw: DataFrame) -> DataFrame:
@@ -58,15 +58,9 @@ def line_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_readings_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Headerless tab-separated logs; comment lines and lines with too many fields are skipped."""
-    raw = (
-        spark.read.schema(RAW_TSV)
-        .option("sep", "\t")
-        .option("comment", "#")
-        .option("mode", "DROPMALFORMED")
-        .csv(path)
-    )
-    return raw.select(
+    """Headerless tab-separated logs; comment lines and lines with too many fields are skipped, missing ones are NULL."""
+    raw = spark.read.schema(RAW_TSV).option("sep", "\t").option("comment", "#").csv(path)
+    return raw.filter(F.col(EXTRA).isNull()).select(
         X.numeric_timestamp(F.col("ts")).alias("ts"),
         "uid",
         F.col("`id.orig_h`").alias("src"),
