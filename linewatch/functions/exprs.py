@@ -63,22 +63,19 @@ def list_moments(values: Column) -> Column:
     return F.aggregate(values, start, step)
 
 
+def list_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def list_mean(values: Column) -> Column:
-    return list_moments(values)["mean"]
-
-
-def list_std(values: Column) -> Column:
-    """Population deviation, 0 for lists shorter than two."""
-    return F.aggregate(
-        values,
-        F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2")),
-        lambda acc, x: F.struct(
-            (acc["n"] + 1.0).alias("n"),
-            (acc["mean"] + (x - acc["mean"]) / (acc["n"] + 1.0)).alias("mean"),
-            (acc["m2"] + (x - acc["mean"]) * (x - acc["mean"]) * acc["n"] / (acc["n"] + 1.0)).alias("m2"),
-        ),
-        lambda acc: F.when(acc["n"] > 1, F.sqrt(acc["m2"] / acc["n"])).otherwise(0.0),
-    )
+    """0 for an empty list."""
+    return F.when(F.size(values) > 0, list_sum(values) / F.size(values)).when(values.isNotNull(), 0.0)
+
+
+def list_std(values: Column, mean: Column) -> Column:
+    """Population deviation around the given mean of the list, 0 for lists shorter than two."""
+    squares = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+    return F.when(F.size(values) > 1, F.sqrt(squares / F.size(values))).when(values.isNotNull(), 0.0)
 
 
 def list_range(values: Column) -> Column:

@@ -34,9 +34,8 @@ def exact_quantiles(
     rows = df.select(*by, F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
     if largest <= max_rows:
-        return rows.groupBy(*by).agg(
-            *[F.percentile("_v", F.lit(float(p))).alias(quantile_name(p)) for p in probs]
-        )
+        ranked = rows.groupBy(*by).agg(F.percentile("_v", [float(p) for p in probs]).alias("_ranks"))
+        return ranked.select(*by, *[F.get("_ranks", F.lit(i)).alias(quantile_name(p)) for i, p in enumerate(probs)])
     return _select_ranks(rows, probs, by, max_rows)
 
 

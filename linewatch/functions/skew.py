@@ -30,12 +30,14 @@ class Split:
     hot_keys: DataFrame | None = None
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> Split:
-    """Part ``df`` (keys not NULL) by group size.
+def split_hot(df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_GROUP_ROWS) -> Split:
+    """Part ``df`` (keys not NULL) by group size. ``None`` skips the count where groups are known to be small.
 
     The list of hot keys is broadcast only while it has at most ``MAX_HOT_KEYS`` entries; beyond that every row takes
     the chunked way, which is exact for any group size.
     """
+    if max_rows is None:
+        return Split(cold=df, hot=None)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     found = counts.filter(F.col("_n") > max_rows).limit(MAX_HOT_KEYS + 1).collect()
     if not found:
@@ -60,22 +62,31 @@ def join_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], split: Sp
     return rows.join(small, list(keys))
 
 
-def chunked_neighbours(
+def lay_out(
     hot: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str], chunks: int
 ) -> DataFrame:
-    """Every row of ``hot`` that has a predecessor in its key, with ``prev_<c>`` for each column in ``carry``."""
-    payload = list(dict.fromkeys([*order, *carry]))
+    """Rows of hot keys in chunks of (key, order), written once: every later use reads the same chunk borders and does
+    not scan the source again."""
+    payload = [c for c in dict.fromkeys([*order, *carry]) if c not in keys]
     placed = (
-        hot.select(*keys, *[c for c in payload if c not in keys])
+        hot.select(*keys, *payload)
         .repartitionByRange(max(chunks, 2), *keys, *order)
         .withColumn("_chunk", F.spark_partition_id())
     )
-    # Both uses below must see the same chunk borders, hence the written copy.
-    placed = materialise(placed)
+    return materialise(placed)
+
 
+def chunked_neighbours(
+    placed: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str]
+) -> DataFrame:
+    """Every laid-out row that has a predecessor in its key, with ``prev_<c>`` for each column in ``carry``."""
+    payload = [c for c in dict.fromkeys([*order, *carry]) if c not in keys]
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     inner = placed.select(
-        "*", *[F.lag(c).over(within).alias(f"prev_{c}") for c in carry], F.row_number().over(within).alias("_rn")
+        *keys,
+        *payload,
+        *[F.lag(c).over(within).alias(f"prev_{c}") for c in carry],
+        F.row_number().over(within).alias("_rn"),
     ).filter(F.col("_rn") > 1)
 
     row = F.struct(*payload)
@@ -85,12 +96,10 @@ def chunked_neighbours(
     )
     across = Window.partitionBy(*keys).orderBy("_chunk")  # a few chunks per key
     seams = ends.withColumn("_prev", F.lag("_last").over(across)).filter(F.col("_prev").isNotNull())
-
-    columns = [*keys, *[c for c in payload if c not in keys], *[f"prev_{c}" for c in carry]]
-    return inner.select(*columns).unionByName(
+    return inner.drop("_rn").unionByName(
         seams.select(
             *keys,
-            *[F.col("_first")[c].alias(c) for c in payload if c not in keys],
+            *[F.col("_first")[c].alias(c) for c in payload],
             *[F.col("_prev")[c].alias(f"prev_{c}") for c in carry],
         )
     )
@@ -114,5 +123,5 @@ def neighbour_rows(
         )
         parts.append(lagged.filter(F.col("_rn") > 1).drop("_rn"))
     if split.hot is not None:
-        parts.append(chunked_neighbours(split.hot, keys, order, carry, split.chunks))
+        parts.append(chunked_neighbours(lay_out(split.hot, keys, order, carry, split.chunks), keys, order, carry))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

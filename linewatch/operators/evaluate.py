@@ -129,7 +129,7 @@ def before_after(
     incidents: DataFrame,
     baseline_seconds: float = 30,
     observe_seconds: float = 360,
-    bucket_seconds: float = 3600,
+    bucket_seconds: float = 600,
 ) -> DataFrame:
     """Per incident: detections of its target in the baseline period before the start and in the period observed from
     the start on, their total and difference to the baseline, and whether anything new was detected."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewatch.functions import exprs as X
-from linewatch.functions.skew import MAX_GROUP_ROWS, Split, chunked_neighbours, join_stats, split_hot
+from linewatch.functions.skew import MAX_GROUP_ROWS, Split, chunked_neighbours, join_stats, lay_out, split_hot
 from linewatch.schemas import ORDER, PAIR_KEYS, ROLLUP_COLUMNS
 
 Z_LIMIT = 3.0
@@ -17,15 +17,15 @@ Z_LIMIT = 3.0
 def record_values(readings: DataFrame, window_seconds: float = 300) -> DataFrame:
     """One row per reading with the statistics of its value list; NULL lists have NULL statistics."""
     values = F.col("response_values")
-    base = readings.select(
+    base = readings.withColumn("mean", X.list_mean(values)).select(
         X.window_id(F.col("ts"), window_seconds).alias("time_window"),
         "src",
         "dst",
         "ts",
         "seq",
         F.coalesce("register_start", "address").alias("register"),
-        X.list_mean(values).alias("mean"),
-        X.list_std(values).alias("std"),
+        "mean",
+        X.list_std(values, F.col("mean")).alias("std"),
         X.list_range(values).alias("range"),
         X.list_distinct(values).alias("distinct"),
         X.list_entropy(values).alias("entropy"),
@@ -34,7 +34,7 @@ def record_values(readings: DataFrame, window_seconds: float = 300) -> DataFrame
 
 
 def record_features(
-    readings: DataFrame, window_seconds: float = 300, max_group_rows: int = MAX_GROUP_ROWS
+    readings: DataFrame, window_seconds: float = 300, max_group_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """One row per (time_window, src, dst) with the 19 roll-up columns in their online definition."""
     base = record_values(readings, window_seconds)
@@ -74,10 +74,11 @@ def _one_shuffle(base: DataFrame) -> DataFrame:
 
 
 def _chunked(split: Split) -> DataFrame:
-    hot = split.hot
+    measures = ["ts", "register", "mean", "std", "range", "distinct", "entropy"]
+    hot = lay_out(split.hot, PAIR_KEYS, ORDER, measures, split.chunks)
     stats = hot.groupBy(*PAIR_KEYS).agg(*_plain_stats())
     registers = hot.groupBy(*PAIR_KEYS).agg(F.count_distinct("register").alias("registers"))
-    pairs = chunked_neighbours(hot, PAIR_KEYS, ORDER, ["ts"], split.chunks)
+    pairs = chunked_neighbours(hot, PAIR_KEYS, ORDER, ["ts"])
     gap = F.col("ts") - F.col("prev_ts")
     gaps = pairs.groupBy(*PAIR_KEYS).agg(F.avg(gap).alias("gap_mean"), F.stddev_samp(gap).alias("gap_std"))
     limits = stats.select(*PAIR_KEYS, F.col("mean_avg").alias("_center"), F.col("mean_std").alias("_spread"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewatch.functions import exprs as X
-from linewatch.functions.skew import MAX_GROUP_ROWS, Split, chunked_neighbours, join_stats, split_hot
+from linewatch.functions.skew import MAX_GROUP_ROWS, Split, chunked_neighbours, join_stats, lay_out, split_hot
 from linewatch.schemas import ORDER, PAIR_KEYS, REGISTER_KEYS
 
 BINS = 10
@@ -40,7 +40,7 @@ def register_features(
     window_seconds: float = 300,
     min_count: int = 3,
     extra: Mapping[str, Column] | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """One row per (time_window, src, dst, address) with at least ``min_count`` readings.
 
@@ -97,14 +97,13 @@ def _one_shuffle(base: DataFrame, min_count: int, extra: Mapping[str, Column]) -
 
 def _chunked(split: Split, min_count: int, extra: Mapping[str, Column]) -> DataFrame:
     """The same measures for keys too large for one task: partial aggregates before every exchange."""
-    hot = split.hot
-    stats = (
-        hot.groupBy(*REGISTER_KEYS)
-        .agg(*_plain_stats(), *[e.alias(name) for name, e in extra.items()])
-        .filter(F.col("n") >= min_count)
-    )
+    hot = lay_out(split.hot, REGISTER_KEYS, ORDER, ["ts", "value"], split.chunks)
+    stats = hot.groupBy(*REGISTER_KEYS).agg(*_plain_stats()).filter(F.col("n") >= min_count)
+    if extra:
+        named = split.hot.groupBy(*REGISTER_KEYS).agg(*[e.alias(name) for name, e in extra.items()])
+        stats = stats.join(named, REGISTER_KEYS)
     distinct = hot.groupBy(*REGISTER_KEYS).agg(F.count_distinct("value").alias("unique_values"))
-    pairs = chunked_neighbours(hot, REGISTER_KEYS, ORDER, ["ts", "value"], split.chunks)
+    pairs = chunked_neighbours(hot, REGISTER_KEYS, ORDER, ["ts", "value"])
     gap = F.col("ts") - F.col("prev_ts")
     neighbours = pairs.groupBy(*REGISTER_KEYS).agg(
         F.count_if(F.col("prev_value") != F.col("value")).alias("changes"),

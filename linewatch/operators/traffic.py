@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linewatch.functions import exprs as X
 from linewatch.functions.quantiles import exact_quantiles, quantile_name
-from linewatch.functions.skew import MAX_GROUP_ROWS, chunked_neighbours, split_hot
+from linewatch.functions.skew import MAX_GROUP_ROWS, chunked_neighbours, lay_out, split_hot
 from linewatch.schemas import ORDER, PAIR_KEYS
 
 MAX_CODES = 1_000  # a function code is one byte in the protocol
@@ -67,7 +67,7 @@ def traffic_features(
     )
 
 
-def _gaps(readings: DataFrame, window_seconds: float, max_group_rows: int):
+def _gaps(readings: DataFrame, window_seconds: float, max_group_rows: int | None):
     """Gap to the previous reading of the pair, across windows. Returns ordinary and hot rows apart.
 
     A pair lives as long as the log, so nothing is partitioned by pair alone. Rows are ordered inside their
@@ -89,7 +89,8 @@ def _gaps(readings: DataFrame, window_seconds: float, max_group_rows: int):
             *PAIR_KEYS, (F.col("ts") - F.coalesce("_prev", "_before")).alias("gap")
         )
     if split.hot is not None:
-        inner = chunked_neighbours(split.hot, PAIR_KEYS, ORDER, ["ts"], split.chunks)
+        placed = lay_out(split.hot, PAIR_KEYS, ORDER, ["ts"], split.chunks)
+        inner = chunked_neighbours(placed, PAIR_KEYS, ORDER, ["ts"])
         first = earlier
         if split.hot_keys is not None:
             first = earlier.join(F.broadcast(split.hot_keys), PAIR_KEYS, "left_semi")
@@ -104,7 +105,7 @@ def gap_features(
     window_seconds: float = 60,
     percentiles: Sequence[float] = (),
     approximate: bool = False,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Mean, sample deviation, extremes and optional percentiles of the inter-arrival gaps of each pair-window."""
     cold, hot = _gaps(readings, window_seconds, max_group_rows)
@@ -116,17 +117,25 @@ def gap_features(
     ]
     names = {p: f"iat_{quantile_name(p)}" for p in percentiles}
     rank = F.percentile_approx if approximate else F.percentile
-    inline = [rank("gap", F.lit(float(p))).alias(names[p]) for p in percentiles]
+
+    def with_percentiles(gaps: DataFrame) -> DataFrame:
+        if not percentiles:
+            return gaps.groupBy(*PAIR_KEYS).agg(*stats)
+        # one aggregate for all percentiles keeps one value map per group
+        ranked = gaps.groupBy(*PAIR_KEYS).agg(*stats, rank("gap", [float(p) for p in percentiles]).alias("_ranks"))
+        found = {names[p]: F.get("_ranks", F.lit(i)) for i, p in enumerate(percentiles)}
+        return ranked.withColumns(found).drop("_ranks")
+
     parts = []
     if cold is not None:
-        parts.append(cold.groupBy(*PAIR_KEYS).agg(*stats, *inline))
+        parts.append(with_percentiles(cold))
     if hot is not None:
         if percentiles and not approximate:
             exact = exact_quantiles(hot, "gap", percentiles, PAIR_KEYS, max_group_rows)
             exact = exact.withColumnsRenamed({quantile_name(p): names[p] for p in percentiles})
             parts.append(hot.groupBy(*PAIR_KEYS).agg(*stats).join(exact, PAIR_KEYS, "left"))
         else:
-            parts.append(hot.groupBy(*PAIR_KEYS).agg(*stats, *inline))
+            parts.append(with_percentiles(hot))
     joined = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return joined.fillna(0, subset=["iat_mean", "iat_std", "iat_min", "iat_max", *names.values()])
 

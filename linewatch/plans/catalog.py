@@ -368,8 +368,8 @@ def _lists(spark: SparkSession, folder: str) -> DataFrame:
 @query("P6_list_statistics")
 def _(spark, folder):
     v = F.col("v")
-    return _lists(spark, folder).select(
-        "seq", X.list_mean(v).alias("mean"), X.list_std(v).alias("std"), X.list_range(v).alias("value_range"),
+    return _lists(spark, folder).withColumn("mean", X.list_mean(v)).select(
+        "seq", "mean", X.list_std(v, F.col("mean")).alias("std"), X.list_range(v).alias("value_range"),
         X.list_distinct(v).alias("distinct_count"),
     )
 

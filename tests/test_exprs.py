@@ -29,7 +29,7 @@ def test_list_statistics(spark, values):
     v = F.col("v")
     got = values_of(
         spark, [(values,)], "v array<double>",
-        X.list_mean(v), X.list_std(v), X.list_range(v), X.list_distinct(v), X.list_entropy(v),
+        X.list_mean(v), X.list_std(v, X.list_mean(v)), X.list_range(v), X.list_distinct(v), X.list_entropy(v),
     )[0]
     if values:
         _, counts = np.unique(values, return_counts=True)
@@ -45,7 +45,7 @@ def test_null_list_has_no_statistics(spark):
     v = F.col("v")
     got = values_of(
         spark, [(None,)], "v array<double>",
-        X.list_mean(v), X.list_std(v), X.list_range(v), X.list_distinct(v), X.list_entropy(v),
+        X.list_mean(v), X.list_std(v, X.list_mean(v)), X.list_range(v), X.list_distinct(v), X.list_entropy(v),
     )
     assert got == [(None,) * 5]
 
