@@ -105,10 +105,9 @@ def clean_number(value: Column) -> Column:
     """NaN and NULL become 0, infinities become +-1e6."""
     x = value.cast("double")
     return (
-        F.when(x.isNull() | F.isnan(x), 0.0)
-        .when(x == F.lit(float("inf")), CLAMP)
+        F.when(x == F.lit(float("inf")), CLAMP)
         .when(x == F.lit(float("-inf")), -CLAMP)
-        .otherwise(x)
+        .otherwise(F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)))
     )
 
 

@@ -13,6 +13,11 @@ from linewatch.functions import exprs as X
 NOT_FEATURES = ("time_window", "src", "dst", "uid", "timestamp", "anomaly", "anomaly_score", "detected_at")
 
 
+def _number(column: str) -> Column:
+    """Scaling works on cleaned features (see ``prepare``); a missing one counts as 0."""
+    return F.coalesce(F.col(column).cast("double"), F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Scaler:
     """Two numbers per feature; small enough for the driver whatever the table size."""
@@ -35,7 +40,7 @@ class Scaler:
 
     def expressions(self) -> list[Column]:
         return [
-            ((X.clean_number(F.col(c)) - F.lit(m)) / F.lit(s)).alias(c)
+            ((_number(c) - F.lit(m)) / F.lit(s)).alias(c)
             for c, m, s in zip(self.columns, self.means, self.scales, strict=True)
         ]
 
@@ -53,11 +58,10 @@ def scaler_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    cleaned = {c: X.clean_number(F.col(c)) for c in cols}
     stats = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.avg(x).alias(f"m_{c}") for c, x in cleaned.items()],
-        *[F.stddev_pop(x).alias(f"s_{c}") for c, x in cleaned.items()],
+        *[F.avg(_number(c)).alias(f"m_{c}") for c in cols],
+        *[F.stddev_pop(_number(c)).alias(f"s_{c}") for c in cols],
     )
     rows = [
         F.struct(

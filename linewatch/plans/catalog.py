@@ -131,14 +131,21 @@ def fixed_model(features: DataFrame, profile: str = "register") -> forest.Forest
     )
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Features and scored rows are tables between the jobs: computed once, read by whatever follows."""
+    path = working_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    features = pairs(spark, folder)
-    return forest.flag_fixed(forest.score(features, fixed_model(features)), THRESHOLD)
+    features = stored(pairs(spark, folder), "features")
+    return stored(forest.flag_fixed(forest.score(features, fixed_model(features)), THRESHOLD), "scored")
 
 
 def scored_hourly(spark: SparkSession, folder: str) -> DataFrame:
-    features = records(spark, folder, HOUR)
-    return forest.flag_fixed(forest.score(features, fixed_model(features, "record")), THRESHOLD)
+    features = stored(records(spark, folder, HOUR), "features")
+    return stored(forest.flag_fixed(forest.score(features, fixed_model(features, "record")), THRESHOLD), "scored")
 
 
 def _detected(flagged: DataFrame, window: int) -> DataFrame:
@@ -573,19 +580,19 @@ def _(spark, folder):
 
 @query("M1_apply_scaler")
 def _(spark, folder):
-    features = pairs(spark, folder).select(*PAIR_KEYS, *MODEL_COLUMNS)
+    features = stored(pairs(spark, folder).select(*PAIR_KEYS, *MODEL_COLUMNS), "features")
     return scaling.apply_scaler(features, scaling.fit_scaler(features, MODEL_COLUMNS))
 
 
 @query("M2_standardise_table")
 def _(spark, folder):
-    return scaling.standardise_table(pairs(spark, folder))
+    return scaling.standardise_table(stored(pairs(spark, folder), "features"))
 
 
 @query("M3_fit_forest")
 def _(spark, folder):
     """Node table of a forest fitted on all pair features."""
-    features = pairs(spark, folder)
+    features = stored(pairs(spark, folder), "features")
     model = forest.fit_forest(features, PAIR_FEATURE_COLUMNS)
     return spark.createDataFrame(model.nodes, forest.NODE_SCHEMA)
 
@@ -615,7 +622,7 @@ def _(spark, folder):
 
 @query("M7_model_round_trip")
 def _(spark, folder):
-    features = pairs(spark, folder)
+    features = stored(pairs(spark, folder), "features")
     path = working_path(spark, "model")
     forest.save_model(spark, fixed_model(features), path)
     return forest.score(features, forest.load_model(spark, path)).select(*PAIR_KEYS, "anomaly_score")
