@@ -42,7 +42,12 @@ def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_readings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All log files of a path, glob or list. Malformed lines are skipped."""
     raw = read_raw(spark, path)
-    return normalise(raw.filter(F.col(CORRUPT).isNull()))
+    return _in_arrival_order(normalise(raw.filter(F.col(CORRUPT).isNull())))
+
+
+def _in_arrival_order(readings: DataFrame) -> DataFrame:
+    """Lines without a sequence number get a rising one within their file split, to order equal stamps."""
+    return readings.withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id()))
 
 
 def line_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -60,7 +65,7 @@ def line_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_readings_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Headerless tab-separated logs; comment lines and lines with too many fields are skipped, missing ones are NULL."""
     raw = spark.read.schema(RAW_TSV).option("sep", "\t").option("comment", "#").csv(path)
-    return raw.filter(F.col(EXTRA).isNull()).select(
+    readings = raw.filter(F.col(EXTRA).isNull()).select(
         X.numeric_timestamp(F.col("ts")).alias("ts"),
         "uid",
         F.col("`id.orig_h`").alias("src"),
@@ -75,7 +80,8 @@ def read_readings_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("register_start").try_cast("bigint").alias("register_start"),
         X.parse_values(F.col("response_values")).cast("array<double>").alias("response_values"),
         F.lit(None).cast("bigint").alias("seq"),
-    ).filter("ts is not null")
+    )
+    return _in_arrival_order(readings.filter("ts is not null"))
 
 
 def read_features(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -33,6 +33,18 @@ def test_json_logs(spark, tmp_path):
     assert tuple(src.line_counts(spark, str(tmp_path / "*.log")).first()) == (5, 1, 1)
 
 
+def test_equal_stamps_keep_arrival_order(spark, tmp_path):
+    (tmp_path / "a.log").write_text("\n".join(line(5.0, values=(0, v)) for v in (1, 1, 2, 2, 1, 3)))
+    found = register.register_features(src.read_readings(spark, str(tmp_path / "a.log")), 300).first()
+    assert (found["value_changes"], found["unique_values"], found["inter_read_mean"]) == (3, 3, 0.0)
+
+
+def test_worker_code_travels_by_value():
+    from pyspark import cloudpickle
+
+    assert "linewatch" in cloudpickle.list_registry_pickle_by_value()
+
+
 def test_tsv_logs(spark, tmp_path):
     good = "\t".join(["5.5", "C1", "a", "1000", "b", "502", "tcp", "T", "3", "READ", "REQ", "10", "2", "1,2"])
     dash = "\t".join(["6.5", "C1", "a", "1000", "b", "502", "tcp", "T", "3", "READ", "REQ", "11", "2", "-"])
