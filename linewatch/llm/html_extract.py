@@ -252,6 +252,13 @@ def extract(source: str, weights: dict[str, float]) -> str:
         else:
             scores.append(weights[kind] * len(words))
     begin, end = best_stretch(scores)
+    if begin < end:  # a block that the stretch enters belongs to it whole
+        texts = [k for k in range(begin, end) if page.words[k] is not None]
+        first, final = page.blocks[texts[0]], page.blocks[texts[-1]]
+        while begin and page.blocks[begin - 1] == first:
+            begin -= 1
+        while end < len(page.blocks) and page.blocks[end] == final:
+            end += 1
     lines: list[str] = []
     last = None
     for k in range(begin, end):
