@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import text_bytes
+from linewatch.llm.common import text_bytes, written
 from linewatch.session import materialise
 
 
@@ -37,27 +37,21 @@ def exact_duplicates(
         F.sha2(text, 256).alias("_sha"),
     )
     slim = materialise(rows.select("_id", "_hash", "_sha"))
-    groups = slim.groupBy("_hash").agg(
-        F.count(F.lit(1)).alias("_n"), best("_id").alias("_keep"), F.min("_sha").alias("_low")
-    )
-    many = materialise(groups.filter("_n > 1"))
+    # SHA-256 tells texts apart that share the grouping hash; figures are summed per task before they are shuffled.
+    classes = materialise(slim.groupBy("_hash", "_sha").agg(F.count(F.lit(1)).alias("_n"), best("_id").alias("_keep")))
 
-    # Bytes inside groups: one text per (hash, sha-256) stands for its class; every member is compared with it.
-    members = rows.join(many.select("_hash"), "_hash", "left_semi").select("_hash", "_sha", "_text")
+    # Bytes inside groups: every member is compared with one text of its class. Members are written first, so that a large
+    # class may be split over tasks when they are found and again when they are compared.
+    many = classes.filter("_n > 1").select("_hash", "_sha")
+    members = written(rows.join(many, ["_hash", "_sha"], "left_semi").select("_hash", "_sha", "_text"), "members")
     model = members.groupBy("_hash", "_sha").agg(F.min("_text").alias("_model"))
     unlike = (
         members.join(model.withColumnsRenamed({"_hash": "_h", "_sha": "_s"}), (F.col("_hash") == F.col("_h")) & (F.col("_sha") == F.col("_s")))
         .filter(F.col("_text") != F.col("_model"))
         .select("_hash")
-        .distinct()
     )
     if not unlike.isEmpty():
         raise ValueError("two texts share both their MD5 and their SHA-256")
-    classes = (
-        slim.join(many.select("_hash"), "_hash", "left_semi")
-        .groupBy("_hash", "_sha")
-        .agg(F.count(F.lit(1)).alias("_n"), best("_id").alias("_keep"))
-    )
     of_row = classes.withColumnsRenamed({"_hash": "_h", "_sha": "_s"})
     found = slim.join(of_row, (F.col("_hash") == F.col("_h")) & (F.col("_sha") == F.col("_s")), "left")
     keep_id = F.when(F.col("_h").isNull(), F.col("_id")).otherwise(F.col("_keep"))
