@@ -155,7 +155,7 @@ def slots(spark, plans: Sequence[Target], block: int = BLOCK, shard_slots: int =
     def draw(batches):
         share = weights / weights.sum()
         for batch in batches:
-            ids, places, counts = [], [], []
+            ids, places, counts, firsts_ = [], [], [], []
             for shard in batch.column(0).to_pylist():
                 n = min(shard_slots, total - shard * shard_slots)
                 got = np.random.default_rng([seed, shard]).multinomial(n, share)
@@ -163,10 +163,11 @@ def slots(spark, plans: Sequence[Target], block: int = BLOCK, shard_slots: int =
                 ids += [shard] * len(some)
                 places += some.tolist()
                 counts += got[some].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, places, counts)], ["shard", "_s", "_n"])
+                firsts_ += (np.cumsum(got) - got)[some].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, places, counts, firsts_)], ["shard", "_s", "_n", "_slot"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = "shard long, _s long, _n long"
+    schema = "shard long, _s long, _n long, _slot long"
     if not active:
         return spark.createDataFrame([], "shard long, slot long, _place long, _pass long, _block long, _words long")
     drawn = materialise(spark.range(0, shards, 1, min(shards, parts)).mapInArrow(draw, schema))
@@ -182,11 +183,7 @@ def slots(spark, plans: Sequence[Target], block: int = BLOCK, shard_slots: int =
         short.append((at, k, sums.get(k, 0)))
         at += gap
     firsts = np.array([s[0] for s in short], np.int64)
-    numbered_ = drawn.select(
-        "*",
-        (F.sum("_n").over(Window.partitionBy("_s").orderBy("shard")) - F.col("_n")).alias("_from"),
-        (F.sum("_n").over(Window.partitionBy("shard").orderBy("_s")) - F.col("_n")).alias("_slot"),
-    )
+    numbered_ = drawn.withColumn("_from", F.sum("_n").over(Window.partitionBy("_s").orderBy("shard")) - F.col("_n"))
 
     def place(batches):
         plan = shared.value
@@ -261,7 +258,7 @@ def mix(
     )
     placed = slim.join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
     rows = materialise(packed(placed))
-    dealt = materialise(slots(spark, plans, block, shard_slots, seed))
+    dealt = written(slots(spark, plans, block, shard_slots, seed), "slots")  # a file's size is known to the planner
     cut = rows.filter("_size > 0").select(
         "_row", "_place", "_begin", "_size",
         F.explode(F.sequence(F.floor(F.col("_begin") / block), F.floor((F.col("_begin") + F.col("_size") - 1) / block))).alias("_block"),
