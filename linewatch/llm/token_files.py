@@ -21,7 +21,7 @@ from linewatch.session import materialise, working_path
 TOKENIZER = "byte_bpe_50k.json"
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -33,9 +33,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Texts to ids by a byte-level BPE of the tokenizers library, remembering words.
 
-    The vocabulary's pattern never lets a token span a blank between two other characters, so a text cut at such blanks
-    (which go to the piece on their right) has the ids of its pieces. A piece is encoded by the library once and remembered;
-    texts with runs of white space around a blank go to the library whole.
+    The vocabulary's pattern cuts a text before every single blank and around every single line feed that stands between other
+    characters, and tokens never span a cut, so the ids of a text are those of its pieces. It also cuts between a letter or
+    digit and a closing mark. Each piece is encoded by the library once and remembered; texts with runs of white space are
+    given to the library whole.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -43,43 +44,82 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.library.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # one character of a token stands for one byte
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.limit = limit
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        pieces = [t.split(" ") for t in texts]
-        known = self.known
+        self.marks = {m: self._whole(m).tobytes() for m in _MARKS}
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember new pieces: one call for all of them, cut where the bytes of the tokens reach the ends of the pieces."""
+        ids = self._whole("".join(p if p[0] == "\n" else " " + p for p in pieces))
+        ends = np.cumsum([len(p.encode()) + (p[0] != "\n") for p in pieces])
+        cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.kind.itemsize
+        raw, at = ids.tobytes(), 0
+        for p, end in zip(pieces, cuts.tolist()):
+            self.known[p] = raw[at:end]
+            at = end
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        known, get = self.known, self.known.get
         if len(known) > self.limit:
             known.clear()
+        cuts = [t.replace("\n", " \n").split(" ") for t in texts]
+        found = [list(map(get, c)) for c in cuts]
+        whole = []
+        gaps = []  # places of the pieces not known yet
         new: dict[str, None] = {}
-        whole: list[int] = []
-        for k, cut in enumerate(pieces):
-            fresh = [p for p in cut[1:] if p not in known]
-            # A piece that is empty or begins with white space belongs to a run around the blank.
-            if any(not p or p[0].isspace() for p in fresh) or (cut[0] != "" and cut[0][-1:].isspace()) or cut[0] == "":
-                whole.append(k)
-            else:
-                new.update(dict.fromkeys(fresh))
+        marked: dict[str, None] = {}
+        for cut, ids in zip(cuts, found):
+            ids[0] = b""  # the first piece has no blank before it
+            gap = [j for j, i in enumerate(ids) if i is None]
+            gaps.append(gap)
+            fresh = [cut[j] for j in gap]
+            alone = not cut[0] or cut[0][0].isspace() or cut[0][-1].isspace() or not all(map(_regular, fresh))
+            whole.append(alone)
+            if not alone:
+                for p in fresh:
+                    if p[-1] in _MARKS and p[-2:-1].isalnum():
+                        marked[p] = None
+                        p = p[:-1]
+                    if p not in known:
+                        new[p] = None
         if new:
-            words = list(new)
-            known.update(zip(words, self._ids([" " + w for w in words])))
-        get = known.__getitem__
-        out = [b""] * len(texts)
-        skip = set(whole)
-        heads = self._ids([pieces[k][0] for k in range(len(texts)) if k not in skip])
-        at = 0
-        for k, cut in enumerate(pieces):
-            if k not in skip:
-                out[k] = heads[at] + b"".join(map(get, cut[1:]))
-                at += 1
-        for k, ids in zip(whole, self._ids([texts[k] for k in whole])):
-            out[k] = ids
+            self._learn(list(new))
+        for p in marked:
+            known[p] = known[p[:-1]] + self.marks[p[-1]]
+        out = []
+        for text, cut, ids, gap, alone in zip(texts, cuts, found, gaps, whole):
+            if alone:
+                out.append(self._whole(text))
+                continue
+            for j in gap:
+                ids[j] = known[cut[j]]
+            ids[0] = self._head(cut[0])
+            out.append(np.frombuffer(b"".join(ids), self.kind))
         return out
 
+    def _head(self, piece: str) -> bytes:
+        key = f" {piece}"  # no piece has a blank in it
+        if key not in self.known:
+            self.known[key] = self._whole(piece).tobytes()
+        return self.known[key]
+
+
+_MARKS = ".,"
+
+
+def _regular(piece: str) -> bool:
+    """Not empty, and no white space at its ends but one line feed before another character: no part of a longer run."""
+    inner = piece[1:] if piece[:1] == "\n" else piece
+    return bool(inner) and not inner[0].isspace() and not inner[-1].isspace()
+
 
 def _encoder(path: str) -> Encoder:
     import os
@@ -108,24 +148,21 @@ def write_tokens(
     """
     tokenizer = tokenizer or tokenizer_path()
     spark = docs.sparkSession
-    tail = np.array([end_id], "<u4").tobytes()
 
-    def make():
+    def encode(batches):
         coder = _encoder(tokenizer)
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids: list[bytes] = []
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                ids += coder.encode([t.decode("utf-8", "replace") for t in texts[at : at + 256]])
-            lengths = np.array([len(i) // 4 + 1 for i in ids], np.int64)
-            flat = pa.array(np.frombuffer(b"".join(i + tail for i in ids), np.int32))
-            offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lengths), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "n_tokens", "ids"]
-            )
-
-        return each
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                ids = coder.encode([t.decode("utf-8", "replace") for t in rows.column(1).to_pylist()])
+                lengths = np.array([len(i) + 1 for i in ids], np.int64)
+                ends = np.cumsum(lengths)
+                flat = np.empty(int(ends[-1]), np.int32)
+                for i, end in zip(ids, ends.tolist()):
+                    flat[end - 1 - len(i) : end - 1] = i
+                flat[ends - 1] = end_id
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lengths), lists], ["doc_id", "n_tokens", "ids"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
@@ -134,9 +171,9 @@ def write_tokens(
         .sortWithinPartitions("_id", "_text")
     )
     (
-        arrow_map(ordered, make, "doc_id long, n_tokens long, ids array<int>")
+        ordered.mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>")
         .write.mode("overwrite")
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .option("parquet.block.size", str(row_group))
         .option("parquet.page.size", str(page))
         .option("parquet.enable.dictionary", "true")

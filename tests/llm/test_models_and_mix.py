@@ -55,12 +55,12 @@ def test_selective_reads(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab'Sst é1!…\n\t  　\x0b\x1c᠎​ <|endoftext|>"), max_size=30), max_size=4))
+@given(st.lists(st.text(st.sampled_from("ab'Sst é1!…,.\n\t  　\x0b\x1c᠎​ <|endoftext|>"), max_size=30), max_size=4))
 def test_remembered_words_give_the_librarys_ids(texts):
     coder, plain = _coder(), _plain()
     for _ in range(2):
         got = coder.encode(texts)
-        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 _made: dict = {}
