@@ -5,15 +5,19 @@ either gives the variants: lines of n words that differ at place p agree in the
 variant of a longer line without its extra word. Variants are emitted as 128-bit hashes and joined where equal, the matched
 lines are compared word by word, and of each match the earlier line stays.
 
-A line of n words has n variants, so only lines that can have a partner emit them. With t the words of the shorter line, the
-edit leaves either the first t/2 words or the remaining t - t/2 last words of both alike; a line none of whose halves occurs
-in another line is not near any. All lines that share a variant are near one another, so each is matched with the earliest of
-its variant only, never with all.
+A line of n words has n variants, so only lines that can have a partner emit them. With t the words of the shorter line, an
+edit leaves the first or the last t/2 words of both alike, so near lines share a key made of their first, or last, L(t) words,
+L(t) being the largest power of two up to t/2. A line that shares neither key with another line emits nothing; one that
+shares only its beginning emits the variants without a later word, and likewise from the end. All lines that share a variant
+are near one another, so each is matched with the earliest of its variant only, never with all.
+
+Variants are hashed in one pass: a line's hash is the exclusive-or of hashes of (word, place), and without word p the words
+behind it stand one place earlier, so running exclusive-ors over the line give the hashes of all its variants.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewatch.llm.common import written
@@ -22,100 +26,139 @@ MIN_WORDS = 5
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
-def _words(line: str) -> Column:
-    """Words of a line: stretches without white space; an empty line has none."""
-    return F.filter(F.split(F.col(line), _BLANK), lambda w: w != "")
+def _plain(line: Column) -> Column:
+    """The words of a line joined by one blank. Lines that are so already, nearly all, are not searched by a pattern."""
+    odd = line.startswith(" ") | line.endswith(" ")
+    for mark in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | line.contains(mark)
+    return F.when(odd, F.trim(F.regexp_replace(line, _BLANK, " "))).otherwise(line)
 
 
-def _hash(*parts: Column) -> Column:
-    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
+def _numbered_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(_id, _no, _words)``: every line with words, numbered from 0 within its text."""
-    return (
-        docs.select(
-            F.col(id_col).cast("long").alias("_id"),
-            F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("_no", "_line"),
-        )
-        .select("_id", "_no", _words("_line").alias("_words"))
-        .filter(F.size("_words") > 0)
-    )
+def _half(words: Column) -> Column:
+    """The largest power of two up to half the words."""
+    return F.pow(F.lit(2), F.floor(F.log2(F.floor(words / 2)))).cast("int")
 
 
-def _halves(words: Column, n: Column) -> Column:
-    """Keys of the halves that a partner with as many, one more or one fewer words must share one of."""
-    keys = []
-    for less in (0, 1):
-        t = n - less
-        a = F.floor(t / 2).cast("int")
-        b = t - a
-        keys.append(F.xxhash64(F.lit("p"), t, F.slice(words, F.lit(1), a)))
-        keys.append(F.xxhash64(F.lit("s"), t, F.slice(words, n - b + 1, b)))
-    return F.array(*keys)
+def _words_of(line: Column, n: Column) -> Column:
+    """The first ``n`` words of a plain line, or the last ones for a negative number."""
+    return F.call_function("substring_index", line, F.lit(" "), n)
 
 
-def variants(held: DataFrame) -> DataFrame:
-    """``(_key, _at, _line)``: the line itself (place -1) and every variant without the word at one place."""
-    n = F.size("_words")
-    every = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(
-            i.alias("_at"), _hash(F.concat(F.slice("_codes", F.lit(1), i), F.slice("_codes", i + 2, n))).alias("_key")
-        ),
-    )
-    own = F.array(F.struct(F.lit(-1).alias("_at"), _hash(F.col("_codes")).alias("_key")))
-    return (
-        held.withColumn("_codes", F.transform("_words", lambda w: F.xxhash64(w)))
-        .select("_hash", "_first", F.explode(F.concat(own, every)).alias("_v"))
-        .select(F.col("_v._key").alias("_key"), F.col("_v._at").alias("_at"), F.struct("_first", "_hash").alias("_line"))
+def _keys(line: Column, n: Column) -> Column:
+    """Keys of beginnings (even) and ends (odd) for partners with as many, one more or one fewer words."""
+    out = []
+    for t in (n, n - 1):
+        long = _half(t)
+        for end, part in ((0, _words_of(line, long)), (1, _words_of(line, -long))):
+            hashed = F.xxhash64(F.lit(end), long, part)
+            out.append(hashed.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(end)))
+    return F.array_distinct(F.array(*out))
+
+
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``(_id, _no, _a, _b, _keys)``: every line with words of rows with an id, numbered from 0, with a 128-bit hash and its keys."""
+    split = docs.filter(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("_id"), F.posexplode(_numbered_lines(F.col(text_col))).alias("_no", "_raw")
     )
+    plain = split.select("_id", "_no", _plain(F.col("_raw")).alias("_line")).filter("_line <> ''")
+    line, n = F.col("_line"), F.col("_n")
+    sized = plain.withColumn("_n", F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    return sized.select(
+        "_id", "_no", F.xxhash64(F.lit(1), line).alias("_a"), F.xxhash64(F.lit(2), line).alias("_b"),
+        F.when(n >= max(min_words, 3), _keys(line, n)).alias("_keys"),
+    )
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(_hash, _of)``: distinct lines that are within one word edit of an earlier line, and the earliest such line found.
+def asked_lines(held: DataFrame) -> DataFrame:
+    """``(_a, _b, _ahead, _behind)``: distinct lines that share their beginning, or their end, with another line."""
+    keys = held.select(F.explode("_keys").alias("_half"), "_a", "_b")
+    shared = keys.groupBy("_half").agg(F.min("_a").alias("_low"), F.max("_a").alias("_high")).filter("_low < _high").select("_half")
+    side = F.col("_half").bitwiseAND(F.lit(1))
+    return keys.join(shared, "_half", "left_semi").groupBy("_a", "_b").agg(
+        F.max(side == 0).alias("_ahead"), F.max(side == 1).alias("_behind")
+    )
 
-    ``distinct`` has ``_hash, _first, _keys`` per distinct line.
-    """
-    keys = distinct.filter("_keys is not null").select("_hash", "_first", F.explode("_keys").alias("_half"))
-    shared = (
-        keys.groupBy("_half").agg(F.min("_first").alias("_low"), F.max("_first").alias("_high")).filter("_low < _high").select("_half")
+
+def asked_words(docs: DataFrame, asked: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(_a, _b, _id, _no, _ahead, _behind, _words)`` of the asked lines, from the document that has each of them first."""
+    wanted = (
+        asked.join(first, ["_a", "_b"])
+        .groupBy("_id")
+        .agg(F.collect_list(F.struct("_no", "_a", "_b", "_ahead", "_behind")).alias("_asked"))  # bounded by one document's lines
     )
-    asked = keys.join(shared, "_half", "left_semi").groupBy("_first._id").agg(F.collect_set(F.struct("_hash", "_first")).alias("_asked"))
-    # Words of the asked lines, from the document that has each of them first.
     found = (
         docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        .join(asked, "_id")
-        .select("_asked", F.posexplode(F.split("_text", "\n")).alias("_no", "_line"))
-        .select("_no", _words("_line").alias("_words"), F.filter("_asked", lambda x: x["_first"]["_no"] == F.col("_no")).alias("_mine"))
-        .select("_words", _hash(F.col("_words")).alias("_is"), F.explode("_mine").alias("_m"))
-        .filter(F.col("_is") == F.col("_m._hash"))
-        .select(F.col("_m._hash").alias("_hash"), F.col("_m._first").alias("_first"), "_words")
+        .join(wanted, "_id")
+        .select("_id", _numbered_lines(F.col("_text")).alias("_lines"), F.explode("_asked").alias("_m"))
+        .select("_id", "_m.*", _plain(F.get("_lines", F.col("_m._no"))).alias("_line"))
+        # Rows may share an id: the line must be the one asked for.
+        .filter((F.xxhash64(F.lit(1), "_line") == F.col("_a")) & (F.xxhash64(F.lit(2), "_line") == F.col("_b")))
     )
-    held = written(found.dropDuplicates(["_hash"]), "lines")
-    made = written(variants(held), "variants")
-    at_place = made.filter("_at >= 0")
-    replaced = at_place.groupBy("_key", "_at").agg(F.min("_line").alias("_of"), F.max("_line").alias("_high")).filter("_of < _high").drop("_high")
-    whole = made.filter("_at < 0").select("_key", F.col("_line").alias("_whole"))
-    longer = at_place.groupBy("_key").agg(F.min("_line").alias("_of"))
+    return found.select("_a", "_b", "_id", "_no", "_ahead", "_behind", F.split("_line", " ").alias("_words")).dropDuplicates(["_a", "_b"])
+
+
+def variants(held: DataFrame) -> DataFrame:
+    """``(_ka, _kb, _at, _id, _no, _a, _b)``: each line itself (place -1) and its variants without the word at one place."""
+    seeds = (1, 2)
+
+    def folded(seed: int, shift: int) -> Column:
+        return F.aggregate(
+            F.transform("_words", lambda w, i: F.xxhash64(F.lit(seed), w, i - shift)), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)
+        )
+
+    totals = held.repartition("_a", "_b").select(
+        "*", *[folded(s, 0).alias(f"_whole{s}") for s in seeds], *[folded(s, 1).alias(f"_moved{s}") for s in seeds]
+    )
+    n = F.size("_words")
+    each = totals.select(
+        "_id", "_no", "_a", "_b", "_ahead", "_behind", *[f"_whole{s}" for s in seeds], *[f"_moved{s}" for s in seeds],
+        n.alias("_n"), F.posexplode("_words").alias("_at", "_word"),
+    )
+    upto = Window.partitionBy("_a", "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    made = []
+    for s in seeds:
+        here, moved = F.xxhash64(F.lit(s), "_word", "_at"), F.xxhash64(F.lit(s), "_word", F.col("_at") - 1)
+        before = F.bit_xor(here).over(upto).bitwiseXOR(here)
+        made.append(before.bitwiseXOR(F.col(f"_moved{s}")).bitwiseXOR(F.bit_xor(moved).over(upto)))
+    short = _half(F.col("_n") - 1)
+    without = each.select(
+        made[0].alias("_ka"), made[1].alias("_kb"), "_at", "_id", "_no", "_a", "_b",
+        ((F.col("_ahead") & (F.col("_at") >= short)) | (F.col("_behind") & (F.col("_at") < F.col("_n") - short))).alias("_used"),
+    ).filter("_used").drop("_used")
+    whole = totals.select(
+        F.col("_whole1").alias("_ka"), F.col("_whole2").alias("_kb"), F.lit(-1).alias("_at"), "_id", "_no", "_a", "_b"
+    )
+    return whole.unionByName(without)
+
+
+def near_lines(docs: DataFrame, held: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(_a, _b, _of)``: distinct lines within one word edit of an earlier line, and the place of the earliest one found."""
+    words = written(asked_words(docs, asked_lines(held), first, id_col, text_col), "words")
+    made = written(variants(words), "variants")
+    key = ["_ka", "_kb"]
+    often = made.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(*key)
+    line = F.struct("_id", "_no", "_a", "_b")
+    met = written(made.join(often, key, "left_semi").select(*key, "_at", line.alias("_line")), "met")
+    at_place, whole = met.filter("_at >= 0"), met.filter("_at < 0").select(*key, F.col("_line").alias("_whole"))
+    replaced = at_place.groupBy(*key, "_at").agg(F.min("_line").alias("_of"))
+    longer = at_place.groupBy(*key).agg(F.min("_line").alias("_of"))
     # One partner each: the earliest line with the same variant, the line that the variant equals, the earliest longer line.
     pairs = (
-        at_place.join(replaced, ["_key", "_at"]).select("_line", "_of")
-        .unionByName(at_place.join(whole, "_key").select("_line", F.col("_whole").alias("_of")))
-        .unionByName(whole.join(longer, "_key").select(F.col("_whole").alias("_line"), "_of"))
+        at_place.join(replaced, [*key, "_at"]).select("_line", "_of")
+        .unionByName(at_place.join(whole, key).select("_line", F.col("_whole").alias("_of")))
+        .unionByName(whole.join(longer, key).select(F.col("_whole").alias("_line"), "_of"))
         .filter("_of < _line")
-        .select(F.col("_line._hash").alias("_hash"), F.col("_of._hash").alias("_of_hash"), F.col("_of._first").alias("_of_first"))
         .distinct()
+        .select("_line._a", "_line._b", F.struct("_of._id", "_of._no").alias("_of"), F.col("_of._a").alias("_oa"), F.col("_of._b").alias("_ob"))
     )
-    words = held.select("_hash", "_words")
-    compared = pairs.join(words, "_hash").join(
-        words.select(F.col("_hash").alias("_of_hash"), F.col("_words").alias("_of_words")), "_of_hash"
-    )
-    return (
-        compared.filter(within_one_edit(F.col("_words"), F.col("_of_words")))
-        .groupBy("_hash")
-        .agg(F.min("_of_first").alias("_of"))
-    )
+    own = words.select("_a", "_b", "_words")
+    other = words.select(F.col("_a").alias("_oa"), F.col("_b").alias("_ob"), F.col("_words").alias("_other"))
+    compared = pairs.join(own, ["_a", "_b"]).join(other, ["_oa", "_ob"])
+    return compared.filter(within_one_edit(F.col("_words"), F.col("_other"))).groupBy("_a", "_b").agg(F.min("_of").alias("_of"))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -140,22 +183,16 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     within one word edit ("near"; lines of fewer than ``min_words`` words are only compared as a whole). Whether the earlier
     line itself stays makes no difference.
     """
-    n = F.size("_words")
-    held = written(
-        lines(docs.filter(F.col(id_col).isNotNull()), id_col, text_col).select(
-            "_id", "_no", _hash(F.col("_words")).alias("_hash"), F.when(n >= min_words, _halves(F.col("_words"), n)).alias("_keys")
-        ),
-        "lines",
+    held = written(lines(docs, id_col, text_col, min_words), "lines")
+    first = written(
+        held.groupBy("_a", "_b").agg(F.min(F.struct("_id", "_no")).alias("_f")).select("_a", "_b", "_f._id", "_f._no"), "first"
     )
-    distinct = written(
-        held.groupBy("_hash").agg(F.min(F.struct("_id", "_no")).alias("_first"), F.first("_keys").alias("_keys")), "distinct"
+    near = near_lines(docs, held, first, id_col, text_col)
+    verdict = first.select("_a", "_b", F.col("_id").alias("_fid"), F.col("_no").alias("_fno")).join(near, ["_a", "_b"], "left")
+    is_first = (F.col("_id") == F.col("_fid")) & (F.col("_no") == F.col("_fno"))
+    return held.select("_id", "_no", "_a", "_b").join(verdict, ["_a", "_b"]).select(
+        "_id", "_no", F.when(~is_first, F.lit("repeat")).when(F.col("_of").isNotNull(), F.lit("near")).alias("why")
     )
-    near = near_lines(docs, distinct, id_col, text_col, min_words)
-    verdict = distinct.select("_hash", "_first").join(near, "_hash", "left")
-    return held.select("_id", "_no", "_hash").join(verdict, "_hash").select(
-        "_id", "_no",
-        F.when(F.struct("_id", "_no") != F.col("_first"), F.lit("repeat")).when(F.col("_of").isNotNull(), F.lit("near")).alias("why"),
-    )
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
