@@ -21,7 +21,7 @@ from linewatch.session import materialise, working_path
 TOKENIZER = "byte_bpe_50k.json"
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 800_000  # words remembered per Python worker, about 150 MB
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -49,7 +49,8 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # one character of a token stands for one byte
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # words met lately
+        self.older: dict[str, bytes] = {}  # words met before those; what is met again moves back
         self.marks = {m: self._whole(m).tobytes() for m in _MARKS}
 
     def _whole(self, text: str) -> np.ndarray:
@@ -67,9 +68,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        known, get = self.known, self.known.get
-        if len(known) > self.limit:
-            known.clear()
+        if len(self.known) > self.limit // 2:
+            self.known, self.older = {}, self.known
+        known, older, get = self.known, self.older, self.known.get
         cuts = [t.replace("\n", " \n").split(" ") for t in texts]
         found = [list(map(get, c)) for c in cuts]
         whole = []
@@ -85,10 +86,15 @@ class Encoder:
             whole.append(alone)
             if not alone:
                 for p in fresh:
+                    if p in older:
+                        known[p] = older[p]
+                        continue
                     if p[-1] in _MARKS and p[-2:-1].isalnum():
                         marked[p] = None
                         p = p[:-1]
-                    if p not in known:
+                    if p in older:
+                        known[p] = older[p]
+                    elif p not in known:
                         new[p] = None
         if new:
             self._learn(list(new))
