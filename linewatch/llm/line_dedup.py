@@ -85,20 +85,20 @@ def asked_lines(held: DataFrame) -> DataFrame:
 
 def asked_words(docs: DataFrame, asked: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(_a, _b, _id, _no, _ahead, _behind, _words)`` of the asked lines, from the document that has each of them first."""
-    wanted = (
-        asked.join(first, ["_a", "_b"])
-        .groupBy("_id")
-        .agg(F.collect_list(F.struct("_no", "_a", "_b", "_ahead", "_behind")).alias("_asked"))  # bounded by one document's lines
-    )
+    wanted = written(asked.join(first, ["_a", "_b"]), "asked")
+    places = wanted.groupBy("_id").agg(F.sort_array(F.collect_set("_no")).alias("_nos"))  # bounded by one document's lines
+    # Only the asked lines leave the array of a text's lines, in the order of their numbers.
+    some = F.filter(_numbered_lines(F.col("_text")), lambda _, i: F.array_contains("_nos", i))
     found = (
         docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        .join(wanted, "_id")
-        .select("_id", _numbered_lines(F.col("_text")).alias("_lines"), F.explode("_asked").alias("_m"))
-        .select("_id", "_m.*", _plain(F.get("_lines", F.col("_m._no"))).alias("_line"))
-        # Rows may share an id: the line must be the one asked for.
-        .filter((F.xxhash64(F.lit(1), "_line") == F.col("_a")) & (F.xxhash64(F.lit(2), "_line") == F.col("_b")))
+        .join(places, "_id")
+        .select("_id", F.explode(F.arrays_zip(F.col("_nos").alias("n"), some.alias("l"))).alias("_m"))
+        .select("_id", F.col("_m.n").alias("_no"), _plain(F.col("_m.l")).alias("_line"))
+        .select("_id", "_no", "_line", F.xxhash64(F.lit(1), "_line").alias("_a"), F.xxhash64(F.lit(2), "_line").alias("_b"))
     )
-    return found.select("_a", "_b", "_id", "_no", "_ahead", "_behind", F.split("_line", " ").alias("_words")).dropDuplicates(["_a", "_b"])
+    # Rows may share an id: the line must be the one asked for.
+    asked_for = found.join(wanted, ["_a", "_b", "_id", "_no"]).dropDuplicates(["_a", "_b"])
+    return asked_for.select("_a", "_b", "_id", "_no", "_ahead", "_behind", F.split("_line", " ").alias("_words"))
 
 
 def variants(held: DataFrame) -> DataFrame:
