@@ -43,6 +43,19 @@ def parse_values(text: Column) -> Column:
     return F.when(bad, empty).otherwise(numbers)
 
 
+def integral(text: Column, kind: str = "bigint") -> Column:
+    """A whole number, also where it is written with decimals (``3.0``); NULL for anything else."""
+    number = text.try_cast("double")
+    return F.coalesce(text.try_cast(kind), F.when(number == F.floor(number), number.try_cast(kind)))
+
+
+def value_list(text: Column) -> Column:
+    """A list of numbers from its JSON text or from ``"1,2,3"``; an entry that is no number is NULL in a JSON list."""
+    listed = F.transform(F.from_json(text, "array<string>"), lambda v: v.try_cast("double"))
+    plain = parse_values(text).cast("array<double>")
+    return F.when(F.ltrim(text).startswith("["), listed).when(text.isNotNull(), plain)
+
+
 # -- statistics of one list ------------------------------------------------------------------------------------------
 
 

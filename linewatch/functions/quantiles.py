@@ -15,7 +15,9 @@ _MAX_ROUNDS = 12  # each round cuts a bracket about 250-fold; the result is exac
 
 
 def quantile_name(p: float) -> str:
-    return f"p{round(p * 100):02d}"
+    """``p05``, ``p50``, ``p99_5``: the percentage with all its decimals."""
+    whole, _, rest = f"{p * 100:.10f}".rstrip("0").partition(".")
+    return f"p{int(whole):02d}" + (f"_{rest}" if rest else "")
 
 
 def exact_quantiles(
@@ -31,6 +33,8 @@ def exact_quantiles(
     outside the bracket are only counted, and the bracket is narrowed until its rows fit one task.
     """
     by = list(by)
+    if len({quantile_name(p) for p in probs}) < len(probs):
+        raise ValueError(f"two of {list(probs)} have one name")
     rows = df.select(*by, F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
     if largest <= max_rows:

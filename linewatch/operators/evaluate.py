@@ -68,13 +68,14 @@ def _per_target_window(detections: DataFrame) -> DataFrame:
 
 
 def incident_hits(detections: DataFrame, incidents: DataFrame, window_seconds: float) -> DataFrame:
-    """Per closed incident: touched windows, detections in them, score sum and first detection."""
+    """Per closed incident: touched windows, those with a detection, detections in them, score sum and first detection."""
     touched = incident_windows(incidents, window_seconds)
     return (
         touched.join(_per_target_window(detections), ["dst", "time_window"], "left")
         .groupBy("attack_id", "attack_type", "started_at")
         .agg(
             F.count(F.lit(1)).alias("attack_windows"),
+            F.count("detections").alias("detected_windows"),
             F.coalesce(F.sum("detections"), F.lit(0)).alias("true_positives"),
             F.sum("score_sum").alias("score_sum"),
             F.min("first_at").alias("first_detected_at"),
@@ -173,7 +174,10 @@ def before_after(
 def incident_quality(
     detections: DataFrame, incidents: DataFrame, window_seconds: float, baseline_seconds: float = 30
 ) -> DataFrame:
-    """Per closed incident: true positives, baseline false positives, detection rate and precision."""
+    """Per closed incident: true positives, baseline false positives, detection rate and precision.
+
+    The rate is the share of touched windows with a detection: several sources of one window count once.
+    """
     hits = incident_hits(detections, incidents, window_seconds)
     closed = incidents.filter(F.col("completed_at").isNotNull())
     before = before_after(detections, closed, baseline_seconds, 0).select(
@@ -186,7 +190,7 @@ def incident_quality(
         "attack_windows",
         "true_positives",
         "false_positives",
-        (tp / F.col("attack_windows")).alias("detection_rate"),
+        (F.col("detected_windows") / F.col("attack_windows")).alias("detection_rate"),
         F.try_divide(tp, tp + fp).alias("precision"),
     )
 

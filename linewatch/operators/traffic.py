@@ -12,7 +12,6 @@ from linewatch.functions.quantiles import exact_quantiles, quantile_name
 from linewatch.functions.skew import MAX_GROUP_ROWS, chunked_neighbours, lay_out, split_hot
 from linewatch.schemas import ORDER, PAIR_KEYS
 
-MAX_CODES = 1_000  # a function code is one byte in the protocol
 IAT_PERCENTILES = (0.25, 0.50, 0.75, 0.95)
 
 
@@ -21,11 +20,14 @@ def _windowed(readings: DataFrame, window_seconds: float) -> DataFrame:
 
 
 def function_codes(readings: DataFrame) -> list[str]:
-    """The function codes in use; they become columns, so their number is checked."""
-    rows = readings.select("func").filter("func is not null").distinct().limit(MAX_CODES + 1).collect()
-    if len(rows) > MAX_CODES:
-        raise ValueError(f"more than {MAX_CODES} function codes; pass the wanted ones")
-    return sorted(r[0] for r in rows)
+    """The function codes in use, which become columns; ``code_counts_long`` has no such column per code."""
+    return sorted(r[0] for r in readings.select("func").filter("func is not null").distinct().collect())
+
+
+def code_counts_long(readings: DataFrame, window_seconds: float = 60) -> DataFrame:
+    """One row per pair-window and function code in it, for any number of codes."""
+    rows = _windowed(readings, window_seconds).filter("func is not null")
+    return rows.groupBy(*PAIR_KEYS, "func").agg(F.count(F.lit(1)).alias("n"))
 
 
 def code_counts(readings: DataFrame, window_seconds: float = 60, codes: Sequence[str] | None = None) -> DataFrame:

@@ -24,6 +24,7 @@ from linewatch.schemas import (
 )
 from linewatch.session import working_path
 from linewatch.sources import adapters, readings as src, sinks
+from linewatch.sources.tail import file_store
 from linewatch.streaming import detect as live
 from linewatch.streaming.features import stream_pair_features
 
@@ -43,6 +44,8 @@ TREES = [
 ]
 SAMPLE_SIZE = 256
 DETECTION_DELAY = 5.0
+HISTORY_COLUMNS = ["value_mean_mean_deviation", "read_count_sum_rolling_mean", "value_change_rate_mean_rolling_std"]
+HISTORY_THRESHOLD = -0.687
 VECTOR_COLUMNS = ["e0", "e1", "e2", "e3"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,7 +106,7 @@ def records(spark: SparkSession, folder: str, window: int = DAY) -> DataFrame:
     return record.record_features(readings(spark, folder), window)
 
 
-def fixed_model(features: DataFrame, profile: str = "register") -> forest.ForestModel:
+def fixed_model(features: DataFrame, profile: str = "register", trees=TREES, columns=MODEL_COLUMNS) -> forest.ForestModel:
     """The hand-written forest with a scaler fitted on the features."""
     rows: list[list] = []
 
@@ -119,18 +122,30 @@ def fixed_model(features: DataFrame, profile: str = "register") -> forest.Forest
             here[6] = spec
         return me
 
-    for number, spec in enumerate(TREES):
+    for number, spec in enumerate(trees):
         add(number, spec)
     nodes = pd.DataFrame(rows, columns=["tree", "node", "feature", "split", "left", "right", "path"])
     return forest.ForestModel(
         profile=profile,
-        scaler=scaling.fit_scaler(features, MODEL_COLUMNS),
+        scaler=scaling.fit_scaler(features, columns),
         nodes=nodes,
         sample_size=SAMPLE_SIZE,
-        trees=len(TREES),
+        trees=len(trees),
     )
 
 
+def wide_trees() -> list:
+    """One tree of depth two per four features: splits and leaf paths follow from the feature's number."""
+    return [
+        (i, 0.1 * (i % 7) - 0.3, (i + 1, 0.05 * i - 0.6, 4.0 + i % 3, 6.5), (i + 2, 0.2, (i + 3, -0.1, 7.25, 8.5), 5.5 + i % 2))
+        for i in range(0, len(PAIR_FEATURE_COLUMNS), 4)
+    ]
+
+
+def wide_model(features: DataFrame) -> forest.ForestModel:
+    return fixed_model(features, trees=wide_trees(), columns=PAIR_FEATURE_COLUMNS)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Features and scored rows are tables between the jobs: computed once, read by whatever follows."""
     path = working_path(df.sparkSession, name)
@@ -205,6 +220,34 @@ def _damaged(spark: SparkSession, folder: str) -> DataFrame:
     return lines.withColumn("value", F.when(tenth == 0, broken).when(tenth == 1, unstamped).otherwise(F.col("value")))
 
 
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Well-formed lines, four fifths of them with a field of another type."""
+    lines, kind = raw_lines(spark, folder), F.col("seq") % 5
+    value = F.col("value")
+    return lines.withColumn(
+        "value",
+        F.when(kind == 0, F.regexp_replace(value, r'"unit":[0-9]+', '"unit":"x"'))
+        .when(kind == 1, F.regexp_replace(value, r'"response_values":\[[^\]]*\]', '"response_values":"3,4"'))
+        .when(kind == 2, F.regexp_replace(value, r'"address":[0-9]+', '"address":3.5'))
+        .when(kind == 3, F.regexp_replace(value, r'"response_values":\[[^\]]*\]', '"response_values":[1,"z"]'))
+        .otherwise(value),
+    )
+
+
+@query("S1_mixed_types")
+def _(spark, folder):
+    """A field of another type costs that field, not the line."""
+    path = write_lines(_mixed(spark, folder), working_path(spark, "mixed"))
+    return _shown(src.read_readings(spark, path))
+
+
+@query("S2_mixed_line_counts")
+def _(spark, folder):
+    """Mismatched fields are not malformed lines."""
+    damaged = _damaged(spark, folder).filter("seq % 10 < 2").unionByName(_mixed(spark, folder).filter("seq % 10 >= 2"))
+    return src.line_counts(spark, write_lines(damaged, working_path(spark, "damaged")))
+
+
 @query("S2_skip_malformed_lines")
 def _(spark, folder):
     path = write_lines(_damaged(spark, folder), working_path(spark, "damaged"))
@@ -217,14 +260,13 @@ def _(spark, folder):
     return src.line_counts(spark, path)
 
 
-@query("S3_read_tsv_logs")
-def _(spark, folder):
+def _tsv(spark: SparkSession, folder: str, uid: Column) -> DataFrame:
     r = readings(spark, folder)
     values = F.when(F.col("seq") % 10 == 0, "-").otherwise(
         F.concat_ws(",", F.col("src_port").cast("string"), (F.col("seq") % 5).cast("string"))
     )
     text = F.concat_ws(
-        "\t", F.format_string("%.6f", "ts"), "uid", "src", F.col("src_port").cast("string"), "dst", F.lit("502"),
+        "\t", F.format_string("%.6f", "ts"), uid, "src", F.col("src_port").cast("string"), "dst", F.lit("502"),
         F.lit("tcp"), F.lit("t"), F.col("unit").cast("string"), "func", "pdu_type", F.col("address").cast("string"),
         F.lit("1"), values,
     )
@@ -238,13 +280,24 @@ def _(spark, folder):
     )
 
 
+@query("S3_read_tsv_logs")
+def _(spark, folder):
+    return _tsv(spark, folder, F.col("uid"))
+
+
+@query("S3_quotes")
+def _(spark, folder):
+    """A quote is a character like any other."""
+    return _tsv(spark, folder, F.when(F.col("seq") % 3 == 0, F.concat(F.lit('"'), "uid")).otherwise(F.col("uid")))
+
+
 def _drain(query_) -> None:
     query_.awaitTermination()
 
 
-def _streamed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all files present and read what it stored."""
-    out, mark = working_path(spark, name), working_path(spark, f"{name}-checkpoint")
+def _streamed(spark: SparkSession, stream: DataFrame, name: str, place: tuple[str, str] | None = None) -> DataFrame:
+    """Run a stream over all files present and read what it stored, so far if ``place`` (output, checkpoint) was used before."""
+    out, mark = place or (working_path(spark, name), working_path(spark, f"{name}-checkpoint"))
     started = (
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", mark)
         .trigger(availableNow=True).start(out)
@@ -253,12 +306,43 @@ def _streamed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query("S4_follow_growing_logs")
+@query("S4_follow_log_files")
 def _(spark, folder):
+    """Finished logs, each read once."""
     path = write_lines(raw_lines(spark, folder), working_path(spark, "growing"))
     return _shown(_streamed(spark, src.stream_readings(spark, path), "followed"))
 
 
+def grow_logs(lines: DataFrame, path: str, share: tuple[float, float]) -> None:
+    """Append a share of the bytes of four log files, written by the tasks; a cut may fall inside a line."""
+
+    def append(rows) -> None:
+        texts: dict[int, list[str]] = {}
+        for r in rows:
+            texts.setdefault(r["_file"], []).append(r["value"])
+        store, inner = file_store(path)
+        for number, values in texts.items():
+            data = ("\n".join(values) + "\n").encode()
+            with store.open_append_stream(f"{inner}/log-{number}") as file:
+                file.write(data[int(len(data) * share[0]) : int(len(data) * share[1])])
+
+    store, inner = file_store(path)
+    store.create_dir(inner)
+    placed = lines.select("value", "ts", "seq", (F.col("day") % 4).cast("int").alias("_file"))
+    placed.repartition(4, "_file").sortWithinPartitions("_file", "ts", "seq").foreachPartition(append)
+
+
+@query("S4_follow_growing_logs")
+def _(spark, folder):
+    """Half of each file, one run, the rest appended, another run on the same checkpoint."""
+    path, lines = working_path(spark, "growing"), raw_lines(spark, folder)
+    place = working_path(spark, "followed"), working_path(spark, "followed-checkpoint")
+    for share in ((0.0, 0.5), (0.5, 1.0)):
+        grow_logs(lines, path, share)
+        got = _streamed(spark, src.tail_readings(spark, path), "followed", place)
+    return _shown(got)
+
+
 @query("S5_start_from_timestamp")
 def _(spark, folder):
     path = write_lines(raw_lines(spark, folder), working_path(spark, "growing"))
@@ -416,8 +500,9 @@ def _(spark, folder):
 
 @query("P12_feature_vector")
 def _(spark, folder):
+    """All names of the vector, and one that the table has not."""
     features = pairs(spark, folder)
-    vector = X.feature_vector(features, ["entropy_mean", "not_there", "read_count_sum"])
+    vector = X.feature_vector(features, [*PAIR_FEATURE_COLUMNS, "not_there"])
     return features.select(*PAIR_KEYS, F.posexplode(vector).alias("position", "x"))
 
 
@@ -544,6 +629,11 @@ def _(spark, folder):
     return traffic.code_counts(readings(spark, folder, True), DAY, CODES)
 
 
+@query("C2_function_codes_long")
+def _(spark, folder):
+    return traffic.code_counts_long(readings(spark, folder, True), DAY)
+
+
 @query("C3_gap_statistics")
 def _(spark, folder):
     return traffic.gap_features(readings(spark, folder), QUARTER)
@@ -565,6 +655,12 @@ def _(spark, folder):
     return traffic.window_features(readings(spark, folder), DAY, pivot=False)
 
 
+@query("J1_window_features_full")
+def _(spark, folder):
+    """With function codes and gap percentiles."""
+    return traffic.window_features(readings(spark, folder, True), DAY, percentiles=traffic.IAT_PERCENTILES)
+
+
 @query("J2_traffic_with_codes")
 def _(spark, folder):
     return traffic.traffic_features(readings(spark, folder, True), DAY)
@@ -580,8 +676,8 @@ def _(spark, folder):
 
 @query("M1_apply_scaler")
 def _(spark, folder):
-    features = stored(pairs(spark, folder).select(*PAIR_KEYS, *MODEL_COLUMNS), "features")
-    return scaling.apply_scaler(features, scaling.fit_scaler(features, MODEL_COLUMNS))
+    features = stored(pairs(spark, folder).select(*PAIR_KEYS, *PAIR_FEATURE_COLUMNS), "features")
+    return scaling.apply_scaler(features, scaling.fit_scaler(features, PAIR_FEATURE_COLUMNS))
 
 
 @query("M2_standardise_table")
@@ -604,6 +700,39 @@ def _(spark, folder):
     return flagged.select(*PAIR_KEYS, "anomaly_score", "anomaly")
 
 
+@query("M3_tree_shapes")
+def _(spark, folder):
+    """Per tree: one root, twice as many nodes as leaves less one, every child used once, and the rows it was grown from."""
+    features = stored(pairs(spark, folder), "features")
+    nodes = spark.createDataFrame(forest.fit_forest(features, PAIR_FEATURE_COLUMNS).nodes, forest.NODE_SCHEMA)
+    leaf = F.col("feature") < 0
+    inner = nodes.filter(~leaf).select("tree", F.explode(F.array("left", "right")).alias("node"))
+    children = inner.groupBy("tree").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("node").alias("d"), F.min("node").alias("m"))
+    shapes = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.count_if(leaf).alias("leaves"), F.count_if(F.col("node") == 0).alias("roots"))
+    whole = (F.col("n") == 2 * F.col("leaves") - 1) & (F.col("c") == F.col("n") - 1) & (F.col("d") == F.col("c")) & (F.col("m") > 0)
+    return shapes.join(children, "tree").select("tree", "roots", whole.alias("whole"))
+
+
+@query("M3_score_checks")
+def _(spark, folder):
+    """Per row: the score lies in (-1, 0), and flagged rows are those strictly below the wanted quantile."""
+    features = stored(pairs(spark, folder), "features")
+    _, flagged = jobs.train(features, contamination=CONTAMINATION)
+    kept = stored(flagged.select(*PAIR_KEYS, "anomaly_score", "anomaly"), "scored")
+    limit = kept.agg(F.percentile("anomaly_score", F.lit(CONTAMINATION)).alias("_limit"))
+    score = F.col("anomaly_score")
+    return kept.join(F.broadcast(limit)).select(
+        *PAIR_KEYS, ((score > -1) & (score < 0)).alias("in_range"), ((score < F.col("_limit")) == (F.col("anomaly") == 1)).alias("flag_agrees")
+    )
+
+
+@query("M4_score_wide_forest")
+def _(spark, folder):
+    """A fixed forest that asks for each of the 28 features."""
+    features = stored(pairs(spark, folder), "features")
+    return forest.score(features, wide_model(features)).select(*PAIR_KEYS, "anomaly_score")
+
+
 @query("M4_score_fixed_forest")
 def _(spark, folder):
     return scored(spark, folder).select(*PAIR_KEYS, "anomaly_score")
@@ -712,8 +841,9 @@ def _(spark, folder):
 
 @query("C14_storage_statistics")
 def _(spark, folder):
+    """All detections of a day come from one task, so there is one file per day."""
     out = working_path(spark, "detections")
-    sinks.write_detections(detections(spark, folder), out)
+    sinks.write_detections(detections(spark, folder).repartition(F.to_date("detected_at")), out)
     return det.storage_stats(src.read_detections(spark, out))
 
 
@@ -831,12 +961,87 @@ def _(spark, folder):
     return _streamed(spark, stream_pair_features(_stream(spark, folder), DAY, "1 hour"), "rollup")
 
 
+ODD = 5_000  # a window length that sixty does not divide into whole microseconds
+
+
+@query("T1_odd_window")
+def _(spark, folder):
+    found = stream_pair_features(_stream(spark, folder), ODD, "1 hour", profile="record")
+    return _streamed(spark, found, "windows")
+
+
+@query("T3_odd_window")
+def _(spark, folder):
+    return _streamed(spark, stream_pair_features(_stream(spark, folder), ODD, "1 hour"), "rollup")
+
+
 @query("T4_stream_history")
 def _(spark, folder):
     found = live.stream_history(stream_pair_features(_stream(spark, folder), DAY, "1 hour", profile="record"))
     return _streamed(spark, found, "history").select(*PAIR_KEYS, *CONTEXT_COLUMNS)
 
 
+@query("T4_register_history")
+def _(spark, folder):
+    """Register windows on a stream with the context of their profile: five windows, relative deviation."""
+    found = live.stream_history(stream_pair_features(_stream(spark, folder), DAY, "1 hour"))
+    return _streamed(spark, found, "history").select(*PAIR_KEYS, *CONTEXT_COLUMNS)
+
+
+LATE_EVERY = 50
+
+
+@query("T2_late_rows")
+def _(spark, folder):
+    """One run over all readings, then every fiftieth once more: those whose slice was closed are counted as late."""
+    path, lines = working_path(spark, "late"), raw_lines(spark, folder)
+    place = working_path(spark, "late-out"), working_path(spark, "late-checkpoint")
+    live.use_rocksdb(spark)
+    dropped = 0
+    for number, part in enumerate((lines, lines.filter(F.col("seq") % LATE_EVERY == 0))):
+        write_lines(part, f"{path}/{number}")
+        stream = live.lateness(src.stream_readings(spark, f"{path}/*"), HOUR, "1 hour")
+        query_ = (
+            stream.writeStream.format("parquet").option("checkpointLocation", place[1]).trigger(availableNow=True).start(place[0])
+        )
+        _drain(query_)
+        dropped += live.late_rows(query_)
+    taken = spark.read.schema("rows long").parquet(place[0]).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return spark.createDataFrame([(int(taken), int(dropped))], "taken long, late long")
+
+
+@query("T6_status")
+def _(spark, folder):
+    """The counters after one run: readings taken in, detections, the newest completed window."""
+    name = f"status-{working_path(spark, 'x')[-8:]}"
+    listener = live.StatusListener([name])
+    spark.streams.addListener(listener)
+    try:
+        model = fixed_model(records(spark, folder, QUARTER), "record")
+        features = stream_pair_features(live.count_records(_stream(spark, folder)), QUARTER, "1 hour", profile="record")
+        found = live.detect_stream(features, model, THRESHOLD)
+        _drain(
+            found.writeStream.format("parquet").queryName(name).option("checkpointLocation", working_path(spark, "status-checkpoint"))
+            .trigger(availableNow=True).start(working_path(spark, "status"))
+        )
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        s = listener.status()
+    finally:
+        spark.streams.removeListener(listener)
+    row = (s["running"], s["records_processed"], s["anomalies_detected"], s["current_window"])
+    return spark.createDataFrame([row], "running boolean, records_processed long, anomalies_detected long, current_window long")
+
+
+@query("T5_history_detections")
+def _(spark, folder):
+    """Windows with their history scored by a forest that uses it."""
+    features = temporal.history_context(records(spark, folder))
+    model = fixed_model(features, "record", columns=HISTORY_COLUMNS)
+    pairs_ = live.stream_history(stream_pair_features(_stream(spark, folder), DAY, "1 hour", profile="record"))
+    found = live.detect_stream(pairs_, model, HISTORY_THRESHOLD)
+    return _streamed(spark, found, "flagged").select(*PAIR_KEYS, "anomaly_score")
+
+
 @query("T5_stream_detections")
 def _(spark, folder):
     """Record features of completed windows scored by the fixed forest; only flagged ones are stored."""

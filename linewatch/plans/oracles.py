@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 
 from linewatch.plans.catalog import (
-    CODES, CONTAMINATION, DAY, DETECTION_DELAY, HISTORY_END, HISTORY_START, HOUR, MODEL_COLUMNS, QUARTER,
-    SAMPLE_SIZE, THRESHOLD, TREES, VECTOR_COLUMNS,
+    CODES, CONTAMINATION, DAY, DETECTION_DELAY, HISTORY_COLUMNS, HISTORY_END, HISTORY_START, HISTORY_THRESHOLD, LATE_EVERY, HOUR, MODEL_COLUMNS, ODD, QUARTER,
+    SAMPLE_SIZE, THRESHOLD, TREES, VECTOR_COLUMNS, wide_trees,
 )
 from linewatch.schemas import CONTEXT_COLUMNS, CONTEXT_SOURCES, PAIR_FEATURE_COLUMNS, ROLLUP_COLUMNS
 
@@ -126,17 +126,17 @@ def _path(spec) -> str:
     return f"CASE WHEN z{number} <= {split}::DOUBLE THEN {_path(low)} ELSE {_path(high)} END"
 
 
-def _scored(window: int) -> str:
+def _scored(window: int, trees=TREES, columns=MODEL_COLUMNS, threshold: float = THRESHOLD) -> str:
     n = SAMPLE_SIZE
     normal = 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
-    scale = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(MODEL_COLUMNS))
-    z = ", ".join(f"({c} - m{i}) / s{i} AS z{i}" for i, c in enumerate(MODEL_COLUMNS))
-    total = " + ".join(f"({_path(t)})" for t in TREES)
+    scale = ", ".join(f"avg({c}) AS m{i}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS s{i}" for i, c in enumerate(columns))
+    z = ", ".join(f"({c} - m{i}) / s{i} AS z{i}" for i, c in enumerate(columns))
+    total = " + ".join(f"({_path(t)})" for t in trees)
     return f"""
 scale AS (SELECT {scale} FROM feat),
 zed AS (SELECT feat.*, {z} FROM feat, scale),
-sc0 AS (SELECT *, -power(2::DOUBLE, -(({total}) / {len(TREES)}) / {normal!r}::DOUBLE) AS anomaly_score FROM zed),
-scored AS (SELECT *, CASE WHEN anomaly_score < {THRESHOLD}::DOUBLE THEN 1 ELSE 0 END AS anomaly FROM sc0),
+sc0 AS (SELECT *, -power(2::DOUBLE, -(({total}) / {len(trees)}) / {normal!r}::DOUBLE) AS anomaly_score FROM zed),
+scored AS (SELECT *, CASE WHEN anomaly_score < {threshold}::DOUBLE THEN 1 ELSE 0 END AS anomaly FROM sc0),
 det AS (
   SELECT time_window, src, dst, anomaly_score, entropy_mean,
          (time_window + 1) * {window}::DOUBLE + {DETECTION_DELAY} + read_count_sum AS detected_at
@@ -186,22 +186,35 @@ _REG = "time_window, src, dst, address"
 _READ = "ts, uid, src, src_port, dst, tid, unit, func, pdu_type, address, seq, v0 AS value_0, v1 AS value_1"
 _READ_DOUBLES = ["ts", "value_0", "value_1"]
 add("S1_read_json_logs", EVENTS, f"SELECT {_READ} FROM ev", _READ_DOUBLES)
-add("S2_skip_malformed_lines", EVENTS, f"SELECT {_READ} FROM ev WHERE seq % 10 > 1", _READ_DOUBLES)
+_MIXED = EVENTS + (
+    ", mixed AS (SELECT * REPLACE (CASE WHEN seq % 5 <> 0 THEN unit END AS unit, CASE WHEN seq % 5 <> 2 THEN address END AS address, "
+    "CASE seq % 5 WHEN 1 THEN 3 WHEN 3 THEN 1 ELSE v0 END AS v0, CASE seq % 5 WHEN 1 THEN 4 WHEN 3 THEN 0 ELSE v1 END AS v1) FROM ev)"
+)
+add("S1_mixed_types", _MIXED, f"SELECT {_READ} FROM mixed", _READ_DOUBLES)
 add(
-    "S2_line_counts",
+    "S2_mixed_line_counts",
     EVENTS,
     "SELECT count(*) AS lines, count(*) FILTER (seq % 10 = 0) AS malformed, "
     "count(*) FILTER (seq % 10 = 1) AS unstamped FROM ev",
 )
+add("S2_skip_malformed_lines", EVENTS, f"SELECT {_READ} FROM ev WHERE seq % 10 > 1", _READ_DOUBLES)
 add(
-    "S3_read_tsv_logs",
+    "S2_line_counts",
     EVENTS,
-    "SELECT ts, uid, src, src_port, dst, 502 AS dst_port, unit, func, pdu_type, address AS register_start, "
-    "CASE WHEN seq % 10 = 0 THEN 0 ELSE 2 END AS n_values, "
-    "CASE WHEN seq % 10 = 0 THEN 0.0 ELSE (seq % 5)::DOUBLE END AS value_1 FROM ev WHERE seq % 7 <> 0",
-    ["ts", "value_1"],
-    ["dst_port", "n_values"],
+    "SELECT count(*) AS lines, count(*) FILTER (seq % 10 = 0) AS malformed, "
+    "count(*) FILTER (seq % 10 = 1) AS unstamped FROM ev",
 )
+for _name, _uid in (("S3_read_tsv_logs", "uid"), ("S3_quotes", "CASE WHEN seq % 3 = 0 THEN '\"' || uid ELSE uid END AS uid")):
+    add(
+        _name,
+        EVENTS,
+        f"SELECT ts, {_uid}, src, src_port, dst, 502 AS dst_port, unit, func, pdu_type, address AS register_start, "
+        "CASE WHEN seq % 10 = 0 THEN 0 ELSE 2 END AS n_values, "
+        "CASE WHEN seq % 10 = 0 THEN 0.0 ELSE (seq % 5)::DOUBLE END AS value_1 FROM ev WHERE seq % 7 <> 0",
+        ["ts", "value_1"],
+        ["dst_port", "n_values"],
+    )
+add("S4_follow_log_files", EVENTS, f"SELECT {_READ} FROM ev", _READ_DOUBLES)
 add("S4_follow_growing_logs", EVENTS, f"SELECT {_READ} FROM ev", _READ_DOUBLES)
 add("S5_start_from_timestamp", EVENTS, f"SELECT {_READ} FROM ev WHERE ts >= 1705000000", _READ_DOUBLES)
 add("S6_feature_table_round_trip", DAILY, "SELECT * FROM feat", PAIR_FEATURE_COLUMNS)
@@ -299,8 +312,10 @@ add(
 add(
     "P12_feature_vector",
     DAILY,
-    f"SELECT {_KEYS}, 0::BIGINT AS position, entropy_mean AS x FROM feat UNION ALL "
-    f"SELECT {_KEYS}, 1, 0::DOUBLE FROM feat UNION ALL SELECT {_KEYS}, 2, read_count_sum FROM feat",
+    " UNION ALL ".join(
+        f"SELECT {_KEYS}, {i}::BIGINT AS position, {c}::DOUBLE AS x FROM feat"
+        for i, c in enumerate([*PAIR_FEATURE_COLUMNS, "0"])
+    ),
     ["x"],
 )
 add(
@@ -397,6 +412,7 @@ add(
     _GAP_DOUBLES,
 )
 add("C4_gap_percentiles", _DAY_TRAFFIC, f"SELECT {_KEYS}, {', '.join(_PERCENTILES)} FROM ia", _PERCENTILES)
+add("C2_function_codes_long", _DAY_TRAFFIC, f"SELECT {_KEYS}, code AS func, count(*) AS n FROM tw GROUP BY ALL")
 add("C5_connections", EVENTS, _CONNECTIONS.format(func="code"), _CONNECTION_DOUBLES)
 add(
     "J1_window_features",
@@ -404,6 +420,13 @@ add(
     f"SELECT tr.*, {', '.join(_GAP_DOUBLES)} FROM tr LEFT JOIN ia USING ({_KEYS})",
     [*_TRAFFIC_DOUBLES, *_GAP_DOUBLES],
 )
+add(
+    "J1_window_features_full",
+    _DAY_TRAFFIC + f", pv AS (SELECT {_KEYS}, {_PIVOT} FROM tw GROUP BY {_KEYS})",
+    f"SELECT tr.*, pv.* EXCLUDE ({_KEYS}), {', '.join([*_GAP_DOUBLES, *_PERCENTILES])} "
+    f"FROM tr LEFT JOIN pv USING ({_KEYS}) LEFT JOIN ia USING ({_KEYS})",
+    [*_TRAFFIC_DOUBLES, *_GAP_DOUBLES, *_PERCENTILES],
+)
 add(
     "J2_traffic_with_codes",
     _DAY_TRAFFIC + f", pv AS (SELECT {_KEYS}, {_PIVOT} FROM tw GROUP BY {_KEYS})",
@@ -411,6 +434,12 @@ add(
     _TRAFFIC_DOUBLES,
 )
 
+add(
+    "C14_storage_statistics",
+    DAILY_SCORED,
+    "SELECT count(DISTINCT floor(detected_at / 86400)) AS files, count(*) AS total_anomalies FROM det",
+)
+
 # -- scaling, forest, clustering -------------------------------------------------------------------------------------
 
 add(
@@ -432,7 +461,7 @@ def _standardised(columns: list[str]) -> str:
     )
 
 
-add("M1_apply_scaler", DAILY, f"SELECT {_KEYS}, {_standardised(MODEL_COLUMNS)} FROM feat", MODEL_COLUMNS)
+add("M1_apply_scaler", DAILY, f"SELECT {_KEYS}, {_standardised(PAIR_FEATURE_COLUMNS)} FROM feat", PAIR_FEATURE_COLUMNS)
 add(
     "M2_standardise_table",
     DAILY,
@@ -441,6 +470,14 @@ add(
 )
 _SCORE = f"SELECT {_KEYS}, anomaly_score FROM scored"
 add("M4_score_fixed_forest", DAILY_SCORED, _SCORE, ["anomaly_score"])
+add("M3_tree_shapes", "", "SELECT CAST(range AS BIGINT) AS tree, 1::BIGINT AS roots, true AS whole FROM range(100)")
+add("M3_score_checks", DAILY, f"SELECT {_KEYS}, true AS in_range, true AS flag_agrees FROM feat")
+add(
+    "M4_score_wide_forest",
+    ",".join([DAILY, _scored(DAY, wide_trees(), PAIR_FEATURE_COLUMNS)]),
+    _SCORE,
+    ["anomaly_score"],
+)
 add(
     "M5_flag_contamination",
     HOURLY_SCORED,
@@ -596,7 +633,7 @@ add(
 )
 _HITS = JUDGED + (
     ", hits AS (SELECT attack_id, attack_type, started_at, count(DISTINCT touch.time_window) AS attack_windows, "
-    "count(det.dst) AS true_positives, avg(anomaly_score) AS mean_anomaly_score, sum(anomaly_score) AS total, "
+    "count(DISTINCT det.time_window) AS detected_windows, count(det.dst) AS true_positives, avg(anomaly_score) AS mean_anomaly_score, sum(anomaly_score) AS total, "
     "min(detected_at) AS first_at "
     "FROM touch LEFT JOIN det ON det.dst = touch.dst AND det.time_window = touch.time_window "
     "GROUP BY attack_id, attack_type, started_at)"
@@ -607,7 +644,7 @@ add(
     + ", fp AS (SELECT attack_id, count(det.dst) AS false_positives FROM inc LEFT JOIN det ON det.dst = inc.target "
     "AND detected_at >= started_at - 3600 AND detected_at < started_at GROUP BY attack_id)",
     "SELECT attack_id, attack_type, attack_windows, true_positives, false_positives, "
-    "true_positives / attack_windows AS detection_rate, "
+    "detected_windows / attack_windows AS detection_rate, "
     "CASE WHEN true_positives + false_positives > 0 THEN true_positives / (true_positives + false_positives) END AS precision "
     "FROM hits JOIN fp USING (attack_id)",
     ["detection_rate", "precision"],
@@ -678,12 +715,53 @@ add(
     f"SELECT {_KEYS}, {', '.join(ROLLUP_COLUMNS)} FROM roll WHERE {_closed(DAY)}",
     ROLLUP_COLUMNS,
 )
+add(
+    "T1_odd_window",
+    ",".join([EVENTS, _records(ODD)]),
+    f"SELECT {_KEYS}, {', '.join(ROLLUP_COLUMNS)} FROM roll WHERE {_closed(ODD)}",
+    ROLLUP_COLUMNS,
+)
+add(
+    "T3_odd_window",
+    ",".join([EVENTS, _registers(ODD), ROLLUP]),
+    f"SELECT {_KEYS}, {', '.join(ROLLUP_COLUMNS)} FROM roll WHERE {_closed(ODD)}",
+    ROLLUP_COLUMNS,
+)
 add(
     "T4_stream_history",
     ",".join([_DAILY_RECORDS, _history()]),
     f"SELECT * FROM hist WHERE {_closed(DAY)}",
     CONTEXT_COLUMNS,
 )
+add(
+    "T4_register_history",
+    DAILY,
+    f"SELECT {_KEYS}, {', '.join(CONTEXT_COLUMNS)} FROM feat WHERE {_closed(DAY)}",
+    CONTEXT_COLUMNS,
+)
+add(
+    "T2_late_rows",
+    EVENTS,
+    f"SELECT (SELECT count(*) FROM ev) + count(*) FILTER (NOT gone) AS taken, count(*) FILTER (gone) AS late FROM "
+    f"(SELECT (floor(ts / 60) + 1) * 60 <= (SELECT floor((max(ts) - 3600) * 1000) / 1000 FROM ev) AS gone FROM ev WHERE seq % {LATE_EVERY} = 0)",
+)
+add(
+    "T6_status",
+    ",".join([_QUARTER_RECORDS, "feat AS (SELECT * FROM roll)", _scored(QUARTER)]),
+    "SELECT false AS running, (SELECT count(*) FROM ev) AS records_processed, "
+    f"(SELECT count(*) FROM det WHERE {_closed(QUARTER)}) AS anomalies_detected, "
+    f"(SELECT max(time_window) FROM roll WHERE {_closed(QUARTER)}) AS current_window",
+)
+add(
+    "T5_history_detections",
+    ",".join([
+        _DAILY_RECORDS, _history(),
+        "feat AS (SELECT roll.*, hist.* EXCLUDE (time_window, src, dst) FROM roll JOIN hist USING (time_window, src, dst))",
+        _scored(DAY, columns=HISTORY_COLUMNS, threshold=HISTORY_THRESHOLD),
+    ]),
+    f"SELECT {_KEYS}, anomaly_score FROM det WHERE {_closed(DAY)}",
+    ["anomaly_score"],
+)
 add(
     "T5_stream_detections",
     ",".join([_QUARTER_RECORDS, "feat AS (SELECT * FROM roll)", _scored(QUARTER)]),

@@ -45,24 +45,17 @@ READING = _struct(
 
 CORRUPT = "_corrupt"
 
-# What a log line holds before renaming. `ts` stays text so that a bad stamp costs one row, not the file.
+# What a log line holds before renaming. Every field is read as text and converted afterwards, so that a field of another
+# type costs that field, not the line.
 RAW_JSON = _struct(
-    ("ts", T.StringType()),
-    ("uid", T.StringType()),
-    ("id.orig_h", T.StringType()),
-    ("id.orig_p", T.IntegerType()),
-    ("id.resp_h", T.StringType()),
-    ("id.resp_p", T.IntegerType()),
-    ("tid", T.LongType()),
-    ("unit", T.IntegerType()),
-    ("func", T.StringType()),
-    ("pdu_type", T.StringType()),
-    ("address", T.LongType()),
-    ("register_start", T.LongType()),
-    ("response_values", T.ArrayType(T.DoubleType())),
-    ("seq", T.LongType()),
-    (CORRUPT, T.StringType()),
-)
+    *[
+        (c, T.StringType())
+        for c in [
+            "ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "tid", "unit", "func", "pdu_type", "address",
+            "register_start", "response_values", "seq", CORRUPT,
+        ]
+    ]
+)
 
 # Column order of the headerless tab-separated log.
 RAW_TSV_COLUMNS = [
@@ -73,9 +66,6 @@ EXTRA = "_extra"  # set where a line has more fields than the log format
 RAW_TSV = _struct(*[(c, T.StringType()) for c in [*RAW_TSV_COLUMNS, EXTRA]])
 
 _FEATURES = [(c, T.DoubleType()) for c in PAIR_FEATURE_COLUMNS]
-PAIR_FEATURES = _struct(
-    ("time_window", T.LongType()), ("src", T.StringType()), ("dst", T.StringType()), *_FEATURES
-)
 DETECTION = _struct(
     ("time_window", T.LongType()),
     ("src", T.StringType()),

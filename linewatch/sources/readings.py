@@ -8,32 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewatch.functions import exprs as X
-from linewatch.schemas import CORRUPT, EXTRA, RAW_JSON, RAW_TSV, READING
+from linewatch.schemas import CORRUPT, EXTRA, RAW_JSON, RAW_TSV
+from linewatch.sources.tail import FILE_SHIFT, RANGE_BYTES, LogTail
+
+PLACE = "_place"
 
 
 def normalise(raw: DataFrame) -> DataFrame:
-    """Raw log columns under their short names; rows without a usable stamp are left out."""
+    """Raw log columns (text) under their short names and types; rows without a usable stamp are left out."""
     renamed = raw.select(
         X.numeric_timestamp(F.col("ts")).alias("ts"),
         "uid",
         F.col("`id.orig_h`").alias("src"),
-        F.col("`id.orig_p`").alias("src_port"),
+        X.integral(F.col("`id.orig_p`"), "int").alias("src_port"),
         F.col("`id.resp_h`").alias("dst"),
-        F.col("`id.resp_p`").alias("dst_port"),
-        "tid",
-        "unit",
+        X.integral(F.col("`id.resp_p`"), "int").alias("dst_port"),
+        X.integral(F.col("tid")).alias("tid"),
+        X.integral(F.col("unit"), "int").alias("unit"),
         "func",
         "pdu_type",
-        "address",
-        "register_start",
-        "response_values",
-        "seq",
+        X.integral(F.col("address")).alias("address"),
+        X.integral(F.col("register_start")).alias("register_start"),
+        X.value_list(F.col("response_values")).alias("response_values"),
+        X.integral(F.col("seq")).alias("seq"),
+        *[c for c in raw.columns if c == PLACE],
     )
     return renamed.filter("ts is not null")
 
 
 def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Log lines with an explicit schema; an unreadable line keeps its text in ``_corrupt``."""
+    """Log lines with an explicit schema; only a line that is no JSON object is kept as text in ``_corrupt``."""
     return (
         spark.read.schema(RAW_JSON).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
     )
@@ -41,13 +45,29 @@ def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_readings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All log files of a path, glob or list. Malformed lines are skipped."""
-    raw = read_raw(spark, path)
+    raw = _placed(read_raw(spark, path))
     return _in_arrival_order(normalise(raw.filter(F.col(CORRUPT).isNull())))
 
 
+def _placed(raw: DataFrame) -> DataFrame:
+    """The place of every line, rising with file name and position in the file.
+
+    A split's lines count on from the byte where it begins: as a line has two bytes at least, no count reaches the next split.
+    """
+    files = sorted(raw.inputFiles())
+    names = raw.sparkSession.createDataFrame(list(enumerate(files)), "_rank long, _name string")
+    within = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    counted = raw.select("*", F.input_file_name().alias("_name"), within.alias(PLACE))
+    if len(files) > 1:  # one row per file, as many as the driver has planned for
+        counted = counted.join(F.broadcast(names), "_name", "left").withColumn(
+            PLACE, F.shiftleft(F.coalesce("_rank", F.lit(0)), FILE_SHIFT) + F.col(PLACE)
+        )
+    return counted.drop("_name", "_rank")
+
+
 def _in_arrival_order(readings: DataFrame) -> DataFrame:
-    """Lines without a sequence number get a rising one within their file split, to order equal stamps."""
-    return readings.withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id()))
+    """Lines without a sequence number are ordered among equal stamps by their place."""
+    return readings.withColumn("seq", F.coalesce("seq", PLACE)).drop(PLACE)
 
 
 def line_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -64,7 +84,7 @@ def line_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_readings_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Headerless tab-separated logs; comment lines and lines with too many fields are skipped, missing ones are NULL."""
-    raw = spark.read.schema(RAW_TSV).option("sep", "\t").option("comment", "#").csv(path)
+    raw = _placed(spark.read.schema(RAW_TSV).option("sep", "\t").option("comment", "#").option("quote", "").csv(path))
     readings = raw.filter(F.col(EXTRA).isNull()).select(
         X.numeric_timestamp(F.col("ts")).alias("ts"),
         "uid",
@@ -80,6 +100,7 @@ def read_readings_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("register_start").try_cast("bigint").alias("register_start"),
         X.parse_values(F.col("response_values")).cast("array<double>").alias("response_values"),
         F.lit(None).cast("bigint").alias("seq"),
+        PLACE,
     )
     return _in_arrival_order(readings.filter("ts is not null"))
 
@@ -104,23 +125,37 @@ def read_detections(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def stream_readings(
     spark: SparkSession, folder: str, from_ts: float | None = None, max_files: int | None = None
 ) -> DataFrame:
-    """Follow a folder of growing logs by its new files. ``from_ts`` ignores older readings."""
+    """Follow a folder of finished logs by its new files. ``from_ts`` ignores older readings.
+
+    A file is read once, when it appears; ``tail_readings`` follows files that grow.
+    """
     reader = (
         spark.readStream.schema(RAW_JSON).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     )
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     raw = reader.json(folder)
-    readings = normalise(raw.filter(F.col(CORRUPT).isNull()))
-    if from_ts is not None:
-        readings = readings.filter(F.col("ts") >= F.lit(float(from_ts)))
-    return readings
+    return _since(normalise(raw.filter(F.col(CORRUPT).isNull())), from_ts)
+
+
+def tail_readings(spark: SparkSession, path: str, from_ts: float | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Follow growing logs: whole lines appended to the files of a path or glob since the last batch, by byte offset.
+
+    The checkpoint keeps how far each file was read; a file that has become shorter was rotated and is read from its start.
+    """
+    spark.dataSource.register(LogTail)
+    lines = spark.readStream.format(LogTail.name()).option("path", path).option("rangeBytes", range_bytes).load()
+    parsed = lines.select(
+        F.from_json("value", RAW_JSON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("_line"), F.col("place").alias(PLACE)
+    )
+    raw = parsed.filter(F.col("_line").isNotNull() & F.col(f"_line.{CORRUPT}").isNull()).select("_line.*", PLACE)
+    return _since(_in_arrival_order(normalise(raw)), from_ts)
+
+
+def _since(readings: DataFrame, from_ts: float | None) -> DataFrame:
+    return readings if from_ts is None else readings.filter(F.col("ts") >= F.lit(float(from_ts)))
 
 
 def now_ts() -> float:
     """Epoch seconds of this moment, for ``stream_readings(from_ts=...)``."""
     return datetime.now(timezone.utc).timestamp()
-
-
-def empty_readings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], READING)

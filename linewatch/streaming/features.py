@@ -131,7 +131,7 @@ def stream_register_features(
     """Streaming form of the register windows, keyed by ``_window`` instead of ``time_window``."""
     keys = ["src", "dst", "address"]
     rows = _stamped(register.register_values(readings, window_seconds), watermark)
-    parts = _slice_ends(rows, keys, slice_seconds or _default_slice(window_seconds), ["value"], {})
+    parts = _slice_ends(rows, keys, slice_length(window_seconds, slice_seconds), ["value"], {})
     counts = _value_counts(rows, keys, window_seconds, "value")
     combined = _with_gaps(_combined(parts, counts, keys, window_seconds)).filter(F.col("n") >= min_count)
     measured = _with_moments(combined, "mean", "_m2", "low", "high", "_n")
@@ -181,7 +181,7 @@ def stream_record_features(
         "entropy_sum": F.sum("entropy"),
         "registers": F.collect_set("register"),  # register numbers are 16 bit in the protocol
     }
-    parts = _slice_ends(rows, keys, slice_seconds or _default_slice(window_seconds), [], sums)
+    parts = _slice_ends(rows, keys, slice_length(window_seconds, slice_seconds), [], sums)
     counts = _value_counts(rows.filter("mean is not null"), keys, window_seconds, "mean")
     combined = _with_gaps(_combined(parts, counts, keys, window_seconds))
     measured = _with_moments(combined, "mean_avg", "_m2", "mean_min", "mean_max", "lists")
@@ -211,8 +211,14 @@ def stream_record_features(
     return record.record_columns(measured.withColumn("far", far), keys=[_WINDOW, *keys])
 
 
-def _default_slice(window_seconds: float) -> float:
-    return window_seconds / 60
+def slice_length(window_seconds: float, slice_seconds: float | None) -> float:
+    """A slice of whole microseconds that divides the window: about a sixtieth of it unless given."""
+    window = round(window_seconds * 1_000_000)
+    if slice_seconds is None:
+        return window / next(k for k in range(60, 0, -1) if window % k == 0) / 1_000_000
+    if window % max(1, round(slice_seconds * 1_000_000)):
+        raise ValueError(f"slices of {slice_seconds} s do not divide windows of {window_seconds} s")
+    return slice_seconds
 
 
 def stream_pair_features(

@@ -45,4 +45,4 @@ def test_entry(spark):
 
 def test_only_unrepeatable_results_have_no_sql():
     without = set(catalog.all_queries()) - set(oracles.all_sql())
-    assert without == {"M3_fit_forest", "M3_train_and_score", "C14_storage_statistics"}
+    assert without == {"M3_fit_forest", "M3_train_and_score"}  # their checks, M3_tree_shapes and M3_score_checks, have

@@ -71,7 +71,8 @@ def test_quality_scores_and_latency(spark, detections, incidents):
     for attack, row in quality.iterrows():
         m = matches[matches["attack_id"] == attack]
         assert row["true_positives"] == len(m)
-        assert row["detection_rate"] == len(m) / row["attack_windows"]
+        # Two sources of one window count once: the rate is a share of windows.
+        assert row["detection_rate"] == m["time_window"].nunique() / row["attack_windows"] <= 1
     scores = ev.incident_scores(detections, incidents, W).toPandas().set_index("attack_id")["mean_anomaly_score"]
     want = matches.groupby("attack_id")["anomaly_score"].mean()
     assert scores["i1"] == pytest.approx(want["i1"]) and np.isnan(scores["i2"])

@@ -114,10 +114,13 @@ def test_connections(spark, readings):
     assert np.allclose(got["req_resp_ratio"], got["request_count"] / (got["response_count"] + 1))
 
 
-def test_code_limit(spark, readings, monkeypatch):
-    monkeypatch.setattr(traffic, "MAX_CODES", 2)
-    with pytest.raises(ValueError, match="function codes"):
-        traffic.function_codes(readings)
+def test_any_number_of_codes(spark):
+    """Two thousand codes: one column each, or one row each in the long form."""
+    rows = [(float(i), "a", "b", f"c{i % 2000}") for i in range(4000)]
+    logs = spark.createDataFrame(rows, "ts double, src string, dst string, func string")
+    assert len(traffic.function_codes(logs)) == 2000
+    long = traffic.code_counts_long(logs, 10_000)
+    assert long.count() == 2000 and {r["n"] for r in long.collect()} == {2}
 
 
 def test_approximate_percentiles_stay_in_range(spark, readings):

@@ -33,6 +33,75 @@ def test_json_logs(spark, tmp_path):
     assert tuple(src.line_counts(spark, str(tmp_path / "*.log")).first()) == (5, 1, 1)
 
 
+MIXED = [
+    {"unit": "x"}, {"response_values": "1,2"}, {"address": 3.5}, {"response_values": [1, "z"]}, {"id.orig_p": 99999999999}, {"address": "7"},
+    {"address": 4.0}, {"tid": [1]}, {"uid": 5}, {"func": {"a": 1}}, {"response_values": None}, {"seq": "s"}, {"response_values": "-"},
+]
+
+
+def test_fields_of_another_type_cost_the_field_only(spark, tmp_path):
+    rows = [json.dumps({"ts": i, "id.orig_h": "a", "id.resp_h": "b", "address": 1, "response_values": [0, 9], **m}) for i, m in enumerate(MIXED)]
+    (tmp_path / "m.log").write_text("\n".join([*rows, '{"ts": 99, "uid": "cut', "[1]", "7"]))
+    got = src.read_readings(spark, str(tmp_path / "m.log"))
+    found = {int(r["ts"]): r for r in got.collect()}
+    assert len(found) == len(MIXED)
+    assert [found[i]["response_values"] for i in (0, 1, 3, 10, 12)] == [[0.0, 9.0], [1.0, 2.0], [1.0, None], None, []]
+    assert [found[i]["address"] for i in (2, 5, 6)] == [None, 7, 4]
+    assert found[0]["unit"] is None and found[4]["src_port"] is None and found[8]["uid"] == "5" and found[7]["tid"] is None
+    assert tuple(src.line_counts(spark, str(tmp_path / "m.log")).first()) == (len(MIXED) + 3, 3, 0)
+    for c in got.columns:
+        assert got.select(c).count() == len(got.select(c).collect()) == got.count() == len(MIXED)
+
+
+def test_places_follow_file_name_and_position(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        for name, start in (("b.log", 1000), ("a.log", 0), ("c.log", 2000)):
+            (tmp_path / name).write_text("\n".join(line(5.0, values=(0, start + i)) for i in range(300 if name != "c.log" else 7)))
+        got = src.read_readings(spark, str(tmp_path / "*.log")).orderBy("seq").collect()
+        values = [r["response_values"][1] for r in got]
+        assert values == sorted(values) and len(values) == 607
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_quotes_in_tsv_are_plain(spark, tmp_path):
+    fields = ["5.5", '"C1', "a", "1000", "b", "502", "tcp", 'T"x', "3", "READ", "REQ", "10", "2", "1,2"]
+    (tmp_path / "q.log").write_text("\n".join(["\t".join(fields), "\t".join(["6.5", "C2", *fields[2:]])]))
+    got = src.read_readings_tsv(spark, str(tmp_path / "q.log")).orderBy("ts").collect()
+    assert [(r["uid"], r["src"], r["func"]) for r in got] == [('"C1', "a", "READ"), ("C2", "a", "READ")]
+
+
+def test_tail_follows_growth_and_rotation(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+
+    def read():
+        got, _ = run(spark, src.tail_readings(spark, f"{folder}/*.log", range_bytes=150), tmp_path, "tail")
+        return sorted((r["ts"], r["response_values"][1]) for r in got.collect())
+
+    one, two = folder / "one.log", folder / "two.log"
+    lines = [line(float(i), values=(0, i)) for i in range(40)]
+    one.write_text("\n".join(lines[:10]) + "\n" + lines[10][:20])
+    assert read() == [(float(i), float(i)) for i in range(10)]
+    with one.open("a") as f:
+        f.write(lines[10][20:] + "\n" + "\n".join(lines[11:20]) + "\n{broken\n")
+    two.write_text("\n".join(lines[20:30]) + "\n")
+    assert read() == [(float(i), float(i)) for i in range(30)]
+    assert read() == [(float(i), float(i)) for i in range(30)]
+    one.write_text("\n".join(lines[30:33]) + "\n")  # rotated
+    assert read() == [(float(i), float(i)) for i in range(33)]
+
+
+def test_tail_orders_equal_stamps_by_place(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.log").write_text("\n".join(line(5.0, values=(0, i)) for i in range(50)) + "\n")
+    got, _ = run(spark, src.tail_readings(spark, str(folder), range_bytes=300), tmp_path, "place")
+    assert [r["response_values"][1] for r in got.orderBy("seq").collect()] == [float(i) for i in range(50)]
+
+
 def test_equal_stamps_keep_arrival_order(spark, tmp_path):
     (tmp_path / "a.log").write_text("\n".join(line(5.0, values=(0, v)) for v in (1, 1, 2, 2, 1, 3)))
     found = register.register_features(src.read_readings(spark, str(tmp_path / "a.log")), 300).first()
@@ -167,6 +236,56 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
         spark.streams.removeListener(listener)
 
 
+@pytest.mark.parametrize("seconds", [7, 10, 100, 300])
+def test_window_lengths(spark, tmp_path, seconds):
+    """Slices divide the window exactly, whatever its length: stream and batch agree."""
+    live.use_rocksdb(spark)
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    rng = np.random.default_rng(seconds)
+    stamps = np.sort(rng.uniform(0, seconds * 12, 400)).round(3)
+    (folder / "1.log").write_text("\n".join(line(float(t), seq=i, values=(0, int(v))) for i, (t, v) in enumerate(zip(stamps, rng.integers(0, 9, 400)))))
+    got, _ = run(spark, stream_pair_features(src.stream_readings(spark, str(folder)), seconds, "1 second"), tmp_path, "w")
+    want = register.pair_rollup(register.register_features(src.read_readings(spark, str(folder)), seconds)).fillna(0)
+    closed = want.filter((F.col("time_window") + 1) * seconds <= float(stamps[-1]) - 1)
+    assert got.count() > 8
+    same(got, closed.select(got.columns), PAIR_KEYS, 1e-8)
+
+
+def test_slices_must_divide_windows(spark, logs):
+    with pytest.raises(ValueError, match="divide"):
+        stream_pair_features(src.stream_readings(spark, logs), 100, slice_seconds=7)
+
+
+def test_late_rows_are_counted_one_by_one(spark, tmp_path):
+    live.use_rocksdb(spark)
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "1.log").write_text("\n".join(line(float(t)) for t in range(0, 1000, 10)))
+    late = [line(5.0)] * 5 + [line(300.0), line(6.5)]
+    for expected in (0, 7):
+        stream = live.lateness(src.stream_readings(spark, str(folder)), 100, "10 seconds")
+        got, q = run(spark, stream, tmp_path, "late-count")
+        assert live.late_rows(q) == expected
+        (folder / "2.log").write_text("\n".join([*late, line(1200.0)]))
+    assert got.agg(F.sum("rows")).first()[0] == 101
+
+
+def test_history_follows_the_profile(spark, readings, logs, tmp_path):
+    from linewatch.operators.forest import ProfileMismatch
+
+    live.use_rocksdb(spark)
+    pairs = stream_pair_features(src.stream_readings(spark, logs), 86_400, "1 hour")
+    with pytest.raises(ProfileMismatch):
+        live.stream_history(pairs, profile="record")
+    with pytest.raises(ProfileMismatch):
+        live.stream_history(pairs.select(*[F.col(c).alias(c, metadata={}) for c in pairs.columns]))
+    got, _ = run(spark, live.stream_history(pairs), tmp_path, "h")
+    want = temporal.rolling_context(register.pair_rollup(register.register_features(readings, 86_400)).fillna(0))
+    last = readings.agg(F.max("ts")).first()[0]
+    same(got, want.filter((F.col("time_window") + 1) * 86_400 <= last - 3_600).select(got.columns), PAIR_KEYS, 1e-8)
+
+
 def test_detection_stream_with_status(spark, readings, logs, tmp_path):
     live.use_rocksdb(spark)
     features = jobs.pair_features(readings, 86_400, "record")
