@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import alnum_words, arrow_map, text_bytes, worker_store
+from linewatch.llm.common import alnum_words, arrow_map, bound_batches, text_bytes, worker_store
 
 WINDOW = 10
 BLOCK_BYTES = 16_000_000  # of benchmark text per automaton
@@ -184,6 +184,7 @@ def without_contaminated(
 ) -> DataFrame:
     """The rows of ``docs`` whose text holds no window of the benchmark, with all their columns; nothing is shuffled."""
     spark = docs.sparkSession
+    bound_batches(spark)
     kept = docs
     for block in blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))

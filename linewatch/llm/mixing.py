@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import mix64, numbered, text_bytes, written
+from linewatch.llm.common import bound_batches, mix64, numbered, text_bytes, written
 from linewatch.session import materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -292,6 +292,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Neighbouring words keep the white space between them; stretches that are not neighbours are joined by a line feed. A
     document that a pass takes whole keeps its text as it is. ``length_col``, if given, is set to the new length.
     """
+    bound_batches(docs.sparkSession)
     # Row numbers are given once, over written rows, so that the plan and the texts agree.
     held = written(docs.select(F.struct("*").alias("_doc")).withColumn("_key", F.monotonically_increasing_id()), "mix")
     flat = held.select(

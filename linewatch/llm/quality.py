@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import text_bytes
+from linewatch.llm.common import bound_batches, text_bytes
 from linewatch.session import materialise
 
 SAMPLE = 20_000  # labelled rows the document classifier is fitted on at most
@@ -178,6 +178,7 @@ def posteriors(
     One row per input row. Null texts count as empty; a null host or path is a site like another. Without labels, or with one
     class only, documents have no evidence and all scores equal the prior. Extra columns stay inside ``_doc``.
     """
+    bound_batches(docs.sparkSession)
     model = fit(*labelled_measures(docs, labels, id_col, text_col, label_col, sample))
 
     def evidence(texts: pa.Array) -> pa.Array:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import arrow_map, text_bytes, worker_store
+from linewatch.llm.common import arrow_map, bound_batches, text_bytes, worker_store
 from linewatch.session import materialise, working_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -154,6 +154,7 @@ def write_tokens(
     """
     tokenizer = tokenizer or tokenizer_path()
     spark = docs.sparkSession
+    bound_batches(spark)
 
     def encode(batches):
         coder = _encoder(tokenizer)
@@ -219,8 +220,8 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             lists = batch.column(1)
             ends = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+            flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())],
                 ["doc_id", "_file", "_at", "n_tokens", "ids_crc32"],
