@@ -46,11 +46,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function made once per task and applied to every batch."""
+def arrow_map(
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, store: str | None = None
+) -> DataFrame:
+    """``mapInArrow`` with a function made once per task and applied to every batch; ``store`` names the worker store it uses."""
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_stores(store)
         each = make()
         for batch in batches:
             out = each(batch)
@@ -76,10 +79,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _holder() -> dict:
+    name = "_corpus_worker_store"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("stores", {})
+
+
 def worker_store(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, for tables that are costly to set up per task."""
-    holder = sys.modules.setdefault("_corpus_worker_store", types.ModuleType("_corpus_worker_store"))
-    return holder.__dict__.setdefault(name, {})
+    """A dictionary that outlives a task in its Python worker, for tables that are costly to set up per task."""
+    return _holder().setdefault(name, {})
+
+
+def release_stores(keep: str | None = None) -> None:
+    """Free what other operators have left in this worker."""
+    stores = _holder()
+    for name in [n for n in stores if n != keep]:
+        del stores[name]
 
 
 def numbered(df: DataFrame) -> DataFrame:

@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import alnum_words, arrow_map, bound_batches, text_bytes, worker_store
+from linewatch.llm.common import alnum_words, arrow_map, bound_batches, release_stores, text_bytes, worker_store
 
 WINDOW = 10
 BLOCK_BYTES = 16_000_000  # of benchmark text per automaton
+STORE = "benchmark"
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -96,7 +97,7 @@ def char_spans(text: bytes, spans: list[tuple[int, int]]) -> list[dict[str, int]
 
 
 def _matcher(key: str, items, window: int) -> Matcher:
-    store = worker_store("benchmark")
+    store = worker_store(STORE)
     if key not in store:
         store.clear()
         store[key] = Matcher(items, window)
@@ -174,7 +175,7 @@ def contamination(
     sent = sent or empty
     for k, shared in enumerate(sent):
         last = k == len(sent) - 1
-        frame = arrow_map(frame, search(shared, k == 0, last), final if last else between)
+        frame = arrow_map(frame, search(shared, k == 0, last), final if last else between, STORE)
     return frame
 
 
@@ -195,6 +196,7 @@ def without_contaminated(
 
 def _cleanness(shared, window: int):
     def clean(texts: pa.Array) -> pa.Array:
+        release_stores(STORE)
         matcher = _matcher(*shared.value, window)
         return pa.array([not matcher.find(alnum_words(t))[0] for t in texts.to_pylist()], pa.bool_())
 

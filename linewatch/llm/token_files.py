@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import arrow_map, bound_batches, text_bytes, worker_store
+from linewatch.llm.common import arrow_map, bound_batches, release_stores, text_bytes, worker_store
 from linewatch.session import materialise, working_path
 
 TOKENIZER = "byte_bpe_50k.json"
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
-CACHE_WORDS = 800_000  # words remembered per Python worker, about 150 MB
+CACHE_WORDS = 600_000  # words remembered per Python worker, about 110 MB
+ENCODED_ROWS = 32  # texts encoded together: their words and ids stay in the processor's cache
+STORE = "encoders"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -56,15 +58,20 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember new pieces: one call for all of them, cut where the bytes of the tokens reach the ends of the pieces."""
-        ids = self._whole("".join(p if p[0] == "\n" else " " + p for p in pieces))
-        ends = np.cumsum([len(p.encode()) + (p[0] != "\n") for p in pieces])
+    def _learn(self, pieces: list[str], heads: list[str]) -> None:
+        """Remember new pieces: one text for all of them, cut where the bytes of the tokens reach the ends of the pieces.
+
+        ``heads`` stand at the beginning of texts, without a blank before them, and are remembered under names with a blank.
+        """
+        placed = [p if p[0] == "\n" else f" {p}" for p in pieces]
+        made = self.library.encode_batch_fast(["".join(placed), *heads], add_special_tokens=False)
+        for head, encoded in zip(heads, made[1:]):
+            self.known[f" {head}"] = np.array(encoded.ids, self.kind).tobytes()
+        ids = np.array(made[0].ids, self.kind)
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, placed)), np.int64, len(placed)))
         cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.kind.itemsize
-        raw, at = ids.tobytes(), 0
-        for p, end in zip(pieces, cuts.tolist()):
-            self.known[p] = raw[at:end]
-            at = end
+        raw, cuts = ids.tobytes(), cuts.tolist()
+        self.known.update(zip(pieces, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -77,6 +84,7 @@ class Encoder:
         gaps = []  # places of the pieces not known yet
         new: dict[str, None] = {}
         marked: dict[str, None] = {}
+        heads: dict[str, None] = {}
         for cut, ids in zip(cuts, found):
             ids[0] = b""  # the first piece has no blank before it
             gap = [j for j, i in enumerate(ids) if i is None]
@@ -85,6 +93,8 @@ class Encoder:
             alone = not cut[0] or cut[0][0].isspace() or cut[0][-1].isspace() or not all(map(_regular, fresh))
             whole.append(alone)
             if not alone:
+                if f" {cut[0]}" not in known:
+                    heads[cut[0]] = None
                 for p in fresh:
                     if p in older:
                         known[p] = older[p]
@@ -96,8 +106,8 @@ class Encoder:
                         known[p] = older[p]
                     elif p not in known:
                         new[p] = None
-        if new:
-            self._learn(list(new))
+        if new or heads:
+            self._learn(list(new), list(heads))
         for p in marked:
             known[p] = known[p[:-1]] + self.marks[p[-1]]
         out = []
@@ -107,16 +117,10 @@ class Encoder:
                 continue
             for j in gap:
                 ids[j] = known[cut[j]]
-            ids[0] = self._head(cut[0])
+            ids[0] = known[f" {cut[0]}"]
             out.append(np.frombuffer(b"".join(ids), self.kind))
         return out
 
-    def _head(self, piece: str) -> bytes:
-        key = f" {piece}"  # no piece has a blank in it
-        if key not in self.known:
-            self.known[key] = self._whole(piece).tobytes()
-        return self.known[key]
-
 
 _MARKS = ".,"
 
@@ -131,7 +135,7 @@ def _encoder(path: str) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    store = worker_store("encoders")
+    store = worker_store(STORE)
     if path not in store:
         store[path] = Encoder(path)
     return store[path]
@@ -157,10 +161,11 @@ def write_tokens(
     bound_batches(spark)
 
     def encode(batches):
+        release_stores(STORE)
         coder = _encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ENCODED_ROWS):
+                rows = batch.slice(at, ENCODED_ROWS)
                 ids = coder.encode([t.decode("utf-8", "replace") for t in rows.column(1).to_pylist()])
                 lengths = np.array([len(i) + 1 for i in ids], np.int64)
                 ends = np.cumsum(lengths)
