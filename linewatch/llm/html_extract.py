@@ -26,7 +26,7 @@ from linewatch.llm.common import arrow_map, text_bytes
 _RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes", "template"}
 _OTHER = {
     "nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "svg", "math", "object", "audio", "video", "canvas",
-    "head", "fieldset", "datalist", "label", "map",
+    "head", "fieldset", "datalist", "label", "map", "search",
 }
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
@@ -45,13 +45,13 @@ _NAMES = {
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "popup", "modal", "overlay", "alert", "disclaimer", "copyright",
     "comment", "comments", "commentlist", "disqus", "respond", "discussion", "replies", "reply",
 }
+_WITH = {"has", "with", "no", "without"}
 _HEADS = {"header", "site-header", "page-header"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z/][^>]*\Z",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _CLOSE = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in _RAW}
 LIMIT = 4.0
 #: Weights where no page is labelled.
@@ -86,6 +86,8 @@ def _is_other(name: str, raw: str, in_main: bool) -> bool:
     words = {w.lower() for part in given.split() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", part)}
     if name == "article":
         return bool(words & {"comment", "comments", "reply", "ad", "advert", "sponsored"})
+    if words & _WITH:  # "has-sidebar" names a layout
+        words = set()
     return bool(words & _NAMES) or bool({p.lower() for p in given.split()} & _HEADS and not in_main)
 
 

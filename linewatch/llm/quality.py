@@ -187,7 +187,7 @@ def posteriors(
 
     rows = docs.select(
         F.struct("*").alias("_doc"),
-        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"),
+        F.to_json(F.struct(F.col(host_col).alias("h"))).alias("_host"),
         F.to_json(F.struct(F.col(host_col).alias("h"), *[F.col(c) for c in path_cols])).alias("_path"),
         F.arrow_udf(evidence, "double")(text_bytes(text_col)).alias("evidence"),
     ).withColumn("_p", _logistic(F.col("evidence") + F.lit(model.prior)))

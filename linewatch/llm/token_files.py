@@ -21,7 +21,7 @@ from linewatch.session import materialise, working_path
 TOKENIZER = "byte_bpe_50k.json"
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
-CACHE_WORDS = 600_000  # words remembered per Python worker, about 110 MB
+CACHE_WORDS = 1_300_000  # words remembered per Python worker, about 200 MB
 ENCODED_ROWS = 32  # texts encoded together: their words and ids stay in the processor's cache
 STORE = "encoders"
 
@@ -51,8 +51,7 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # one character of a token stands for one byte
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.limit = limit
-        self.known: dict[str, bytes] = {}  # words met lately
-        self.older: dict[str, bytes] = {}  # words met before those; what is met again moves back
+        self.known: dict[str, bytes] = {}
         self.marks = {m: self._whole(m).tobytes() for m in _MARKS}
 
     def _whole(self, text: str) -> np.ndarray:
@@ -75,9 +74,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.known) > self.limit // 2:
-            self.known, self.older = {}, self.known
-        known, older, get = self.known, self.older, self.known.get
+        if len(self.known) > self.limit:
+            self.known.clear()  # frequent words are back soon
+        known, get = self.known, self.known.get
         cuts = [t.replace("\n", " \n").split(" ") for t in texts]
         found = [list(map(get, c)) for c in cuts]
         whole = []
@@ -96,15 +95,10 @@ class Encoder:
                 if f" {cut[0]}" not in known:
                     heads[cut[0]] = None
                 for p in fresh:
-                    if p in older:
-                        known[p] = older[p]
-                        continue
                     if p[-1] in _MARKS and p[-2:-1].isalnum():
                         marked[p] = None
                         p = p[:-1]
-                    if p in older:
-                        known[p] = older[p]
-                    elif p not in known:
+                    if p not in known:
                         new[p] = None
         if new or heads:
             self._learn(list(new), list(heads))

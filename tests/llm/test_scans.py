@@ -220,7 +220,7 @@ TEXT = "Title of it\nNext to it: tea & bis­cuits, a < b new line.\nPart two\nOn
 
 def test_pages(spark):
     marked = PAGE % ("<article><h1>Title of it</h1>", "</article>")
-    plain = PAGE % ("<div><h1>Title of it</h1>", "</div>")
+    plain = PAGE % ('<div class="content has-sidebar"><h1>Title of it</h1>', '</div><div id="rightSidebar"><p>Side text of it</p></div>')
     pages = [
         (1, "u", marked), (1, "u", marked), (2, None, plain), (None, "n", ""), (4, "e", None), (5, "t", "plain text only"), (6, "b", "<p>cut off <b"),
         (7, "x", "<article><p>a<p>b &amp c</article><div>" * 1 + "<a>m</a>" * 50), (8, "l", "<article>" + "<p>long text here</p>" * 5000 + "</article>"),
