@@ -43,10 +43,9 @@ def score_stats(detections: DataFrame) -> DataFrame:
 
 def score_histogram(detections: DataFrame, bins: int = 20) -> DataFrame:
     """Equal-width score histogram, non-empty bins only; a constant score fills the first bin."""
-    scores = detections.select("anomaly_score").filter("anomaly_score is not null")
-    low = scores.agg(F.min("anomaly_score")).scalar()
-    high = scores.agg(F.max("anomaly_score")).scalar()
-    placed = scores.select(F.col("anomaly_score").alias("s"), low.alias("low"), high.alias("high"))
+    scores = detections.select(F.col("anomaly_score").alias("s")).filter("s is not null")
+    ends = scores.agg(F.min("s").alias("low"), F.max("s").alias("high"))  # one row
+    placed = scores.join(F.broadcast(ends))
     place = F.floor((F.col("s") - F.col("low")) * float(bins) / (F.col("high") - F.col("low")))
     number = F.when(F.col("high") == F.col("low"), F.lit(0).cast("bigint")).otherwise(F.least(place, F.lit(bins - 1)))
     counts = placed.groupBy(number.alias("bin"), "low", "high").agg(F.count(F.lit(1)).alias("detections"))

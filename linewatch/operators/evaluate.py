@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from linewatch.functions.exprs import epoch_seconds, window_id
 from linewatch.functions.quantiles import exact_quantiles
 from linewatch.schemas import PAIR_KEYS
+from linewatch.session import materialise
 
 ANY = "all"
 
@@ -230,17 +231,11 @@ def detection_latency(detections: DataFrame, incidents: DataFrame, window_second
 
 def latency_stats(latencies: DataFrame) -> DataFrame:
     """Mean, median, 95th and 99th percentile."""
-    mean = latencies.agg(
-        F.count("latency_seconds").alias("incidents"), F.avg("latency_seconds").alias("mean_latency")
-    )
-    marks = exact_quantiles(latencies, "latency_seconds", [0.5, 0.95, 0.99])
-    return mean.withColumns(
-        {
-            "median_latency": marks.select("p50").scalar(),
-            "p95_latency": marks.select("p95").scalar(),
-            "p99_latency": marks.select("p99").scalar(),
-        }
-    )
+    known = materialise(latencies.select("latency_seconds"))  # one number per incident: not worked out again per figure
+    mean = known.agg(F.count("latency_seconds").alias("incidents"), F.avg("latency_seconds").alias("mean_latency"))
+    marks = exact_quantiles(known, "latency_seconds", [0.5, 0.95, 0.99])
+    named = {"median_latency": "p50", "p95_latency": "p95", "p99_latency": "p99"}
+    return mean.withColumns({name: marks.select(p).scalar() for name, p in named.items()})
 
 
 def confusion_by_type(scored: DataFrame, incidents: DataFrame, window_seconds: float) -> DataFrame:
@@ -264,9 +259,8 @@ def confusion_by_type(scored: DataFrame, incidents: DataFrame, window_seconds: f
             F.coalesce(F.sum("n") - F.sum("flagged"), F.lit(0)).alias("fn"),
         )
     )
-    flagged = windows.agg(F.coalesce(F.sum("flagged"), F.lit(0))).scalar()
-    total = windows.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    return positive.withColumns({"_flagged": flagged, "_total": total}).select(
+    sums = windows.agg(F.coalesce(F.sum("flagged"), F.lit(0)).alias("_flagged"), F.coalesce(F.sum("n"), F.lit(0)).alias("_total"))
+    return positive.join(F.broadcast(sums)).select(  # one row
         "attack_type",
         "tp",
         (F.col("_flagged") - F.col("tp")).alias("fp"),
