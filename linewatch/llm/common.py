@@ -6,7 +6,10 @@ task. ``bytes.lower`` changes A-Z only, and ``bytes.split`` cuts at the six ASCI
 
 from __future__ import annotations
 
+import gc
 import sys
+import threading
+import time
 import types
 from collections.abc import Callable, Iterator
 
@@ -79,21 +82,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _holder() -> dict:
+IDLE_SECONDS = 5.0  # a Python worker without work frees its stores
+
+
+def _worker() -> types.ModuleType:
     name = "_corpus_worker_store"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("stores", {})
+    if name not in sys.modules:
+        held = sys.modules[name] = types.ModuleType(name)
+        held.stores, held.used = {}, time.monotonic()
+
+        def expire() -> None:
+            while True:
+                time.sleep(IDLE_SECONDS / 2)
+                if held.stores and time.monotonic() - held.used > IDLE_SECONDS:
+                    held.stores.clear()
+                    gc.collect()
+
+        threading.Thread(target=expire, daemon=True).start()
+    return sys.modules[name]
 
 
 def worker_store(name: str) -> dict:
-    """A dictionary that outlives a task in its Python worker, for tables that are costly to set up per task."""
-    return _holder().setdefault(name, {})
+    """A dictionary that outlives a task in its Python worker, for tables that are costly to set up per task.
+
+    It is freed when the worker runs another operator, or nothing for some seconds.
+    """
+    held = _worker()
+    held.used = time.monotonic()
+    return held.stores.setdefault(name, {})
 
 
 def release_stores(keep: str | None = None) -> None:
     """Free what other operators have left in this worker."""
-    stores = _holder()
-    for name in [n for n in stores if n != keep]:
-        del stores[name]
+    held = _worker()
+    held.used = time.monotonic()
+    for name in [n for n in held.stores if n != keep]:
+        del held.stores[name]
 
 
 def numbered(df: DataFrame) -> DataFrame:

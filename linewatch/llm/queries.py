@@ -32,7 +32,7 @@ def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    return token_files.encode_documents(table(spark, folder, "documents"))
+    return token_files.encode_documents(table(spark, folder, "documents"), cache_words=1_300_000)
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
