@@ -25,6 +25,7 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 TILE = 4096
+STEP = 1 << 18  # comparisons at once: a few megabytes, also where nearly all of them are links
 _QUARTERS = 4
 
 
@@ -112,7 +113,7 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) ->
         if not len(near):
             continue
         mine = order[begin:end]
-        step = max(1, (1 << 20) // len(near))
+        step = max(1, STEP // len(near))
         for at in range(0, len(mine), step):
             rows = mine[at : at + step]
             a, b = np.nonzero(np.bitwise_count(left[rows][:, None] ^ other[near][None, :]) <= radius)
