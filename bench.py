@@ -12,7 +12,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 
-def stream_latency(spark, folder: str, files: int = 24) -> dict[str, float]:
+def stream_latency(spark, folder: str, files: int = 10) -> dict[str, float]:
     """Milliseconds from the start of a batch to its stored detections, one log file a batch: readings to scored windows."""
     from linewatch.plans import catalog
     from linewatch.session import working_path
