@@ -2,7 +2,9 @@
 
 A page becomes a sequence of tokens: words score above zero, tags below, and one linear scan finds the stretch with the largest
 sum. The weights are log-odds counted on labelled pages. A page that marks up exactly one ``article`` or ``main`` element labels
-itself: tokens inside are content, those outside are not. The counts are taken over all such pages in Spark.
+itself: tokens inside are content, those outside are not. The counts are taken over all such pages in Spark. They score the
+words of every page, marked or not; inside such an element a word has a bonus besides, as large as the share of the labelled
+pages' text that stands inside. Text outside is scored as on any other page. An element that the stretch enters belongs to it.
 
 Elements that a page declares to be something else (by element name, role, class or id: navigation, adverts, forms, comments
 and so on) are left out before scoring, and never returned.
@@ -55,7 +57,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 _CLOSE = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in _RAW}
 LIMIT = 4.0
 #: Weights where no page is labelled.
-DEFAULT = {"word": 1.0, "link": -1.0, "in": 2.0, "out": -2.0, "tag": -1.0, "p": -0.1, "b": -0.1, "i": -0.1, "em": -0.1, "strong": -0.1, "br": -0.1, "h1": -0.2, "h2": -0.2, "h3": -0.2, "a": -0.5}
+DEFAULT = {"word": 1.0, "link": -1.0, "in": 2.0, "tag": -1.0, "p": -0.1, "b": -0.1, "i": -0.1, "em": -0.1, "strong": -0.1, "br": -0.1, "h1": -0.2, "h2": -0.2, "h3": -0.2, "a": -0.5}
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -98,7 +100,7 @@ class Page:
     kinds: list[str] = field(default_factory=list)
     words: list[list[str] | None] = field(default_factory=list)
     blocks: list[int] = field(default_factory=list)
-    inside: list[bool] = field(default_factory=list)  # of an article or main element
+    inside: list[int] = field(default_factory=list)  # number of the outermost article or main element around it, 0 for none
     glued: list[bool] = field(default_factory=list)  # no white space between this text and the one before
     mains: int = 0
 
@@ -118,7 +120,7 @@ def parse(source: str) -> Page:
             page.kinds.append("link" if links else "word")
             page.words.append(words)
             page.blocks.append(block)
-            page.inside.append(depth > 0)
+            page.inside.append(page.mains if depth else 0)
             page.glued.append(not open_end and not piece[0].isspace())
             open_end = piece[-1].isspace()
         elif piece:
@@ -174,7 +176,7 @@ def parse(source: str) -> Page:
             page.kinds.append(name)
             page.words.append(None)
             page.blocks.append(block)
-            page.inside.append(depth > 0)
+            page.inside.append(page.mains if depth else 0)
             page.glued.append(False)
     return page
 
@@ -185,7 +187,7 @@ def label_counts(page: Page) -> Counter:
     if page.mains == 1:
         for kind, words, inside in zip(page.kinds, page.words, page.inside):
             if kind not in _MAIN:
-                out[kind if words is None or kind == "link" else "word", inside] += len(words) if words else 1
+                out[kind if words is None or kind == "link" else "word", inside > 0] += len(words) if words else 1
     return out
 
 
@@ -223,6 +225,8 @@ def learn(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
             weights[kind] = min(max(odds, -LIMIT), weights["word"] / 2)
         else:
             weights[kind] = min(-0.02, odds - LIMIT / 2)
+    out, inn = (sum(found.get(kind, [0, 0])[side] for kind in ("word", "link")) for side in (0, 1))
+    weights["in"] = max(0.0, min(LIMIT, math.log((inn + 1) / (out + 1))))
     return weights
 
 
@@ -244,15 +248,12 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
 def extract(source: str, weights: dict[str, float]) -> str:
     """The main text of one page, one line per block."""
     page = parse(source)
-    marked = any(page.inside)
     scores = []
     for kind, words, inside in zip(page.kinds, page.words, page.inside):
         if words is None:
             scores.append(0.0 if kind in _MAIN else weights.get(kind, weights["tag"]))
-        elif marked:  # the page says where its main text is
-            scores.append(weights["in" if inside else "out"] * len(words))
         else:
-            scores.append(weights[kind] * len(words))
+            scores.append((weights[kind] + (weights["in"] if inside else 0.0)) * len(words))
     begin, end = best_stretch(scores)
     if begin < end:  # a block that the stretch enters belongs to it whole
         texts = [k for k in range(begin, end) if page.words[k] is not None]
@@ -261,11 +262,16 @@ def extract(source: str, weights: dict[str, float]) -> str:
             begin -= 1
         while end < len(page.blocks) and page.blocks[end] == final:
             end += 1
+        entered = {page.inside[texts[0]], page.inside[texts[-1]]} - {0}  # and so does an article
+        while begin and page.inside[begin - 1] in entered:
+            begin -= 1
+        while end < len(page.inside) and page.inside[end] in entered:
+            end += 1
     lines: list[str] = []
     last = None
     for k in range(begin, end):
         words = page.words[k]
-        if words is None or marked and not page.inside[k]:
+        if words is None:
             continue
         joined = " ".join(words)
         if page.blocks[k] == last:

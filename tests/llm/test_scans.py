@@ -237,6 +237,28 @@ def test_pages(spark):
     assert got.count() == len(pages) and all(r["n_chars"] == len(r["text"]) for r in got.collect())
 
 
+def test_pages_with_text_outside_an_article(spark):
+    text = "<p>" + "words of the long text here " * 40 + "</p>"
+    plain = " ".join(["words of the long text here"] * 40)
+    pages = [
+        (1, "<div class='content'>" + text + "</div><article><p>short teaser of it</p></article>"),
+        (2, "<article><p>first one here</p></article>" + text + "<article><p>second one here</p></article>"),
+        (3, "<article><p>Short.</p>" + "<table><tr><td></td></tr></table>" * 40 + text + "<div></div>" * 40 + "<p>End.</p></article><ul>" + "<li><a>m</a></li>" * 40 + "</ul>"),
+        (4, "<main>" + text + "</main>"),
+    ]
+    frame_ = spark.createDataFrame([(i, None, p) for i, p in pages], "page_id long, url string, html string")
+    for weights in (None, html_extract.DEFAULT):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(frame_, weights=weights).collect()}
+        assert got[1].split("\n")[0] == plain
+        assert got[2] == f"first one here\n{plain}\nsecond one here"
+        assert got[3] == f"Short.\n{plain}\nEnd."
+        assert got[4] == plain
+    # The bonus is counted: nothing where the labelled pages' text stands outside, much where it stands inside.
+    outside = html_extract.learn(frame_.filter("page_id = 1"))
+    inside = html_extract.learn(frame_.filter("page_id = 4"))
+    assert outside["in"] == 0 and inside["in"] == html_extract.LIMIT
+
+
 def test_best_stretch():
     rng = random.Random(2)
     for _ in range(300):
