@@ -1,4 +1,4 @@
-"""Line deduplication within one word edit, by a deletion-neighbourhood join. DataFrame functions only.
+"""Line deduplication within one word or character edit, by a deletion-neighbourhood join. DataFrame functions only.
 
 A line is its words; two lines are near when one inserted, deleted or replaced word makes them equal. Deleting a word from
 either gives the variants: lines of n words that differ at place p agree in the variant without p, and a line equals the
@@ -13,6 +13,10 @@ are near one another, so each is matched with the earliest of its variant only,
 
 Variants are hashed in one pass: a line's hash is the exclusive-or of hashes of (word, place), and without word p the words
 behind it stand one place earlier, so running exclusive-ors over the line give the hashes of all its variants.
+
+With ``short_lines``, lines of few words, or of long ones (a script without blanks), go the same way once more with characters
+for words: one inserted, deleted or replaced character, a blank too, makes them near. And a line one word below the bound meets
+the lines that have one word more.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ from pyspark.sql import functions as F
 from linewatch.llm.common import written
 
 MIN_WORDS = 5
+MIN_CHARS = 5
+#: Lines of longer words than this on average are compared by characters, whatever their number of words.
+LONG_WORDS = 20
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -48,34 +55,45 @@ def _words_of(line: Column, n: Column) -> Column:
     return F.call_function("substring_index", line, F.lit(" "), n)
 
 
-def _keys(line: Column, n: Column) -> Column:
+def _chars_of(line: Column, n: Column) -> Column:
+    """The first ``n`` characters of a line, or the last ones for a negative number."""
+    return F.substr(line, F.when(n < 0, n).otherwise(1), F.abs(n))
+
+
+def _keys(line: Column, n: Column, part_of=_words_of) -> Column:
     """Keys of beginnings (even) and ends (odd) for partners with as many, one more or one fewer words."""
     out = []
     for t in (n, n - 1):
         long = _half(t)
-        for end, part in ((0, _words_of(line, long)), (1, _words_of(line, -long))):
+        for end, part in ((0, part_of(line, long)), (1, part_of(line, -long))):
             hashed = F.xxhash64(F.lit(end), long, part)
             out.append(hashed.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(end)))
     return F.array_distinct(F.array(*out))
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(_id, _no, _a, _b, _keys)``: every line with words of rows with an id, numbered from 0, with a 128-bit hash and its keys."""
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
+    """``(_id, _no, _a, _b, _keys)``: every line with words of rows with an id, numbered from 0, with a 128-bit hash and its keys.
+
+    With ``short_lines`` also ``_char_keys``.
+    """
     split = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("_id"), F.posexplode(_numbered_lines(F.col(text_col))).alias("_no", "_raw")
     )
     plain = split.select("_id", "_no", _plain(F.col("_raw")).alias("_line")).filter("_line <> ''")
     line, n = F.col("_line"), F.col("_n")
     sized = plain.withColumn("_n", F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    least, chars = max(min_words, 3), F.length(line)
+    by_chars = ((n <= min_words + 1) | (chars > LONG_WORDS * n)) & (chars >= MIN_CHARS - 1)
     return sized.select(
         "_id", "_no", F.xxhash64(F.lit(1), line).alias("_a"), F.xxhash64(F.lit(2), line).alias("_b"),
-        F.when(n >= max(min_words, 3), _keys(line, n)).alias("_keys"),
+        F.when(n >= (max(least - 1, 3) if short_lines else least), _keys(line, n)).alias("_keys"),
+        *([F.when(by_chars, _keys(line, chars, _chars_of)).alias("_char_keys")] if short_lines else []),
     )
 
 
-def asked_lines(held: DataFrame) -> DataFrame:
+def asked_lines(held: DataFrame, keys_col: str = "_keys") -> DataFrame:
     """``(_a, _b, _ahead, _behind)``: distinct lines that share their beginning, or their end, with another line."""
-    keys = held.select(F.explode("_keys").alias("_half"), "_a", "_b")
+    keys = held.select(F.explode(keys_col).alias("_half"), "_a", "_b")
     shared = keys.groupBy("_half").agg(F.min("_a").alias("_low"), F.max("_a").alias("_high")).filter("_low < _high").select("_half")
     side = F.col("_half").bitwiseAND(F.lit(1))
     return keys.join(shared, "_half", "left_semi").groupBy("_a", "_b").agg(
@@ -84,7 +102,10 @@ def asked_lines(held: DataFrame) -> DataFrame:
 
 
 def asked_words(docs: DataFrame, asked: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(_a, _b, _id, _no, _ahead, _behind, _words)`` of the asked lines, from the document that has each of them first."""
+    """``(_a, _b, _chars, _id, _no, _ahead, _behind, _words)`` of the asked lines, from the document that has each of them first.
+
+    ``_words`` are a line's characters where ``_chars`` is set.
+    """
     wanted = written(asked.join(first, ["_a", "_b"]), "asked")
     places = wanted.groupBy("_id").agg(F.sort_array(F.collect_set("_no")).alias("_nos"))  # bounded by one document's lines
     # Only the asked lines leave the array of a text's lines, in the order of their numbers.
@@ -97,12 +118,16 @@ def asked_words(docs: DataFrame, asked: DataFrame, first: DataFrame, id_col: str
         .select("_id", "_no", "_line", F.xxhash64(F.lit(1), "_line").alias("_a"), F.xxhash64(F.lit(2), "_line").alias("_b"))
     )
     # Rows may share an id: the line must be the one asked for.
-    asked_for = found.join(wanted, ["_a", "_b", "_id", "_no"]).dropDuplicates(["_a", "_b"])
-    return asked_for.select("_a", "_b", "_id", "_no", "_ahead", "_behind", F.split("_line", " ").alias("_words"))
+    asked_for = found.join(wanted, ["_a", "_b", "_id", "_no"]).dropDuplicates(["_a", "_b", "_chars"])
+    words = F.when(F.col("_chars"), F.split("_line", "")).otherwise(F.split("_line", " "))
+    return asked_for.select("_a", "_b", "_chars", "_id", "_no", "_ahead", "_behind", words.alias("_words"))
+
 
+def variants(held: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(_chars, _ka, _kb, _at, _id, _no, _a, _b)``: each line itself (place -1) and its variants without the word at one place.
 
-def variants(held: DataFrame) -> DataFrame:
-    """``(_ka, _kb, _at, _id, _no, _a, _b)``: each line itself (place -1) and its variants without the word at one place."""
+    Lines below the bound have no variants: they only meet those of longer lines.
+    """
     seeds = (1, 2)
 
     def folded(seed: int, shift: int) -> Column:
@@ -114,11 +139,12 @@ def variants(held: DataFrame) -> DataFrame:
         "*", *[folded(s, 0).alias(f"_whole{s}") for s in seeds], *[folded(s, 1).alias(f"_moved{s}") for s in seeds]
     )
     n = F.size("_words")
-    each = totals.select(
-        "_id", "_no", "_a", "_b", "_ahead", "_behind", *[f"_whole{s}" for s in seeds], *[f"_moved{s}" for s in seeds],
+    least = F.when(F.col("_chars"), MIN_CHARS).otherwise(max(min_words, 3))
+    each = totals.filter(n >= least).select(
+        "_id", "_no", "_a", "_b", "_chars", "_ahead", "_behind", *[f"_whole{s}" for s in seeds], *[f"_moved{s}" for s in seeds],
         n.alias("_n"), F.posexplode("_words").alias("_at", "_word"),
     )
-    upto = Window.partitionBy("_a", "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("_a", "_b", "_chars").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     made = []
     for s in seeds:
         here, moved = F.xxhash64(F.lit(s), "_word", "_at"), F.xxhash64(F.lit(s), "_word", F.col("_at") - 1)
@@ -126,20 +152,23 @@ def variants(held: DataFrame) -> DataFrame:
         made.append(before.bitwiseXOR(F.col(f"_moved{s}")).bitwiseXOR(F.bit_xor(moved).over(upto)))
     short = _half(F.col("_n") - 1)
     without = each.select(
-        made[0].alias("_ka"), made[1].alias("_kb"), "_at", "_id", "_no", "_a", "_b",
+        "_chars", made[0].alias("_ka"), made[1].alias("_kb"), "_at", "_id", "_no", "_a", "_b",
         ((F.col("_ahead") & (F.col("_at") >= short)) | (F.col("_behind") & (F.col("_at") < F.col("_n") - short))).alias("_used"),
     ).filter("_used").drop("_used")
     whole = totals.select(
-        F.col("_whole1").alias("_ka"), F.col("_whole2").alias("_kb"), F.lit(-1).alias("_at"), "_id", "_no", "_a", "_b"
+        "_chars", F.col("_whole1").alias("_ka"), F.col("_whole2").alias("_kb"), F.lit(-1).alias("_at"), "_id", "_no", "_a", "_b"
     )
     return whole.unionByName(without)
 
 
-def near_lines(docs: DataFrame, held: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(_a, _b, _of)``: distinct lines within one word edit of an earlier line, and the place of the earliest one found."""
-    words = written(asked_words(docs, asked_lines(held), first, id_col, text_col), "words")
-    made = written(variants(words), "variants")
-    key = ["_ka", "_kb"]
+def near_lines(docs: DataFrame, held: DataFrame, first: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(_a, _b, _of)``: distinct lines within one edit of an earlier line, and the place of the earliest one found."""
+    asked = asked_lines(held).withColumn("_chars", F.lit(False))
+    if "_char_keys" in held.columns:
+        asked = asked.unionByName(asked_lines(held, "_char_keys").withColumn("_chars", F.lit(True)))
+    words = written(asked_words(docs, asked, first, id_col, text_col), "words")
+    made = written(variants(words, min_words), "variants")
+    key = ["_chars", "_ka", "_kb"]
     often = made.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(*key)
     line = F.struct("_id", "_no", "_a", "_b")
     met = written(made.join(often, key, "left_semi").select(*key, "_at", line.alias("_line")), "met")
@@ -148,16 +177,16 @@ def near_lines(docs: DataFrame, held: DataFrame, first: DataFrame, id_col: str,
     longer = at_place.groupBy(*key).agg(F.min("_line").alias("_of"))
     # One partner each: the earliest line with the same variant, the line that the variant equals, the earliest longer line.
     pairs = (
-        at_place.join(replaced, [*key, "_at"]).select("_line", "_of")
-        .unionByName(at_place.join(whole, key).select("_line", F.col("_whole").alias("_of")))
-        .unionByName(whole.join(longer, key).select(F.col("_whole").alias("_line"), "_of"))
+        at_place.join(replaced, [*key, "_at"]).select("_chars", "_line", "_of")
+        .unionByName(at_place.join(whole, key).select("_chars", "_line", F.col("_whole").alias("_of")))
+        .unionByName(whole.join(longer, key).select("_chars", F.col("_whole").alias("_line"), "_of"))
         .filter("_of < _line")
         .distinct()
-        .select("_line._a", "_line._b", F.struct("_of._id", "_of._no").alias("_of"), F.col("_of._a").alias("_oa"), F.col("_of._b").alias("_ob"))
+        .select("_chars", "_line._a", "_line._b", F.struct("_of._id", "_of._no").alias("_of"), F.col("_of._a").alias("_oa"), F.col("_of._b").alias("_ob"))
     )
-    own = words.select("_a", "_b", "_words")
-    other = words.select(F.col("_a").alias("_oa"), F.col("_b").alias("_ob"), F.col("_words").alias("_other"))
-    compared = pairs.join(own, ["_a", "_b"]).join(other, ["_oa", "_ob"])
+    own = words.select("_chars", "_a", "_b", "_words")
+    other = words.select("_chars", F.col("_a").alias("_oa"), F.col("_b").alias("_ob"), F.col("_words").alias("_other"))
+    compared = pairs.join(own, ["_chars", "_a", "_b"]).join(other, ["_chars", "_oa", "_ob"])
     return compared.filter(within_one_edit(F.col("_words"), F.col("_other"))).groupBy("_a", "_b").agg(F.min("_of").alias("_of"))
 
 
@@ -176,18 +205,24 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(n - m) <= 1) & (prefix + suffix >= need)
 
 
-def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_decisions(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short_lines: bool = False
+) -> DataFrame:
     """``(_id, _no, why)`` per line with words: ``why`` is null for lines that stay, "repeat" or "near" for those that go.
 
     Lines are ordered by document id, then line number. A line goes if an earlier line has the same words ("repeat") or is
     within one word edit ("near"; lines of fewer than ``min_words`` words are only compared as a whole). Whether the earlier
     line itself stays makes no difference.
+
+    With ``short_lines``, the shorter of two lines within a word edit may have ``min_words - 1`` words, and lines of up to
+    ``min_words + 1`` words, or of more than ``LONG_WORDS`` characters a word, are near within one character edit too if the
+    longer one has ``MIN_CHARS`` characters.
     """
-    held = written(lines(docs, id_col, text_col, min_words), "lines")
+    held = written(lines(docs, id_col, text_col, min_words, short_lines), "lines")
     first = written(
         held.groupBy("_a", "_b").agg(F.min(F.struct("_id", "_no")).alias("_f")).select("_a", "_b", "_f._id", "_f._no"), "first"
     )
-    near = near_lines(docs, held, first, id_col, text_col)
+    near = near_lines(docs, held, first, id_col, text_col, min_words)
     verdict = first.select("_a", "_b", F.col("_id").alias("_fid"), F.col("_no").alias("_fno")).join(near, ["_a", "_b"], "left")
     is_first = (F.col("_id") == F.col("_fid")) & (F.col("_no") == F.col("_fno"))
     return held.select("_id", "_no", "_a", "_b").join(verdict, ["_a", "_b"]).select(
@@ -195,14 +230,16 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short_lines: bool = False
+) -> DataFrame:
     """Per document id ``doc_id, n_lines, n_repeat, n_near, removed_lines`` (sorted line numbers).
 
     ``n_lines`` counts lines with words; blank lines are never removed. Null and empty texts have no lines. Rows that share an
     id count as one document each of whose lines may stand twice; rows without an id are left alone and form one result row
     without removed lines. Other columns are not read; an empty table gives an empty result.
     """
-    made = line_decisions(docs, id_col, text_col, min_words)
+    made = line_decisions(docs, id_col, text_col, min_words, short_lines)
     of_doc = made.groupBy("_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(F.col("why") == "repeat").alias("n_repeat"),

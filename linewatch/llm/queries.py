@@ -36,7 +36,7 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, folder, "documents"))
+    return line_dedup.line_dedup(table(spark, folder, "documents"), short_lines=True)
 
 
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

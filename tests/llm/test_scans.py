@@ -201,6 +201,43 @@ def test_line_dedup(spark, rows):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def brute_short_lines(rows):
+    blank, first = re.compile(r"[^\x20\x09-\x0D]+"), {}
+    found = [(i, no, " ".join(blank.findall(line))) for i, text, *_ in rows for no, line in enumerate((text or "").split("\n"))]
+    for i, no, line in found:
+        first[line] = min(first.get(line, (i, no)), (i, no))
+
+    def near(x, y):
+        a, b = x.split(" "), y.split(" ")
+        few = [len(w) <= 6 or len(line) > 20 * len(w) for w, line in ((a, x), (b, y))]
+        return max(len(a), len(b)) >= 5 and edit_at_most_one(a, b) or all(few) and max(len(x), len(y)) >= 5 and edit_at_most_one(list(x), list(y))
+
+    out = {i: set() for i, *_ in rows}
+    for i, no, line in found:
+        if line and ((i, no) != first[line] or any(v and o < (i, no) and v != line and near(line, v) for v, o in first.items())):
+            out[i].add(no)
+    return sorted((i, tuple(sorted(s))) for i, s in out.items())
+
+
+def test_short_lines(spark):
+    rng = random.Random(5)
+    base = [
+        "Home page", "Sign up now", "Hotel", "foo bar", "one two three four five", "a b c d e f", "\u672c\u7f51\u7ad9\u4f7f\u7528\u5c0f\u578b\u6587\u4ef6" * 5, "1", "2", "12345", "x \U0001f600 y z",
+        "one two three four five six seven", "\u7f51\u7ad9" * 40 + " " + " ".join(["\u4f7f\u7528" * 15] * 7),
+    ]
+    lines = list(base)
+    for line in base * 4:
+        at = rng.randrange(len(line))
+        lines.append(line[:at] + rng.choice(["", "q", " "]) + line[at + rng.randint(0, 1) :])
+    lines += ["one two three four", "foobar", "one two three", "Hote", "Hots", "one two threefour five", "abcdef", "a b c d ef"]
+    rows = [(i, "\n".join(lines[i * 4 : i * 4 + 4]), "en", "a", 0) for i in range(len(lines) // 4 + 1)]
+    got = line_dedup.line_dedup(frame(spark, rows, clash=True), short_lines=True)
+    assert sorted((r["doc_id"], tuple(r["removed_lines"])) for r in got.collect()) == brute_short_lines(rows)
+    few = [(1, "foo bar\none two three four five", "en", "a", 0), (2, "foobar\none two three four\nno line of these", "en", "a", 0)]
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.line_dedup(frame(spark, few), short_lines=True).collect()}
+    assert got == {1: [], 2: [0, 1]}
+
+
 def test_lines_are_taken_out(spark):
     rows = [(1, "a b c d e\nkeep", "en", "s", 1), (2, "\na b x d e\n a b c d e\nkeep\nnew", None, None, None), (None, "a b c d e", None, None, None)]
     docs = frame(spark, rows, clash=True)
