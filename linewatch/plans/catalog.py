@@ -997,15 +997,19 @@ def _(spark, folder):
     path, lines = working_path(spark, "late"), raw_lines(spark, folder)
     place = working_path(spark, "late-out"), working_path(spark, "late-checkpoint")
     live.use_rocksdb(spark)
-    dropped = 0
-    for number, part in enumerate((lines, lines.filter(F.col("seq") % LATE_EVERY == 0))):
-        write_lines(part, f"{path}/{number}")
-        stream = live.lateness(src.stream_readings(spark, f"{path}/*"), HOUR, "1 hour")
-        query_ = (
-            stream.writeStream.format("parquet").option("checkpointLocation", place[1]).trigger(availableNow=True).start(place[0])
-        )
-        _drain(query_)
-        dropped += live.late_rows(query_)
+    dropped, counted = 0, live.LateRows()
+    spark.streams.addListener(counted)
+    try:
+        for number, part in enumerate((lines, lines.filter(F.col("seq") % LATE_EVERY == 0))):
+            write_lines(part, f"{path}/{number}")
+            stream = live.lateness(src.stream_readings(spark, f"{path}/*"), HOUR, "1 hour")
+            query_ = (
+                stream.writeStream.format("parquet").option("checkpointLocation", place[1]).trigger(availableNow=True).start(place[0])
+            )
+            _drain(query_)
+            dropped += live.late_rows(query_, counted)
+    finally:
+        spark.streams.removeListener(counted)
     taken = spark.read.schema("rows long").parquet(place[0]).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     return spark.createDataFrame([(int(taken), int(dropped))], "taken long, late long")
 

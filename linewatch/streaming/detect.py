@@ -143,9 +143,43 @@ def lateness(readings: DataFrame, window_seconds: float, watermark: str, slice_s
     )
 
 
-def late_rows(query) -> int:
-    """Readings that a started ``lateness`` query has dropped as late."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Late readings of each run of a query, added up as its progress comes in.
+
+    A query itself remembers its last hundred batches only. Add this to the session before the query starts.
+    """
+
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self.counts[run] = self.counts.get(run, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def late_rows(query, counted: LateRows | None = None) -> int:
+    """Readings that a started ``lateness`` query has dropped as late, over all its batches if ``counted`` watched them.
+
+    Without it only the query's own progress is there. If that no longer reaches back to the first batch of the run, an error
+    says so; no smaller count is returned.
+    """
+    if counted is not None:
+        query._jsq.sparkSession().sparkContext().listenerBus().waitUntilEmpty()
+        return counted.counts.get(str(query.runId), 0)
+    seen = query.recentProgress
+    limit = int(query._jsq.sparkSession().conf().get("spark.sql.streaming.numRecentProgressUpdates", "100"))
+    if len(seen) >= limit - 1:  # the engine drops the oldest when the limit is reached
+        raise ValueError("the query may have forgotten its first batches: count late rows with LateRows")
+    return sum(op["numRowsDroppedByWatermark"] for p in seen for op in p["stateOperators"])
 
 
 def detect_stream(features: DataFrame, model: ForestModel, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:

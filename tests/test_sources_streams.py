@@ -271,6 +271,30 @@ def test_late_rows_are_counted_one_by_one(spark, tmp_path):
     assert got.agg(F.sum("rows")).first()[0] == 101
 
 
+def test_late_rows_outlive_the_recent_progress(spark, tmp_path):
+    live.use_rocksdb(spark)
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    key = "spark.sql.streaming.numRecentProgressUpdates"
+    old, counted = spark.conf.get(key), live.LateRows()
+    spark.conf.set(key, "2")
+    spark.streams.addListener(counted)
+    try:
+        # One batch per file: the late rows come in the fourth of seven batches.
+        for number, rows in enumerate([[1000.0], [2000.0], [2100.0], [2200.0, 5.0, 5.0, 6.0], [2300.0], [2400.0], [2500.0]]):
+            (folder / f"{number}.log").write_text("\n".join(line(t) for t in rows))
+            os.utime(folder / f"{number}.log", (1e9 + number, 1e9 + number))
+        stream = live.lateness(src.stream_readings(spark, str(folder), max_files=1), 100, "10 seconds")
+        got, q = run(spark, stream, tmp_path, "late-long")
+        assert sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"]) < 3
+        assert live.late_rows(q, counted) == 3
+        with pytest.raises(ValueError, match="LateRows"):
+            live.late_rows(q)
+    finally:
+        spark.streams.removeListener(counted)
+        spark.conf.set(key, old)
+
+
 def test_history_follows_the_profile(spark, readings, logs, tmp_path):
     from linewatch.operators.forest import ProfileMismatch
 
