@@ -5,7 +5,7 @@ Results are made comparable across engines: doubles rounded, stamps as epoch sec
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +47,8 @@ DETECTION_DELAY = 5.0
 HISTORY_COLUMNS = ["value_mean_mean_deviation", "read_count_sum_rolling_mean", "value_change_rate_mean_rolling_std"]
 HISTORY_THRESHOLD = -0.687
 VECTOR_COLUMNS = ["e0", "e1", "e2", "e3"]
+WHOLE_VECTOR = [f"e{i}" for i in range(64)]
+WHOLE_EPS = 9.4
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -757,9 +759,9 @@ def _(spark, folder):
     return forest.score(features, forest.load_model(spark, path)).select(*PAIR_KEYS, "anomaly_score")
 
 
-def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+def _vectors(spark: SparkSession, folder: str, columns: Sequence[str] = VECTOR_COLUMNS) -> DataFrame:
     e = adapters.table(spark, folder, "embeddings")
-    return e.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(VECTOR_COLUMNS)])
+    return e.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(columns)])
 
 
 @query("M8_dbscan")
@@ -772,6 +774,12 @@ def _(spark, folder):
     return cluster.cluster_summary(cluster.dbscan(_vectors(spark, folder), VECTOR_COLUMNS, id_col="vec_id"))
 
 
+@query("M8_dbscan_whole_vectors")
+def _(spark, folder):
+    """All coordinates; standardised vectors of so many lie further apart, so the distance is wider."""
+    return cluster.dbscan(_vectors(spark, folder, WHOLE_VECTOR), WHOLE_VECTOR, WHOLE_EPS, id_col="vec_id")
+
+
 @query("M9_labelled_evaluation")
 def _(spark, folder):
     labels = adapters.table(spark, folder, "labels")

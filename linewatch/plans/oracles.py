@@ -6,7 +6,7 @@ import math
 
 from linewatch.plans.catalog import (
     CODES, CONTAMINATION, DAY, DETECTION_DELAY, HISTORY_COLUMNS, HISTORY_END, HISTORY_START, HISTORY_THRESHOLD, LATE_EVERY, HOUR, MODEL_COLUMNS, ODD, QUARTER,
-    SAMPLE_SIZE, THRESHOLD, TREES, VECTOR_COLUMNS, wide_trees,
+    SAMPLE_SIZE, THRESHOLD, TREES, VECTOR_COLUMNS, WHOLE_EPS, WHOLE_VECTOR, wide_trees,
 )
 from linewatch.schemas import CONTEXT_COLUMNS, CONTEXT_SOURCES, PAIR_FEATURE_COLUMNS, ROLLUP_COLUMNS
 
@@ -504,6 +504,15 @@ _VECTORS = (
     "FROM vz LEFT JOIN lb ON vz.vec_id = lb.node LEFT JOIN bd ON vz.vec_id = bd.node)"
 )
 add("M8_dbscan", _VECTORS, "SELECT * FROM db", [], ["cluster", "core", "noise"])
+_COORDINATES, _GAPS = (
+    [sep.join(form.format(i=i, j=i + 1) for i in range(n)) for n in (len(VECTOR_COLUMNS), len(WHOLE_VECTOR))]
+    for sep, form in ((", ", "embedding[{j}]::DOUBLE AS e{i}"), (" + ", "(a.e{i} - b.e{i}) * (a.e{i} - b.e{i})"))
+)
+_WHOLE_VECTORS = (
+    _VECTORS.replace(_COORDINATES[0], _COORDINATES[1]).replace(_standardised(VECTOR_COLUMNS), _standardised(WHOLE_VECTOR))
+    .replace(f"{_GAPS[0]}) <= 0.5", f"{_GAPS[1]}) <= {WHOLE_EPS}")
+)
+add("M8_dbscan_whole_vectors", _WHOLE_VECTORS, "SELECT * FROM db", [], ["cluster", "core", "noise"])
 add(
     "M8_cluster_summary",
     _VECTORS,

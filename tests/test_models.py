@@ -152,3 +152,14 @@ def test_dbscan_equals_brute_force(spark, kind):
     np.testing.assert_array_equal(got["core"], core.astype(int))
     np.testing.assert_array_equal(got["cluster"], label)
     np.testing.assert_array_equal(got["noise"], (label < 0).astype(int))
+
+
+def test_whole_vectors_are_clustered():
+    """The query and its SQL name all coordinates of the table's vectors."""
+    from linewatch.plans import catalog, oracles
+
+    assert len(catalog.WHOLE_VECTOR) == 64
+    sql = oracles.all_sql()["M8_dbscan_whole_vectors"]
+    for i in range(64):
+        assert f"embedding[{i + 1}]::DOUBLE AS e{i}" in sql and f"(a.e{i} - b.e{i})" in sql
+    assert f"<= {catalog.WHOLE_EPS})" in sql
