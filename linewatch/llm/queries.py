@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linewatch.llm import (
-    centroids, decontaminate, exact_dedup, html_extract, license_scan, line_dedup, mixing, quality, simhash, substring_dedup, token_files,
+    centroids, decontaminate, exact_dedup, html_extract, license_scan, line_dedup, mixing, prefix_trie,
+    quality, simhash, substring_dedup, token_files,
 )
 from linewatch.llm.common import table
 
@@ -58,6 +59,10 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_words(table(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"), family=20)
+
+
 def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.centroid_clusters(table(spark, folder, "embeddings"))
 
@@ -65,7 +70,8 @@ def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_simhash, op3_substring_dedup, op4_html_extraction, op5_token_files, op6_line_dedup, op7_exact_dedup,
-        op8_quality_classifier, op9_decontamination, op10_source_mix, op13_centroid_clusters,
+        op8_quality_classifier, op9_decontamination, op10_source_mix, op11_prefix_trie,
+        op13_centroid_clusters,
     )}
 
 
