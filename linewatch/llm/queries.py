@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linewatch.llm import (
-    centroids, decontaminate, exact_dedup, html_extract, license_scan, line_dedup, mixing, prefix_trie,
+    centroids, decontaminate, exact_dedup, html_extract, license_scan, line_dedup, mixing, ngram_trie, prefix_trie,
     quality, simhash, substring_dedup, token_files,
 )
 from linewatch.llm.common import table
@@ -63,6 +63,10 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, folder, "conversations"), family=20)
 
 
+def op12_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_trie.language_model_scores(table(spark, folder, "documents"))
+
+
 def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.centroid_clusters(table(spark, folder, "embeddings"))
 
@@ -70,7 +74,7 @@ def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_simhash, op3_substring_dedup, op4_html_extraction, op5_token_files, op6_line_dedup, op7_exact_dedup,
-        op8_quality_classifier, op9_decontamination, op10_source_mix, op11_prefix_trie,
+        op8_quality_classifier, op9_decontamination, op10_source_mix, op11_prefix_trie, op12_language_model,
         op13_centroid_clusters,
     )}
 
