@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from linewatch.functions import exprs as X
 from linewatch.functions.skew import neighbour_rows
 from linewatch.operators import (
-    cluster, detections as det, evaluate as ev, explain as ex, forest, incidents as inc, record, register, scaling,
+    cluster, detections as det, evaluate as ev, explain as ex, forest, incidents as inc, pivots, record, register, scaling,
     temporal, traffic,
 )
 from linewatch.plans import jobs
@@ -49,6 +49,9 @@ HISTORY_THRESHOLD = -0.687
 VECTOR_COLUMNS = ["e0", "e1", "e2", "e3"]
 WHOLE_VECTOR = [f"e{i}" for i in range(64)]
 WHOLE_EPS = 9.4
+# Near the median distance to the fifth nearest vector, where core, border and noise points all occur.
+PIVOT_EPS = 9.15
+PAIR_EPS = 3.5
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -780,6 +783,30 @@ def _(spark, folder):
     return cluster.dbscan(_vectors(spark, folder, WHOLE_VECTOR), WHOLE_VECTOR, WHOLE_EPS, id_col="vec_id")
 
 
+@query("M8_pivot_whole_vectors")
+def _(spark, folder):
+    """All coordinates, compared only where distances to pivots allow."""
+    return pivots.pivot_dbscan(_vectors(spark, folder, WHOLE_VECTOR), WHOLE_VECTOR, PIVOT_EPS, id_col="vec_id")
+
+
+def _numbered_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    place = F.array_position(F.array(*[F.lit(t) for t in EVENT_TYPES]), F.col("dst"))
+    number = F.col("time_window") * 100 + F.substring("src", 2, 9).cast("bigint") * 10 + place
+    return pairs(spark, folder).withColumn("pair_id", number)
+
+
+@query("M8_pivot_pair_features")
+def _(spark, folder):
+    """The standardised 28 features of device pairs."""
+    return pivots.pivot_dbscan(_numbered_pairs(spark, folder), PAIR_FEATURE_COLUMNS, PAIR_EPS, id_col="pair_id")
+
+
+@query("M8_pivot_summary")
+def _(spark, folder):
+    found = pivots.pivot_dbscan(_numbered_pairs(spark, folder), PAIR_FEATURE_COLUMNS, PAIR_EPS, id_col="pair_id")
+    return cluster.cluster_summary(found)
+
+
 @query("M9_labelled_evaluation")
 def _(spark, folder):
     labels = adapters.table(spark, folder, "labels")

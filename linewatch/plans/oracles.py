@@ -6,7 +6,7 @@ import math
 
 from linewatch.plans.catalog import (
     CODES, CONTAMINATION, DAY, DETECTION_DELAY, HISTORY_COLUMNS, HISTORY_END, HISTORY_START, HISTORY_THRESHOLD, LATE_EVERY, HOUR, MODEL_COLUMNS, ODD, QUARTER,
-    SAMPLE_SIZE, THRESHOLD, TREES, VECTOR_COLUMNS, WHOLE_EPS, WHOLE_VECTOR, wide_trees,
+    EVENT_TYPES, PAIR_EPS, PIVOT_EPS, SAMPLE_SIZE, THRESHOLD, TREES, VECTOR_COLUMNS, WHOLE_EPS, WHOLE_VECTOR, wide_trees,
 )
 from linewatch.schemas import CONTEXT_COLUMNS, CONTEXT_SOURCES, PAIR_FEATURE_COLUMNS, ROLLUP_COLUMNS
 
@@ -513,6 +513,33 @@ _WHOLE_VECTORS = (
     .replace(f"{_GAPS[0]}) <= 0.5", f"{_GAPS[1]}) <= {WHOLE_EPS}")
 )
 add("M8_dbscan_whole_vectors", _WHOLE_VECTORS, "SELECT * FROM db", [], ["cluster", "core", "noise"])
+add(
+    "M8_pivot_whole_vectors",
+    _WHOLE_VECTORS.replace(f"<= {WHOLE_EPS}", f"<= {PIVOT_EPS}"),
+    "SELECT * FROM db",
+    [],
+    ["cluster", "core", "noise"],
+)
+_PAIR_VECTORS = ",".join(
+    [
+        DAILY,
+        f"vz AS (SELECT time_window * 100 + CAST(substr(src, 2) AS BIGINT) * 10 + list_position({EVENT_TYPES}, dst) AS pair_id, "
+        f"{_standardised(PAIR_FEATURE_COLUMNS)} FROM feat), "
+        "nb AS (SELECT a.pair_id AS a, b.pair_id AS b FROM vz a, vz b WHERE sqrt("
+        + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in PAIR_FEATURE_COLUMNS)
+        + f") <= {PAIR_EPS}), "
+        + "co AS (" + _VECTORS.split("co AS (")[1].replace("vec_id", "pair_id"),
+    ]
+)
+add("M8_pivot_pair_features", _PAIR_VECTORS, "SELECT * FROM db", [], ["cluster", "core", "noise"])
+add(
+    "M8_pivot_summary",
+    _PAIR_VECTORS,
+    "SELECT count(*) AS points, count(DISTINCT cluster) FILTER (noise = 0) AS clusters, sum(core) AS core_points, "
+    "sum(noise) AS outliers, avg(noise) AS outlier_rate FROM db",
+    ["outlier_rate"],
+    ["core_points", "outliers"],
+)
 add(
     "M8_cluster_summary",
     _VECTORS,

@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linewatch.functions import exprs as X
 from linewatch.schemas import CORRUPT, EXTRA, RAW_JSON, RAW_TSV
@@ -15,7 +16,12 @@ PLACE = "_place"
 
 
 def normalise(raw: DataFrame) -> DataFrame:
-    """Raw log columns (text) under their short names and types; rows without a usable stamp are left out."""
+    """Raw log columns under their short names and types; rows without a usable stamp are left out.
+
+    Fields are text as the log readers give them; values that are lists already, as of a typed table, are taken as they are.
+    """
+    values = F.col("response_values")
+    listed = isinstance(raw.schema["response_values"].dataType, T.ArrayType)
     renamed = raw.select(
         X.numeric_timestamp(F.col("ts")).alias("ts"),
         "uid",
@@ -29,7 +35,7 @@ def normalise(raw: DataFrame) -> DataFrame:
         "pdu_type",
         X.integral(F.col("address")).alias("address"),
         X.integral(F.col("register_start")).alias("register_start"),
-        X.value_list(F.col("response_values")).alias("response_values"),
+        (values.cast("array<double>") if listed else X.value_list(values)).alias("response_values"),
         X.integral(F.col("seq")).alias("seq"),
         *[c for c in raw.columns if c == PLACE],
     )

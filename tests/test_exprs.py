@@ -79,3 +79,14 @@ def test_histogram_bins_follow_numpy(spark):
     )
     counts = np.bincount([r[0] for r in got], minlength=10)
     assert list(counts) == list(np.histogram(data, bins=10)[0])
+
+
+def test_normalise_takes_text_and_typed_lists(spark):
+    from linewatch.schemas import RAW_JSON
+    from linewatch.sources import readings as src
+
+    text = spark.createDataFrame([{"ts": "1.5", "response_values": "[1, null, 2.5]"}, {"ts": "x"}, {"ts": "2"}], RAW_JSON)
+    typed = text.withColumn("response_values", F.from_json("response_values", "array<double>"))
+    for raw in (text, typed):
+        rows = src.normalise(raw).orderBy("ts").collect()
+        assert [(r["ts"], r["response_values"]) for r in rows] == [(1.5, [1.0, None, 2.5]), (2.0, None)]
