@@ -144,13 +144,20 @@ def stream_readings(
     return _since(normalise(raw.filter(F.col(CORRUPT).isNull())), from_ts)
 
 
-def tail_readings(spark: SparkSession, path: str, from_ts: float | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def tail_readings(
+    spark: SparkSession, path: str, from_ts: float | None = None, range_bytes: int = RANGE_BYTES,
+    max_bytes: int | None = None, checkpoint: str | None = None,
+) -> DataFrame:
     """Follow growing logs: whole lines appended to the files of a path or glob since the last batch, by byte offset.
 
-    The checkpoint keeps how far each file was read; a file that has become shorter was rotated and is read from its start.
+    The checkpoint keeps how far each file was read and how it begins. A file that was rewritten or has become shorter is read from
+    its start, a renamed one goes on where it ended. ``max_bytes`` bounds every batch; it needs ``checkpoint``, the folder of the
+    query's checkpoint. An ``availableNow`` run takes one batch.
     """
     spark.dataSource.register(LogTail)
-    lines = spark.readStream.format(LogTail.name()).option("path", path).option("rangeBytes", range_bytes).load()
+    reader = spark.readStream.format(LogTail.name()).option("path", path).option("rangeBytes", range_bytes)
+    reader = reader.option("maxBytes", max_bytes) if max_bytes else reader
+    lines = (reader.option("checkpoint", checkpoint) if checkpoint else reader).load()
     parsed = lines.select(
         F.from_json("value", RAW_JSON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("_line"), F.col("place").alias(PLACE)
     )

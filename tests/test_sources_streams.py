@@ -94,6 +94,68 @@ def test_tail_follows_growth_and_rotation(spark, tmp_path):
     assert read() == [(float(i), float(i)) for i in range(33)]
 
 
+def test_tail_knows_rewritten_and_renamed_files(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    one, two = folder / "one.log", folder / "two.log"
+    lines = [line(float(i), values=(0, i)) + "\n" for i in range(60)]
+    expected = []
+
+    def read(*new):
+        expected.extend((float(i), float(i)) for i in new)
+        got, _ = run(spark, src.tail_readings(spark, f"{folder}/*", range_bytes=150), tmp_path, "rotations")
+        assert sorted((r["ts"], r["response_values"][1]) for r in got.collect()) == sorted(expected)
+
+    one.write_text("".join(lines[:10]))
+    read(*range(10))
+    one.write_text("".join(lines[10:25]))  # rewritten and grown beyond its old size
+    read(*range(10, 25))
+    one.rename(folder / "one.log.1")  # renamed with lines not yet read, and a new file under its name
+    with (folder / "one.log.1").open("a") as f:
+        f.write("".join(lines[25:28]))
+    one.write_text("".join(lines[28:48]))
+    read(*range(25, 48))
+    one.rename(folder / "one.log.2")
+    read()
+    (folder / "one.log.2").write_text(lines[48])  # shrunk
+    two.write_text("")
+    read(48)
+    two.write_text("".join(lines[49:51]))
+    read(49, 50)
+
+
+def test_tail_batches_are_bounded(spark, tmp_path):
+    from linewatch.sources.tail import LogTailReader, last_offset
+
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    texts = {"a": [f"a{i}" * 5 for i in range(40)], "b": ["long" * 200, "b1", "b2"], "c": ["c" * 30, "half"]}
+    for name, found in texts.items():
+        (folder / f"{name}.log").write_text("\n".join(found) + ("" if name == "c" else "\n"))
+
+    def batches(reader, start):
+        while (end := reader.latestOffset()) != start:
+            parts = reader.partitions(start, end)
+            yield sum(p.end - p.start for p in parts), [text for p in parts for text, _ in reader.read(p)]
+            start = end
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        LogTailReader({"path": str(folder), "maxBytes": "100"})
+    reader = LogTailReader({"path": str(folder), "maxBytes": "100", "rangeBytes": "64", "checkpoint": str(tmp_path / "none")})
+    taken = list(batches(reader, reader.initialOffset()))
+    assert sorted(t for _, found in taken for t in found) == sorted([*texts["a"], *texts["b"], texts["c"][0]])
+    assert [size for size, _ in taken if size > 100] == [801]  # the line that is longer than the bound
+
+    mark = str(tmp_path / "ck")
+    stream = src.tail_readings(spark, str(folder), max_bytes=200, checkpoint=mark)
+    q = stream.writeStream.format("noop").option("checkpointLocation", mark).start()
+    q.processAllAvailable()
+    q.stop()
+    assert len(q.recentProgress) > 3 and last_offset(mark)[str(folder / "b.log")]["end"] == 807
+    again = LogTailReader({"path": str(folder), "maxBytes": "50", "checkpoint": mark})
+    assert again.known == last_offset(mark) == again.latestOffset()
+
+
 def test_tail_orders_equal_stamps_by_place(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()
