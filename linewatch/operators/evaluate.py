@@ -1,9 +1,10 @@
 """Detection quality against labels or known incident intervals.
 
 An incident touches a window of its target when ``window_start < completed_at`` and ``window_end > started_at``. The
-interval join is done as an equality join: each incident is unfolded into the window numbers it touches, and windows are
-aggregated per (target, window) first. So a busy target never multiplies detections by incidents. Incidents that are
-still open have no interval and match nothing.
+interval join is done as an equality join on dyadic spans: the touched windows of an incident are cut into the fewest spans of
+2, 4, 8, ... aligned windows, at most two of each length, and a window asks for the spans that hold it, one per length in use. So
+an incident of a year has a few dozen rows, whatever the window length. Windows are aggregated per (target, window), and then per
+span, so a busy target never multiplies detections by incidents. Incidents that are still open have no interval and match nothing.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ def evaluate(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
 # -- incidents and windows -------------------------------------------------------------------------------------------
 
 
-def incident_windows(incidents: DataFrame, window_seconds: float) -> DataFrame:
-    """One row per incident and touched window number."""
+def incident_spans(incidents: DataFrame, window_seconds: float) -> DataFrame:
+    """One row per closed incident with the numbers of the first and last window it touches."""
     closed = incidents.filter(
         F.col("started_at").isNotNull() & (F.col("completed_at") > F.col("started_at"))
     )
@@ -48,16 +49,49 @@ def incident_windows(incidents: DataFrame, window_seconds: float) -> DataFrame:
         F.col("target_ip").alias("dst"),
         "started_at",
         "completed_at",
-        F.explode(F.sequence(first, last)).alias("time_window"),
+        first.alias("first_window"),
+        last.alias("last_window"),
     )
 
 
+def incident_windows(incidents: DataFrame, window_seconds: float) -> DataFrame:
+    """One row per incident and touched window number, for incidents of few windows."""
+    spans = incident_spans(incidents, window_seconds)
+    return spans.withColumn("time_window", F.explode(F.sequence("first_window", "last_window"))).drop("first_window", "last_window")
+
+
+def dyadic_cover(intervals: DataFrame, first: str, last: str) -> DataFrame:
+    """The intervals [``first``, ``last``] of integers as spans (``_level``, ``_node``): the numbers n with n >> level = node.
+
+    The spans of an interval are disjoint and the fewest there are: at each level at most the lowest and the highest span that
+    fit, where the span above does not fit.
+    """
+    level = F.explode(F.expr(f"sequence(0, length(bin({last} - {first} + 1)))"))
+    low = F.expr(f"shiftright({first} + shiftleft(1L, _level) - 1, _level)")
+    high = F.expr(f"shiftright({last} + 1, _level) - 1")
+    fits = intervals.withColumn("_level", level).withColumns({"_low": low, "_high": high}).filter("_low <= _high")
+    nodes = F.filter(F.array(F.when(F.col("_low") % 2 != 0, F.col("_low")), F.when(F.col("_high") % 2 == 0, F.col("_high"))), lambda n: n.isNotNull())
+    return fits.withColumn("_node", F.explode(nodes)).drop("_low", "_high")
+
+
+def levels_of(covers: DataFrame) -> list[int]:
+    return sorted(r["_level"] for r in covers.select("_level").distinct().collect())  # 64 at most
+
+
+def in_spans(rows: DataFrame, at: str, levels: list[int]) -> DataFrame:
+    """Each row once per level, with the span (``_level``, ``_node``) that holds its number."""
+    spans = F.array(*[F.struct(F.lit(k).alias("_level"), F.shiftright(F.col(at), k).alias("_node")) for k in levels])
+    none = F.array().cast("array<struct<_level:int,_node:bigint>>")
+    return rows.select("*", F.inline(spans if levels else none))
+
+
 def match_incidents(detections: DataFrame, incidents: DataFrame, window_seconds: float) -> DataFrame:
     """Detections inside a known incident on their target, one row per detection and incident."""
-    touched = incident_windows(incidents, window_seconds)
-    return touched.join(
-        detections.select(*PAIR_KEYS, "anomaly_score", "detected_at"), ["dst", "time_window"]
-    ).select("attack_id", "attack_type", "started_at", "completed_at", *PAIR_KEYS, "anomaly_score", "detected_at")
+    covers = materialise(dyadic_cover(incident_spans(incidents, window_seconds), "first_window", "last_window"))
+    asking = in_spans(detections.select(*PAIR_KEYS, "anomaly_score", "detected_at"), "time_window", levels_of(covers))
+    return covers.join(asking, ["dst", "_level", "_node"]).select(
+        "attack_id", "attack_type", "started_at", "completed_at", *PAIR_KEYS, "anomaly_score", "detected_at"
+    )
 
 
 def _per_target_window(detections: DataFrame) -> DataFrame:
@@ -70,13 +104,19 @@ def _per_target_window(detections: DataFrame) -> DataFrame:
 
 def incident_hits(detections: DataFrame, incidents: DataFrame, window_seconds: float) -> DataFrame:
     """Per closed incident: touched windows, those with a detection, detections in them, score sum and first detection."""
-    touched = incident_windows(incidents, window_seconds)
+    covers = materialise(dyadic_cover(incident_spans(incidents, window_seconds), "first_window", "last_window"))
+    per_span = in_spans(_per_target_window(detections), "time_window", levels_of(covers)).groupBy("dst", "_level", "_node").agg(
+        F.count(F.lit(1)).alias("windows"),
+        F.sum("detections").alias("detections"),
+        F.sum("score_sum").alias("score_sum"),
+        F.min("first_at").alias("first_at"),
+    )
     return (
-        touched.join(_per_target_window(detections), ["dst", "time_window"], "left")
+        covers.join(per_span, ["dst", "_level", "_node"], "left")
         .groupBy("attack_id", "attack_type", "started_at")
         .agg(
-            F.count(F.lit(1)).alias("attack_windows"),
-            F.count("detections").alias("detected_windows"),
+            F.sum(F.expr("shiftleft(1L, _level)")).alias("attack_windows"),
+            F.coalesce(F.sum("windows"), F.lit(0)).alias("detected_windows"),
             F.coalesce(F.sum("detections"), F.lit(0)).alias("true_positives"),
             F.sum("score_sum").alias("score_sum"),
             F.min("first_at").alias("first_detected_at"),
@@ -243,21 +283,21 @@ def confusion_by_type(scored: DataFrame, incidents: DataFrame, window_seconds: f
 
     A pair-window is positive for a type when an incident of it touches the window on the same target.
     """
-    touched = incident_windows(incidents, window_seconds)
-    labels = (
-        touched.select("dst", "time_window", F.explode(F.array("attack_type", F.lit(ANY))).alias("attack_type"))
-        .distinct()
-    )
+    covers = dyadic_cover(incident_spans(incidents, window_seconds), "first_window", "last_window")
+    kinds = F.explode(F.array("attack_type", F.lit(ANY))).alias("attack_type")
+    covers = materialise(covers.select("dst", "_level", "_node", kinds).distinct())
     windows = scored.groupBy("dst", "time_window").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("anomaly") == 1).alias("flagged")
     )
+    # Spans of different incidents may hold the same window: it counts once per type.
+    touched = in_spans(windows, "time_window", levels_of(covers)).join(covers, ["dst", "_level", "_node"])
+    touched = touched.select("dst", "time_window", "n", "flagged", "attack_type").distinct()
+    counts = touched.groupBy("attack_type").agg(F.sum("flagged").alias("tp"), (F.sum("n") - F.sum("flagged")).alias("fn"))
     positive = (
-        labels.join(windows, ["dst", "time_window"], "left")
-        .groupBy("attack_type")
-        .agg(
-            F.coalesce(F.sum("flagged"), F.lit(0)).alias("tp"),
-            F.coalesce(F.sum("n") - F.sum("flagged"), F.lit(0)).alias("fn"),
-        )
+        covers.select("attack_type")
+        .distinct()
+        .join(counts, "attack_type", "left")
+        .select("attack_type", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("fn", F.lit(0)).alias("fn"))
     )
     sums = windows.agg(F.coalesce(F.sum("flagged"), F.lit(0)).alias("_flagged"), F.coalesce(F.sum("n"), F.lit(0)).alias("_total"))
     return positive.join(F.broadcast(sums)).select(  # one row

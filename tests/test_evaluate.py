@@ -148,3 +148,42 @@ def test_statistics(spark, detections):
     by_source = {r["src"]: r["detections"] for r in det.counts_by(detections, "src").collect()}
     assert by_source == {"s1": 6, "s2": 1}
     assert ev.timeline(detections).agg({"detections": "sum"}).first()[0] == 7
+
+
+def test_dyadic_cover(spark):
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(a + n)) for a, n in zip(rng.integers(-40, 60, 300), rng.integers(0, 70, 300))] + [(5, 5), (0, 63), (-64, 63)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a long, b long")
+    found = {}
+    for r in ev.dyadic_cover(df, "a", "b").collect():
+        found.setdefault(r["i"], []).append((r["_level"], r["_node"]))
+    for i, (a, b) in enumerate(pairs):
+        numbers = [n for level, node in found[i] for n in range(node << level, (node + 1) << level)]
+        assert sorted(numbers) == list(range(a, b + 1))
+        assert len(found[i]) <= max(1, 2 * (b - a + 1).bit_length())
+    held = ev.in_spans(df.select("a"), "a", [0, 3]).collect()
+    assert all(r["_node"] == r["a"] >> r["_level"] for r in held) and len(held) == 2 * len(pairs)
+
+
+def test_incident_of_a_year(spark):
+    """Six million windows of five seconds, and short incidents beside it."""
+    year = 366 * 86_400
+    rows = [
+        ("long", "flood", "p1", "d1", "completed", at(2), at(year)),
+        ("short", "scan", "p1", "d1", "completed", at(1000), at(1012)),
+        ("inside", "flood", "p1", "d1", "completed", at(5000), at(9000)),
+    ]
+    incidents = spark.createDataFrame(rows, INCIDENT)
+    spans = ev.dyadic_cover(ev.incident_spans(incidents, 5), "first_window", "last_window")
+    assert spans.filter("attack_id = 'long'").count() <= 2 * 23
+    base = int(T0.timestamp()) // 5
+    spots = [(0, "d1"), (199, "d1"), (200, "d1"), (1500, "d1"), (year // 5 - 1, "d1"), (year // 5, "d1"), (7, "d2")]
+    found = [(base + w, s, d, -0.5, at((w + 1) * 5)) for w, d in spots for s in ("s1", "s2")]
+    detections = spark.createDataFrame(found, "time_window long, src string, dst string, anomaly_score double, detected_at timestamp")
+    hits = {r["attack_id"]: r for r in ev.incident_hits(detections, incidents, 5).collect()}
+    assert [hits["long"][c] for c in ("attack_windows", "detected_windows", "true_positives")] == [year // 5, 5, 10]
+    assert [hits["short"][c] for c in ("attack_windows", "detected_windows", "true_positives")] == [3, 1, 2]
+    assert ev.match_incidents(detections, incidents, 5).groupBy("attack_id").count().collect() != []
+    scored = detections.selectExpr("*", "case when src = 's1' then 1 else 0 end as anomaly")
+    table = {r["attack_type"]: (r["tp"], r["fp"], r["fn"], r["tn"]) for r in ev.confusion_by_type(scored, incidents, 5).collect()}
+    assert table == {"flood": (5, 2, 5, 2), "scan": (1, 6, 1, 6), "all": (5, 2, 5, 2)}
