@@ -6,6 +6,7 @@ task. ``bytes.lower`` changes A-Z only, and ``bytes.split`` cuts at the six ASCI
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import threading
@@ -45,23 +46,42 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def bound_batches(spark: SparkSession) -> None:
     """Let Arrow batches hold ``BATCH_BYTES`` at most in this session: rows here are whole texts, not a few numbers."""
-    if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if not 0 < now <= BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: its next task may be another operator's, and beside it runs the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, store: str | None = None
-) -> DataFrame:
-    """``mapInArrow`` with a function made once per task and applied to every batch; ``store`` names the worker store it uses."""
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, store: str | None = None,
+    tidy: bool = False,
+) -> DataFrame:
+    """``mapInArrow`` with a function made once per task and applied to every batch; ``store`` names the worker store it uses.
+
+    ``tidy`` tasks give their memory back when they end.
+    """
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_stores(store)
-        each = make()
-        for batch in batches:
-            out = each(batch)
-            if out is not None and out.num_rows:
-                yield out
+        try:
+            each = make()
+            for batch in batches:
+                out = each(batch)
+                if out is not None and out.num_rows:
+                    yield out
+        finally:
+            if tidy:
+                each = out = batch = None
+                give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -97,6 +117,7 @@ def _worker() -> types.ModuleType:
                 if held.stores and time.monotonic() - held.used > IDLE_SECONDS:
                     held.stores.clear()
                     gc.collect()
+                    give_back()
 
         threading.Thread(target=expire, daemon=True).start()
     return sys.modules[name]
@@ -116,8 +137,12 @@ def release_stores(keep: str | None = None) -> None:
     """Free what other operators have left in this worker."""
     held = _worker()
     held.used = time.monotonic()
-    for name in [n for n in held.stores if n != keep]:
+    dropped = [n for n in held.stores if n != keep]
+    for name in dropped:
         del held.stores[name]
+    if dropped:
+        gc.collect()
+        give_back()
 
 
 def numbered(df: DataFrame) -> DataFrame:

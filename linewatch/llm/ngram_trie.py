@@ -35,12 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import bound_batches, mix64, word_hashes, written
+from linewatch.llm.common import bound_batches, give_back, mix64, release_stores, written
 
 DISCOUNT = 0.75
 CODES = 4096  # values of a quantised probability
-SHARD_TOKENS = 1 << 20  # tokens of a shard on average
-HOT_TOKENS = 1 << 22  # a middle word with more is split
+SHARD_TOKENS = 1 << 19  # tokens of a shard on average
+HOT_TOKENS = 1 << 21  # a middle word with more is split
+ANSWER_STEP = 1 / 4096  # log probabilities travel in sixteen bits, in these steps
 FOLDS, HELD_OUT = 7, 2
 MOST_COUNTS = 1 << 23  # distinct word counts; reached by 2**45 tokens at the earliest
 
@@ -53,11 +54,21 @@ def fold_of(id_col: str) -> Column:
 # -- numbers as bytes --------------------------------------------------------------------------------------------------
 
 
+def _runs(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which is faster here than hashing."""
+    ordered = np.sort(values)
+    return ordered[_runs(ordered)]
+
+
 def pack(values: np.ndarray) -> bytes:
     """An array of non-negative integers, or of floats, as compressed byte planes."""
     import zstandard
 
-    if values.dtype.kind in "iu":
+    if values.dtype.kind in "iu" and values.itemsize > 2:
         values = values.astype(np.uint32 if not len(values) or int(values.max()) < 1 << 32 else np.uint64)
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
     return values.dtype.str.encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
@@ -71,17 +82,32 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-def pack_words(words: pa.Array) -> bytes:
-    """Words (none holds a line feed; the end of a text is the empty word) as compressed bytes."""
+def pack_words(words: pa.Array, ends: np.ndarray) -> list[bytes]:
+    """Words up to each end as compressed bytes. None holds a line feed; the end of a text is the empty word."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words.cast(pa.binary()).to_pylist()))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), words.cast(pa.binary()))
+    coder = zstandard.ZstdCompressor(level=1)
+    return [coder.compress(x.as_buffer()) for x in pc.binary_join(lists, pa.scalar(b"\n", pa.binary()))]
 
 
-def unpack_words(data: bytes) -> list[bytes]:
+def unpack_words(data: list[bytes]) -> pa.Array:
+    """All words of some packed pieces, one after the other."""
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+    coder = zstandard.ZstdDecompressor()
+    whole = b"\n".join(coder.decompress(x) for x in data)
+    return pc.split_pattern(pa.array([whole], pa.large_binary()), b"\n").flatten()
+
+
+def word_parts(words: pa.Array, parts: int) -> np.ndarray:
+    """A hash part for each word, from sums of its bytes by place."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if words.buffers()[2] else np.zeros(0, np.uint8)
+    begins, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
+    at = np.arange(len(data), dtype=np.uint64) - np.repeat(begins, lengths).astype(np.uint64)
+    mixed = np.r_[np.zeros(1, np.uint64), np.cumsum(mix64((at << np.uint64(8)) + data.astype(np.uint64) + np.uint64(1)))]
+    return (mix64(mixed[begins + lengths] - mixed[begins]) % np.uint64(parts)).astype(np.int64)
 
 
 # -- 1: batches --------------------------------------------------------------------------------------------------------
@@ -95,7 +121,7 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[filled.to_numpy(zero_copy_only=False)]
     lengths = np.bincount(owner, minlength=len(texts)).astype(np.int64) + 1
     coded = flat.filter(filled).dictionary_encode()
-    words = pa.concat_arrays([coded.dictionary.cast(pa.large_string()), pa.array([""], pa.large_string())])
+    words = pa.concat_arrays([coded.dictionary.cast(pa.large_binary()), pa.array([b""], pa.large_binary())])
     stream = np.full(int(lengths.sum()), len(words) - 1, np.int64)
     inner = np.ones(len(stream), bool)
     inner[np.cumsum(lengths) - 1] = False
@@ -114,6 +140,7 @@ def token_batches(docs: DataFrame, id_col: str, text_col: str, held_out: Column,
     names = ["batch", "part", "ids", "held", "lengths", "numbers", "counts", "words"]
 
     def split(batches):
+        release_stores()
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             if not batch.num_rows:
@@ -124,12 +151,16 @@ def token_batches(docs: DataFrame, id_col: str, text_col: str, held_out: Column,
             held = batch.column(1).to_numpy(zero_copy_only=False)
             counts = np.bincount(stream[np.repeat(~held, lengths)], minlength=len(words))
             rows = [(name, -1, batch.column(0).to_pylist(), held.tolist(), lengths.tolist(), pack(stream), None, None)]
-            owner = (word_hashes(words.cast(pa.large_binary()).to_pylist()) % np.uint64(parts)).astype(np.int64)
-            for part in np.unique(owner):
-                mine = np.flatnonzero(owner == part)
-                rows.append((name, int(part), None, None, None, pack(mine), pack(counts[mine]), pack_words(words.take(pa.array(mine)))))
+            owner = word_parts(words, parts)
+            order = np.argsort(owner, kind="stable")
+            begins = _runs(owner[order])
+            ends = np.r_[begins[1:], len(order)]
+            for b, e, packed in zip(begins, ends, pack_words(words.take(pa.array(order)), ends)):
+                mine = order[b:e]
+                rows.append((name, int(owner[mine[0]]), None, None, None, pack(mine), pack(counts[mine]), packed))
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            give_back()
 
     schema = "batch long, part int, ids array<long>, held array<boolean>, lengths array<long>, numbers binary, counts binary, words binary"
     return written(source.mapInArrow(split, schema), "token-batches")
@@ -169,14 +200,10 @@ class Counts:
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all rows of a part: the place of every entry's word in the order (falling count, word), and those words' counts."""
-    words, counts = [], []
-    for data, packed in zip(table.column("words").to_pylist(), table.column("counts").to_pylist()):
-        words.extend(unpack_words(data))
-        counts.append(unpack(packed).astype(np.int64))
-    coded = pa.array(words, pa.large_binary()).dictionary_encode()
+    counts = [unpack(x).astype(np.int64) for x in table.column("counts").to_pylist()]
+    coded = unpack_words(table.column("words").to_pylist()).dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False)
-    total = np.zeros(len(coded.dictionary), np.int64)
-    np.add.at(total, index, np.concatenate(counts))
+    total = np.bincount(index, np.concatenate(counts), len(coded.dictionary)).astype(np.int64)
     frame = pa.table({"c": total, "w": coded.dictionary})
     order = pc.sort_indices(frame, sort_keys=[("c", "descending"), ("w", "ascending")]).to_numpy()
     place = np.empty_like(order)
@@ -256,6 +283,14 @@ class Shards:
         return shard
 
 
+    def asked(self, grams: Grams, at: Counts) -> tuple[np.ndarray, np.ndarray]:
+        """Which trigrams of a batch shards are asked for, ordered by shard, and the shards. Nothing follows an unknown word."""
+        asked = np.flatnonzero(grams.middle != at.unknown)
+        shard = self.of(grams.middle[asked], grams.last[asked])
+        order = np.argsort(shard, kind="stable")
+        return asked[order], shard[order]
+
+
 @dataclass
 class Grams:
     """Distinct trigrams (``first``, ``middle``, ``last``) of a batch in a fixed order, and the trigram of each token."""
@@ -282,15 +317,14 @@ def grams_of(row: dict, numbered: pa.Table, at: Counts) -> Grams:
     middle[begins] = width - 1
     first = np.r_[0, middle[:-1]]
     first[begins] = width - 1
-    if width**3 < 1 << 62:
-        key = (middle * width + first) * width + local
-        _, index, of_token = np.unique(key, return_index=True, return_inverse=True)
-    else:
-        _, pair = np.unique(middle * width + first, return_inverse=True)
-        _, index, of_token = np.unique(pair * width + local, return_index=True, return_inverse=True)
+    pairs = None if width**3 < 1 << 62 else _distinct(middle * width + first)
+    pair = middle * width + first if pairs is None else np.searchsorted(pairs, middle * width + first)
+    keys, of_token = np.unique(pair * width + local, return_inverse=True)
+    pair, last = keys // width, keys % width
+    pair = pair if pairs is None else pairs[pair]
     train = np.repeat(~np.array(row["held"], bool), lengths)
-    trained = np.bincount(of_token[train], minlength=len(index))
-    return Grams(names[local], lengths, names[first[index]], names[middle[index]], names[local[index]], of_token, trained)
+    trained = np.bincount(of_token[train], minlength=len(keys))
+    return Grams(names[local], lengths, names[pair % width], names[pair // width], names[last], of_token, trained)
 
 
 def _batch_row(table: pa.Table) -> dict:
@@ -306,18 +340,15 @@ def elias_fano(values: np.ndarray) -> dict[str, np.ndarray]:
     n = len(values)
     top = int(values[-1]) if n else 0
     bits = max(0, (top // n).bit_length() - 1) if n else 0
-    low = values & np.uint64((1 << bits) - 1)
-    words = np.zeros((n * bits + 63) // 64 + 1, np.uint64)
-    if bits:
-        at = np.arange(n, dtype=np.uint64) * np.uint64(bits)
-        word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        np.bitwise_or.at(words, word, low << shift)
-        over = shift + np.uint64(bits) > np.uint64(64)
-        np.bitwise_or.at(words, word[over] + 1, low[over] >> (np.uint64(64) - shift[over]))
+    places, step = np.arange(bits, dtype=np.uint64), 1 << 14  # a multiple of eight: pieces end at whole bytes
+    pieces = [
+        np.packbits(((values[at : at + step, None] >> places) & np.uint64(1)).astype(np.uint8), bitorder="little") for at in range(0, n, step)
+    ]
+    low = np.concatenate([*pieces, np.zeros(16, np.uint8)])  # room for reads of eight bytes
     ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
     flags = np.zeros((top >> bits) + n + 1, np.uint8)
     flags[ones] = 1
-    return {"size": np.array([n, bits], np.int64), "low": words, "high": np.packbits(flags, bitorder="little")}
+    return {"size": np.array([n, bits], np.int64), "low": low, "high": np.packbits(flags, bitorder="little")}
 
 
 class EliasFano:
@@ -325,7 +356,8 @@ class EliasFano:
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.n, self.bits = (int(x) for x in parts["size"])
-        self.low = parts["low"]
+        low = parts["low"]
+        self.low = np.lib.stride_tricks.as_strided(low[:8].view(np.uint64), (len(low) - 7,), (1,), writeable=False)
         flags = np.unpackbits(np.asarray(parts["high"]), bitorder="little")
         ones = np.flatnonzero(flags)[: self.n]
         self.high = (ones - np.arange(self.n)).astype(np.int64)
@@ -335,12 +367,12 @@ class EliasFano:
     def lows(self, at: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(at), np.int64)
-        bit = at.astype(np.uint64) * np.uint64(self.bits)
-        word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-        found = self.low[word] >> shift
-        wide = shift + np.uint64(self.bits) > np.uint64(64)
-        if wide.any():
-            found[wide] |= self.low[word[wide] + 1] << (np.uint64(64) - shift[wide])
+        bit = at * self.bits
+        found = self.low[bit >> 3] >> (bit & 7).astype(np.uint64)  # up to 57 bits
+        if self.bits > 57:
+            shift = (bit & 7).astype(np.uint64)
+            high = self.low[(bit >> 3) + 8] & np.uint64(0xFF)
+            found |= np.where(shift > 0, high << (np.uint64(63) - shift) << np.uint64(1), np.uint64(0))
         return (found & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def access(self, at: np.ndarray) -> np.ndarray:
@@ -370,7 +402,7 @@ def grouped(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Groups of rising numbers (group i begins at ``begins[i]``) as one rising sequence: each group is lifted above the one before."""
     if not len(values):
         return values
-    begins = np.unique(begins[begins < len(values)])  # without empty groups
+    begins = _distinct(begins[begins < len(values)])  # without empty groups
     lasts = values[np.r_[begins[1:], len(values)] - 1] + 1
     lift = np.cumsum(lasts) - lasts
     return values + np.repeat(lift, np.diff(np.r_[begins, len(values)]))
@@ -378,15 +410,12 @@ def grouped(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 def quantised(values: np.ndarray, codes: int = CODES) -> dict[str, np.ndarray]:
     """Values as codes into a table of at most ``codes`` values: all of them if there are no more, else means of equally many."""
-    table, code = np.unique(values, return_inverse=True)
+    ordered = np.sort(values)
+    table = ordered[_runs(ordered)]
     if len(table) > codes:
-        ranks = np.empty(len(values), np.int64)
-        ranks[np.argsort(values, kind="stable")] = np.arange(len(values))
-        bins = ranks * codes // len(values)
-        # Equal values share the bin of the first of them.
-        firsts = np.full(len(table), codes, np.int64)
-        np.minimum.at(firsts, code, bins)
-        used, code = np.unique(firsts[code], return_inverse=True)
+        table = _distinct(ordered[np.arange(codes) * len(ordered) // codes])  # equal values share a code
+    code = np.searchsorted(table, values, "right") - 1
+    if len(table):
         table = np.bincount(code, weights=values) / np.bincount(code)
     return {"code": code.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32), "table": table}
 
@@ -394,8 +423,25 @@ def quantised(values: np.ndarray, codes: int = CODES) -> dict[str, np.ndarray]:
 # -- 4: the trie of a shard --------------------------------------------------------------------------------------------
 
 
-def _runs(key: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+def _ordered(major: np.ndarray, minor: np.ndarray, width: int) -> np.ndarray:
+    """The order by (major, minor), with minor below ``width``."""
+    top = int(major.max(initial=0)) + 1
+    return np.argsort(major * width + minor) if top * width < 1 << 62 else np.lexsort((minor, major))
+
+
+def distinct_grams(first: np.ndarray, middle: np.ndarray, last: np.ndarray, counts: np.ndarray, at: Counts) -> tuple[np.ndarray, ...]:
+    """Trigrams by (middle, first, last), repeats added up, and the place of each given one among them."""
+    if not len(first):
+        return first, middle, last, counts, np.zeros(0, np.int64)
+    width = at.known + 3
+    pairs, pair = np.unique(np.searchsorted(words := _distinct(middle), middle) * width + first, return_inverse=True)
+    order = _ordered(pair, last, width)
+    new = np.r_[True, (np.diff(pair[order]) != 0) | (np.diff(last[order]) != 0)]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    kept = order[new]
+    found = pairs[pair[kept]]
+    return found % width, words[found // width], last[kept], np.add.reduceat(counts[order], np.flatnonzero(new)), place
 
 
 def build_levels(
@@ -406,20 +452,14 @@ def build_levels(
     that are split over shards, ``(middle, -1)`` of a word and ``(middle, first)`` of a pair; those without a trigram here are kept for
     their back-off weight."""
     use = counts > 0
-    first, middle, last, counts = first[use], middle[use], last[use], counts[use].astype(np.int64)
-    # Trigrams by (middle, first, last), repeats added.
-    order = np.lexsort((last, first, middle))
-    first, middle, last, counts = first[order], middle[order], last[order], counts[order]
-    if len(first):
-        new = np.flatnonzero(np.r_[True, (np.diff(first) != 0) | (np.diff(middle) != 0) | (np.diff(last) != 0)])
-        counts = np.add.reduceat(counts, new)
-        first, middle, last = first[new], middle[new], last[new]
+    first, middle, last, counts, _ = distinct_grams(first[use], middle[use], last[use], counts[use].astype(np.int64), at)
     lonely = [k for k, (n, _) in totals.items() if n] if totals else []  # contexts that other shards may have alone
-    words = np.unique(np.r_[middle, np.array([m for m, _ in lonely], np.int64)])
+    words = _distinct(np.r_[middle, np.array([m for m, _ in lonely], np.int64)])
     word_of = np.searchsorted(words, middle)
     each_word = np.arange(len(words))
     # Successors of the middle words.
-    by_last = np.lexsort((last, word_of))
+    width = at.known + 3
+    by_last = _ordered(word_of, last, width)
     new = np.flatnonzero(np.r_[True, (np.diff(word_of[by_last]) != 0) | (np.diff(last[by_last]) != 0)]) if len(first) else by_last
     next_word, next_last = word_of[by_last][new], last[by_last][new]
     next_count = np.add.reduceat(counts[by_last], new) if len(new) else new
@@ -427,10 +467,9 @@ def build_levels(
     next_of = np.empty(len(first), np.int64)  # place of each trigram's last word among all successors
     next_of[by_last] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(first)]))
     # Pairs of middle and first word.
-    width = at.known + 3
     alone = np.array([(m, f) for m, f in lonely if f >= 0], np.int64).reshape(-1, 2)
     key = word_of * width + first
-    pairs = np.unique(np.r_[key, np.searchsorted(words, alone[:, 0]) * width + alone[:, 1]])
+    pairs = _distinct(np.r_[key, np.searchsorted(words, alone[:, 0]) * width + alone[:, 1]])
     pair_word, pair_first = pairs // width, pairs % width
     pair_of = np.searchsorted(pairs, key)
     pair_begin = np.searchsorted(pair_word, each_word)
@@ -538,6 +577,16 @@ class Trie:
         return result
 
 
+def coded_logs(logs: np.ndarray, exact: bool) -> np.ndarray:
+    """Log probabilities as whole numbers of steps, or as floats where those don't reach (probabilities below 1e-16)."""
+    steps = np.rint(-logs / ANSWER_STEP)
+    return logs.astype(np.float32) if exact or float(steps.max(initial=0)) >= 1 << 16 else steps.astype(np.uint16)
+
+
+def decoded_logs(values: np.ndarray) -> np.ndarray:
+    return values if values.dtype.kind == "f" else values * -ANSWER_STEP
+
+
 # -- the operator ------------------------------------------------------------------------------------------------------
 
 
@@ -549,6 +598,7 @@ def language_model_scores(
     shard_tokens: int = SHARD_TOKENS,
     hot_tokens: int = HOT_TOKENS,
     codes: int = CODES,
+    exact: bool = False,
 ) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per document.
 
@@ -556,6 +606,7 @@ def language_model_scores(
     empty texts are one end. Repeated rows count each and stay separate rows. A null id is kept; by default it falls into the
     fold of the empty text. Ids are whole numbers. A text of any length is one piece of a batch; batches are bounded to 8 MB otherwise. Without
     training texts every token is unknown. An empty table gives an empty result. Other columns are not read.
+    ``exact`` lets shards answer with whole floats instead of steps of ``ANSWER_STEP``.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -566,21 +617,27 @@ def language_model_scores(
     plan = Shards.planned(at, tokens, shard_tokens, hot_tokens)
     shared = spark.sparkContext.broadcast((at, plan))
 
-    def ask(rows: pa.Table, names: pa.Table) -> pa.Table:
-        at, plan = shared.value
-        row = _batch_row(rows)
-        g = grams_of(row, names, at)
-        asked = np.flatnonzero(g.middle != at.unknown)
-        shard = plan.of(g.middle[asked], g.last[asked])
-        asked, order = asked[o := np.argsort(shard, kind="stable")], shard[o]
-        cuts = _runs(order)
-        made = [(row["batch"], int(order[b]), *(pack(v[asked[b:e]]) for v in (g.first, g.middle, g.last, g.trained))) for b, e in zip(cuts, np.r_[cuts[1:], len(order)])]
-        columns = list(zip(*made)) if made else [[]] * 6
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["batch", "shard", "first", "middle", "last", "trained"])
-
-    asks = texts.groupBy("batch").cogroup(numbered.groupBy("batch"))
-    asked = written(asks.applyInArrow(ask, "batch long, shard long, first binary, middle binary, last binary, trained binary"), "trigrams")
+    def asking(hot: bool | None):
+        """The trigrams of a batch for its shards: all of them, those for shards of split words only, or the others."""
+
+        def ask(rows: pa.Table, names: pa.Table) -> pa.Table:
+            at, plan = shared.value
+            row = _batch_row(rows)
+            g = grams_of(row, names, at)
+            asked, shard = plan.asked(g, at)
+            if hot is not None:
+                asked, shard = asked[x := (shard >= plan.cold) == hot], shard[x]
+            cuts = _runs(shard)
+            made = [
+                (row["batch"], int(shard[b]), *(pack(v[asked[b:e]]) for v in (g.first, g.middle, g.last, g.trained)))
+                for b, e in zip(cuts, np.r_[cuts[1:], len(shard)])
+            ]
+            columns = list(zip(*made)) if made else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["batch", "shard", "first", "middle", "last", "trained"])
+
+        asks = texts.groupBy("batch").cogroup(numbered.groupBy("batch"))
+        return asks.applyInArrow(ask, "batch long, shard long, first binary, middle binary, last binary, trained binary")
 
     def columns_of(table: pa.Table) -> tuple[list[np.ndarray], list[int]]:
         found, sizes = [], []
@@ -593,16 +650,17 @@ def language_model_scores(
     def answers(table: pa.Table, totals: dict | None) -> pa.Table:
         at, _ = shared.value
         (first, middle, last, trained), sizes = columns_of(table)
+        first, middle, last, trained, place = distinct_grams(first, middle, last, trained, at)
         trie = Trie.mapped(build_levels(first, middle, last, trained, at, totals, codes=codes), at)
-        found = trie.log_probabilities(first, middle, last).astype(np.float32)
-        cuts = np.split(found, np.cumsum(sizes)[:-1])
+        cuts = np.split(coded_logs(trie.log_probabilities(first, middle, last), exact)[place], np.cumsum(sizes)[:-1])
+        del trie, first, middle, last, trained, place
+        give_back()
         return pa.table({"batch": table.column("batch"), "shard": table.column("shard"), "logs": pa.array([pack(c) for c in cuts], pa.binary())})
 
     reply = "batch long, shard long, logs binary"
-    cold = asked.filter(F.col("shard") < plan.cold)
-    replies = cold.groupBy("shard").applyInArrow(lambda table: answers(table, None), reply)
+    replies = asking(False if len(plan.hot) else None).groupBy("shard").applyInArrow(lambda table: answers(table, None), reply)
     if len(plan.hot):
-        hot = asked.filter(F.col("shard") >= plan.cold)
+        hot = written(asking(True), "hot-trigrams")
 
         def contexts(table: pa.Table) -> pa.Table:
             """Sums and distinct successors of the contexts asked for in this shard; last words are dealt out, so both add up over
@@ -640,11 +698,9 @@ def language_model_scores(
         names = back.filter(pc.equal(back.column("shard"), -1))
         g = grams_of(row, names, at)
         logs = at.log_base(g.last)
-        asked = np.flatnonzero(g.middle != at.unknown)
-        shard = plan.of(g.middle[asked], g.last[asked])
-        asked = asked[np.argsort(shard, kind="stable")]
+        asked, _ = plan.asked(g, at)
         replies = back.filter(pc.greater_equal(back.column("shard"), 0)).sort_by("shard")
-        found = [unpack(x) for x in replies.column("logs").to_pylist()]
+        found = [decoded_logs(unpack(x)) for x in replies.column("logs").to_pylist()]
         if found:
             logs[asked] = np.concatenate(found)
         begins = np.cumsum(g.lengths) - g.lengths
