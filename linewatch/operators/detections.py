@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewatch.functions.quantiles import exact_quantiles
 from linewatch.schemas import PAIR_KEYS
+from linewatch.sources.readings import NO_DAY, read_detections, stored_days
 
 MAX_RECENT = 100
 
@@ -109,6 +110,28 @@ def recent(detections: DataFrame, limit: int = 20) -> DataFrame:
     return detections.orderBy(F.desc("detected_at"), *PAIR_KEYS).limit(limit)
 
 
+def recent_stored(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
+    """The latest detections of a table stored by day, reading the newest days only.
+
+    Days are the table's folders. The newest ones are counted, twice as many each time, until they hold ``limit`` rows; every row of
+    an older day is older than those. Rows without a stamp stand in a folder of their own and come last.
+    """
+    if not 1 <= limit <= MAX_RECENT:
+        raise ValueError(f"limit must be between 1 and {MAX_RECENT}")
+    days = stored_days(spark, path)
+    if not days:
+        return read_detections(spark, path).limit(0)
+    dated = sorted((d for d in days if d != NO_DAY), reverse=True)
+    take = 1
+    while True:
+        last = take >= len(dated)
+        chosen = days if last else dated[:take]
+        found = read_detections(spark, [f"{path.rstrip('/')}/date={d}" for d in chosen], base=path)
+        if last or len(found.select("detected_at").limit(limit).collect()) == limit:  # at most ``limit`` stamps
+            return recent(found, limit)
+        take *= 2
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Union of inputs with differing columns; absent ones are NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -13,15 +13,19 @@ from linewatch.functions.skew import MAX_GROUP_ROWS, chunked_neighbours, lay_out
 from linewatch.schemas import ORDER, PAIR_KEYS
 
 IAT_PERCENTILES = (0.25, 0.50, 0.75, 0.95)
+MAX_CODES = 10_000  # columns of a pivot; a function code is one byte in the protocol
 
 
 def _windowed(readings: DataFrame, window_seconds: float) -> DataFrame:
     return X.keyed(readings.withColumn("time_window", X.window_id(F.col("ts"), window_seconds)), PAIR_KEYS)
 
 
-def function_codes(readings: DataFrame) -> list[str]:
-    """The function codes in use, which become columns; ``code_counts_long`` has no such column per code."""
-    return sorted(r[0] for r in readings.select("func").filter("func is not null").distinct().collect())
+def function_codes(readings: DataFrame, most: int = MAX_CODES) -> list[str]:
+    """The function codes in use, which become columns; more than ``most`` of them raise an error."""
+    found = readings.select("func").filter("func is not null").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} function codes: name those wanted as columns, or use code_counts_long")
+    return sorted(r[0] for r in found)
 
 
 def code_counts_long(readings: DataFrame, window_seconds: float = 60) -> DataFrame:

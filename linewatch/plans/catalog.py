@@ -25,7 +25,7 @@ from linewatch.schemas import (
 from linewatch.session import working_path
 from linewatch.sources import adapters, readings as src, sinks
 from linewatch.sources.tail import file_store
-from linewatch.streaming import detect as live
+from linewatch.streaming import detect as live, windows as win
 from linewatch.streaming.features import stream_pair_features
 
 DAY = 86_400
@@ -370,6 +370,27 @@ def _(spark, folder):
     return src.read_features(spark, target, fmt="csv")
 
 
+def _extracted(spark: SparkSession, folder: str):
+    return jobs.extract_tables(readings(spark, folder), working_path(spark, "extracted"), DAY, EVENT_TYPES)
+
+
+@query("S7_one_read_connections")
+def _(spark, folder):
+    """Both tables of one run from one read of the logs: the connections."""
+    return src.read_features(spark, _extracted(spark, folder)[0]["connections"])
+
+
+@query("S7_one_read_windows")
+def _(spark, folder):
+    found = src.read_features(spark, _extracted(spark, folder)[0]["windows"])
+    return found.drop(*[f"func_{c}_count" for c in EVENT_TYPES])
+
+
+@query("C6_summary_of_one_read")
+def _(spark, folder):
+    return _extracted(spark, folder)[1]
+
+
 @query("S8_write_scored_rows")
 def _(spark, folder):
     path = working_path(spark, "scored")
@@ -906,6 +927,14 @@ def _(spark, folder):
     return det.recent(detections(spark, folder)).select(*PAIR_KEYS, "anomaly_score", "detected_at")
 
 
+@query("O5_recent_stored_days")
+def _(spark, folder):
+    """From a table stored by day, of which only the newest folders are read."""
+    path = working_path(spark, "stored")
+    sinks.write_detections(detections(spark, folder), path)
+    return det.recent_stored(spark, path).select(*PAIR_KEYS, "anomaly_score", "detected_at")
+
+
 @query("O6_incident_log")
 def _(spark, folder):
     return inc.incident_log(incidents(spark, folder)).select(
@@ -1049,6 +1078,29 @@ def _(spark, folder):
     return spark.createDataFrame([(int(taken), int(dropped))], "taken long, late long")
 
 
+def _windows_and_late(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """One query over all readings, then every fiftieth once more: windows and late readings, each in a table of its own."""
+    path, lines = working_path(spark, "late"), raw_lines(spark, folder)
+    place = [working_path(spark, f"late-{n}") for n in ("windows", "rows", "checkpoint")]
+    live.use_rocksdb(spark)
+    for number, part in enumerate((lines, lines.filter(F.col("seq") % LATE_EVERY == 0))):
+        write_lines(part, f"{path}/{number}")
+        found = win.stream_windows(src.stream_readings(spark, f"{path}/*"), QUARTER, "1 hour")
+        _drain(win.sink_windows(found, *place))
+    return tuple(spark.read.parquet(p).drop("batch") for p in place[:2])
+
+
+@query("T2_late_readings")
+def _(spark, folder):
+    """The late readings themselves, next to the windows they missed."""
+    return _windows_and_late(spark, folder)[1]
+
+
+@query("T2_windows_beside_late")
+def _(spark, folder):
+    return _windows_and_late(spark, folder)[0].select(*PAIR_KEYS, "read_count_sum", "value_mean_mean")
+
+
 @query("T6_status")
 def _(spark, folder):
     """The counters after one run: readings taken in, detections, the newest completed window."""

@@ -228,6 +228,7 @@ _CONNECTIONS = (
 )
 _CONNECTION_DOUBLES = ["conn_start", "conn_end", "conn_duration", "req_resp_ratio"]
 add("S7_connection_table_round_trip", EVENTS, _CONNECTIONS.format(func="func"), _CONNECTION_DOUBLES)
+add("S7_one_read_connections", EVENTS, _CONNECTIONS.format(func="func"), _CONNECTION_DOUBLES)
 add(
     "S8_write_scored_rows",
     DAILY_SCORED,
@@ -420,6 +421,19 @@ add(
     f"SELECT tr.*, {', '.join(_GAP_DOUBLES)} FROM tr LEFT JOIN ia USING ({_KEYS})",
     [*_TRAFFIC_DOUBLES, *_GAP_DOUBLES],
 )
+add(
+    "S7_one_read_windows",
+    _DAY_TRAFFIC,
+    f"SELECT tr.*, {', '.join(_GAP_DOUBLES)} FROM tr LEFT JOIN ia USING ({_KEYS})",
+    [*_TRAFFIC_DOUBLES, *_GAP_DOUBLES],
+)
+add(
+    "C6_summary_of_one_read",
+    _DAY_TRAFFIC,
+    f"SELECT (SELECT count(*) FROM ev) AS total_records, (SELECT count(*) FROM tr) AS feature_vectors, "
+    f"{3 + 8 + 5 + len(_GAP_DOUBLES)}::BIGINT AS num_features, "
+    f"{DAY}::BIGINT AS time_window_seconds",
+)
 add(
     "J1_window_features_full",
     _DAY_TRAFFIC + f", pv AS (SELECT {_KEYS}, {_PIVOT} FROM tw GROUP BY {_KEYS})",
@@ -629,12 +643,8 @@ add(
     f"AND anomaly_score >= -0.7 ORDER BY detected_at DESC, {_KEYS} LIMIT 100",
     ["anomaly_score", "detected_at"],
 )
-add(
-    "O5_recent_detections",
-    DAILY_SCORED,
-    f"{_DETECTION} ORDER BY detected_at DESC, {_KEYS} LIMIT 20",
-    ["anomaly_score", "detected_at"],
-)
+for _name in ("O5_recent_detections", "O5_recent_stored_days"):
+    add(_name, DAILY_SCORED, f"{_DETECTION} ORDER BY detected_at DESC, {_KEYS} LIMIT 20", ["anomaly_score", "detected_at"])
 add(
     "O6_incident_log",
     INCIDENTS,
@@ -781,6 +791,20 @@ add(
     f"SELECT (SELECT count(*) FROM ev) + count(*) FILTER (NOT gone) AS taken, count(*) FILTER (gone) AS late FROM "
     f"(SELECT (floor(ts / 60) + 1) * 60 <= (SELECT floor((max(ts) - 3600) * 1000) / 1000 FROM ev) AS gone FROM ev WHERE seq % {LATE_EVERY} = 0)",
 )
+add(
+    "T2_late_readings",
+    EVENTS,
+    f"SELECT CAST(floor(ts / {QUARTER}) AS BIGINT) AS time_window, src, dst, ts, seq, address, v1 AS value FROM ev "
+    f"WHERE seq % {LATE_EVERY} = 0 "
+    f"AND (floor(ts / {QUARTER}) + 1) * {QUARTER} <= (SELECT floor((max(ts) - 3600) * 1000) / 1000 FROM ev)",
+    ["ts", "value"],
+)
+add(
+    "T2_windows_beside_late",
+    ",".join([EVENTS, _registers(QUARTER), ROLLUP]),
+    f"SELECT {_KEYS}, read_count_sum, value_mean_mean FROM roll WHERE {_closed(QUARTER)}",
+    ["read_count_sum", "value_mean_mean"],
+)
 add(
     "T6_status",
     ",".join([_QUARTER_RECORDS, "feat AS (SELECT * FROM roll)", _scored(QUARTER)]),

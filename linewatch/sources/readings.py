@@ -117,15 +117,29 @@ def read_features(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return spark.read.format(fmt).load(path)
 
 
-def read_detections(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All stored detection files, with columns merged and unreadable files skipped."""
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # the folder of rows without a stamp
+
+
+def read_detections(
+    spark: SparkSession, path: str | list[str], base: str | None = None, schema: T.StructType | None = None
+) -> DataFrame:
+    """All stored detection files, with columns merged and unreadable files skipped.
+
+    ``base`` is the table's folder where ``path`` lists some of its days. A given ``schema`` saves the look into every file.
+    """
     paths = [path] if isinstance(path, str) else list(path)
-    return (
-        spark.read.option("mergeSchema", True)
-        .option("ignoreCorruptFiles", True)
-        .option("recursiveFileLookup", False)
-        .parquet(*paths)
-    )
+    reader = spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", False)
+    reader = reader.schema(schema) if schema is not None else reader.option("mergeSchema", True)
+    return (reader.option("basePath", base) if base else reader).parquet(*paths)
+
+
+def stored_days(spark: SparkSession, path: str) -> list[str]:
+    """The days a table stored by ``date`` has folders of, oldest first; files are not looked into."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(folder) if f.isDirectory()]
+    return sorted(n.removeprefix("date=") for n in names if n.startswith("date="))
 
 
 def stream_readings(

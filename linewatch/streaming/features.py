@@ -1,214 +1,10 @@
-"""Pair features on a stream: one result per completed window, by watermark.
-
-Streams have no ``lag`` and no second pass over the rows, so the state is kept in two small forms. *Slices*: rows of a
-short time slice are sorted and reduced to their ends and gap sums; a window combines its slices. *Value counts*: rows of
-a window are counted per distinct value, from which moments, outliers and histogram follow once the window is complete.
-No group ever holds all rows of a window: a busy key is spread over its slices and values.
-"""
+"""Pair features on a stream: one result per completed window, by watermark."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from linewatch.functions import exprs as X
-from linewatch.operators import record, register
-from linewatch.operators.forest import tag_profile
-from linewatch.schemas import PAIR_KEYS, ROLLUP_COLUMNS
-
-_WINDOW = "_window"
-
-
-def _seconds(n: float) -> str:
-    return f"{int(round(n * 1_000_000))} microseconds"
-
-
-def _stamped(rows: DataFrame, watermark: str) -> DataFrame:
-    return rows.withColumn("_at", X.to_timestamp(F.col("ts"))).withWatermark("_at", watermark)
-
-
-def _total(items: Column, pick) -> Column:
-    return F.aggregate(F.transform(items, lambda x: pick(x).cast("double")), F.lit(0.0), lambda a, x: a + x)
-
-
-def _neighbours(items: Column) -> Column:
-    """``(a, b)`` of each two adjacent entries."""
-    size = F.size(items)
-    heads = F.slice(items, F.lit(1), F.greatest(size - 1, F.lit(0)))
-    tails = F.slice(items, F.lit(2), F.greatest(size - 1, F.lit(0)))
-    return F.zip_with(heads, tails, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-
-def _slice_ends(rows: DataFrame, keys: list[str], slice_seconds: float, payload: list[str], sums: dict) -> DataFrame:
-    """Reduce each (slice, key) to first and last row, changes and gap moments, and the given mergeable sums."""
-    grouped = rows.groupBy(F.window("_at", _seconds(slice_seconds)).alias("_slice"), *keys).agg(
-        F.sort_array(F.collect_list(F.struct("ts", "seq", *payload))).alias("_rows"),
-        *[e.alias(n) for n, e in sums.items()],
-    )
-    # A generator in between keeps the pair list from being computed again for every use.
-    paired = grouped.withColumn("_pairs", _neighbours(F.col("_rows")))
-    gaps = F.transform("_pairs", lambda p: p["b"]["ts"] - p["a"]["ts"])
-    changed = (
-        F.size(F.filter("_pairs", lambda p: p["a"][payload[0]] != p["b"][payload[0]])) if payload else F.lit(0)
-    )
-    part = F.struct(
-        F.get("_rows", F.lit(0)).alias("first"),
-        F.element_at("_rows", -1).alias("last"),
-        F.size("_rows").alias("n"),
-        changed.alias("changes"),
-        X.list_moments(gaps).alias("gap"),
-        *[F.col(n) for n in sums],
-    )
-    return paired.select(F.window_time("_slice").alias("_at"), *keys, part.alias("_part"))
-
-
-def _value_counts(rows: DataFrame, keys: list[str], window_seconds: float, value: str) -> DataFrame:
-    counted = rows.groupBy(F.window("_at", _seconds(window_seconds)).alias("_w"), *keys, F.col(value).alias("_v"))
-    counts = counted.agg(F.count(F.lit(1)).alias("_c"))
-    return counts.select(F.window_time("_w").alias("_at"), *keys, F.struct("_v", "_c").alias("_count"))
-
-
-def _combined(parts: DataFrame, counts: DataFrame, keys: list[str], window_seconds: float) -> DataFrame:
-    both = parts.unionByName(counts, allowMissingColumns=True)
-    return both.groupBy(F.window("_at", _seconds(window_seconds)).alias(_WINDOW), *keys).agg(
-        F.sort_array(F.collect_list("_part")).alias("_parts"),
-        F.collect_list("_count").alias("_counts"),
-    )
-
-
-def _with_gaps(combined: DataFrame) -> DataFrame:
-    """Gap count, mean and squared deviation of a window from its slices and the seams between them."""
-    parts = F.col("_parts")
-    first, last = F.get(parts, F.lit(0))["first"], F.element_at(parts, -1)["last"]
-    staged = combined.withColumns(
-        {
-            "_seams": F.transform(_neighbours(parts), lambda p: p["b"]["first"]["ts"] - p["a"]["last"]["ts"]),
-            "n": _total(parts, lambda p: p["n"]).cast("bigint"),
-            "ts_min": first["ts"],
-            "ts_max": last["ts"],
-        }
-    ).withColumn(
-        "gap_mean", F.when(F.col("n") > 1, (F.col("ts_max") - F.col("ts_min")) / (F.col("n") - 1))
-    )
-    mean = F.col("gap_mean")
-
-    def spread(p: Column) -> Column:
-        g = p["gap"]
-        return g["m2"] + g["n"] * (g["mean"] - mean) * (g["mean"] - mean)
-
-    m2 = _total(parts, spread) + _total(F.col("_seams"), lambda g: (g - mean) * (g - mean))
-    return staged.withColumn("gap_m2", m2)
-
-
-def _with_moments(df: DataFrame, mean: str, m2: str, low: str, high: str, total: str) -> DataFrame:
-    """Weighted moments and extremes of the value counts."""
-    counts = F.col("_counts")
-    values = F.transform(counts, lambda c: c["_v"])
-    return (
-        df.withColumn(total, _total(counts, lambda c: c["_c"]))
-        .withColumns(
-            {
-                mean: F.try_divide(_total(counts, lambda c: c["_v"] * c["_c"]), F.col(total)),
-                low: F.array_min(values),
-                high: F.array_max(values),
-            }
-        )
-        .withColumn(m2, _total(counts, lambda c: c["_c"] * (c["_v"] - F.col(mean)) * (c["_v"] - F.col(mean))))
-    )
-
-
-def _count_where(test) -> Column:
-    return _total(F.filter("_counts", test), lambda c: c["_c"]).cast("bigint")
-
-
-def stream_register_features(
-    readings: DataFrame,
-    window_seconds: float = 300,
-    watermark: str = "60 seconds",
-    min_count: int = 3,
-    slice_seconds: float | None = None,
-) -> DataFrame:
-    """Streaming form of the register windows, keyed by ``_window`` instead of ``time_window``."""
-    keys = ["src", "dst", "address"]
-    rows = _stamped(register.register_values(readings, window_seconds), watermark)
-    parts = _slice_ends(rows, keys, slice_length(window_seconds, slice_seconds), ["value"], {})
-    counts = _value_counts(rows, keys, window_seconds, "value")
-    combined = _with_gaps(_combined(parts, counts, keys, window_seconds)).filter(F.col("n") >= min_count)
-    measured = _with_moments(combined, "mean", "_m2", "low", "high", "_n")
-    seam_changes = F.size(
-        F.filter(_neighbours(F.col("_parts")), lambda p: p["a"]["last"]["value"] != p["b"]["first"]["value"])
-    )
-    std = F.sqrt(F.col("_m2") / F.col("_n"))
-
-    def far(c: Column) -> Column:
-        z = F.abs(c["_v"] - F.col("mean")) / (F.col("std") + F.lit(register.EPSILON))
-        return (F.col("n") > register.Z_MIN_COUNT) & (z > register.Z_LIMIT)
-
-    def in_bin(i: int):
-        return lambda c: X.histogram_bin(c["_v"], F.col("low"), F.col("high"), register.BINS) == i
-
-    measured = (
-        measured.withColumns(
-            {
-                "std": std,
-                "changes": (_total(F.col("_parts"), lambda p: p["changes"]) + seam_changes).cast("bigint"),
-                "gap_std": F.sqrt(F.col("gap_m2") / (F.col("n") - 1)),
-                "unique_values": F.size("_counts").cast("bigint"),
-            }
-        )
-        .withColumn("far", _count_where(far))
-        .withColumns({f"_bin{i}": _count_where(in_bin(i)) for i in range(register.BINS)})
-    )
-    return register.register_columns(measured, window_seconds, keys=[_WINDOW, *keys])
-
-
-def stream_record_features(
-    readings: DataFrame,
-    window_seconds: float = 300,
-    watermark: str = "60 seconds",
-    slice_seconds: float | None = None,
-) -> DataFrame:
-    """Streaming form of the record profile, keyed by ``_window``."""
-    keys = ["src", "dst"]
-    rows = _stamped(record.record_values(readings, window_seconds), watermark)
-    sums = {
-        "lists": F.count("mean"),
-        "std_sum": F.sum("std"),
-        "std_max": F.max("std"),
-        "range_sum": F.sum("range"),
-        "range_max": F.max("range"),
-        "distinct_sum": F.sum("distinct"),
-        "entropy_sum": F.sum("entropy"),
-        "registers": F.collect_set("register"),  # register numbers are 16 bit in the protocol
-    }
-    parts = _slice_ends(rows, keys, slice_length(window_seconds, slice_seconds), [], sums)
-    counts = _value_counts(rows.filter("mean is not null"), keys, window_seconds, "mean")
-    combined = _with_gaps(_combined(parts, counts, keys, window_seconds))
-    measured = _with_moments(combined, "mean_avg", "_m2", "mean_min", "mean_max", "lists")
-    p = F.col("_parts")
-    lists = F.col("lists")
-
-    def average(name: str) -> Column:
-        known = F.filter(p, lambda x: x[name].isNotNull())
-        return F.try_divide(_total(known, lambda x: x[name]), lists)
+from pyspark.sql import DataFrame
 
-    measured = measured.withColumns(
-        {
-            "mean_std": F.sqrt(F.try_divide(F.col("_m2"), lists - 1)),
-            "std_avg": average("std_sum"),
-            "std_max": F.array_max(F.transform(p, lambda x: x["std_max"])),
-            "range_avg": average("range_sum"),
-            "range_max": F.array_max(F.transform(p, lambda x: x["range_max"])),
-            "distinct_sum": _total(F.filter(p, lambda x: x["distinct_sum"].isNotNull()), lambda x: x["distinct_sum"]),
-            "distinct_avg": average("distinct_sum"),
-            "entropy_avg": average("entropy_sum"),
-            "registers": F.size(F.array_distinct(F.flatten(F.transform(p, lambda x: x["registers"])))),
-            "gap_std": F.when(F.col("n") > 2, F.sqrt(F.col("gap_m2") / (F.col("n") - 2))),
-        }
-    )
-    spread = F.col("mean_std")
-    far = _count_where(lambda c: (spread > 0) & (F.abs(c["_v"] - F.col("mean_avg")) / spread > record.Z_LIMIT))
-    return record.record_columns(measured.withColumn("far", far), keys=[_WINDOW, *keys])
+from linewatch.streaming.windows import SPREAD, stream_windows, windows_of
 
 
 def slice_length(window_seconds: float, slice_seconds: float | None) -> float:
@@ -230,17 +26,9 @@ def stream_pair_features(
 ) -> DataFrame:
     """The 19 roll-up columns per completed window and device pair, as a stream in append mode.
 
-    Rows later than the watermark are dropped by the engine and counted in its progress reports.
+    Readings whose window the watermark has passed are dropped by the engine and counted in its progress reports;
+    ``windows.stream_windows`` keeps them as rows. A pair's window is held in slices of ``slice_seconds``, by default a quarter of it.
+    State needs RocksDB (``detect.use_rocksdb``).
     """
-    if profile == "register":
-        registers = stream_register_features(readings, window_seconds, watermark, slice_seconds=slice_seconds)
-        pairs = register.pair_rollup(registers, keys=[_WINDOW, "src", "dst"]).fillna(0, subset=ROLLUP_COLUMNS)
-    elif profile == "record":
-        pairs = stream_record_features(readings, window_seconds, watermark, slice_seconds)
-    else:
-        raise ValueError("profile must be register or record")
-    window = X.window_id(F.unix_micros(F.col(_WINDOW)["start"]) / F.lit(1e6), window_seconds)
-    return tag_profile(
-        pairs.select(window.alias("time_window"), "src", "dst", *ROLLUP_COLUMNS).select(*PAIR_KEYS, *ROLLUP_COLUMNS),
-        profile,
-    )
+    spread = SPREAD if slice_seconds is None else round(window_seconds / slice_length(window_seconds, slice_seconds))
+    return windows_of(stream_windows(readings, window_seconds, watermark, profile, spread, keep_late=False), profile)

@@ -126,3 +126,12 @@ def test_any_number_of_codes(spark):
 def test_approximate_percentiles_stay_in_range(spark, readings):
     got = traffic.gap_features(readings, 86_400, [0.5], approximate=True).toPandas()
     assert ((got["iat_p50"] >= got["iat_min"]) & (got["iat_p50"] <= got["iat_max"])).all()
+
+
+def test_too_many_codes_for_columns(spark):
+    rows = spark.range(300).selectExpr("cast(id as double) as ts", "'a' as src", "'b' as dst", "concat('f', id) as func")
+    with pytest.raises(ValueError, match="code_counts_long"):
+        traffic.function_codes(rows, most=256)
+    assert len(traffic.function_codes(rows, most=300)) == 300
+    assert traffic.code_counts(rows, 60, ["f1", "f299"]).columns[-2:] == ["func_f1_count", "func_f299_count"]
+    assert traffic.code_counts_long(rows, 60).count() == 300
