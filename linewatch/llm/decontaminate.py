@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import alnum_words, arrow_map, bound_batches, release_stores, text_bytes, worker_store
+from linewatch.llm.common import alnum_words, arrow_map, bound_batches, give_back, release_stores, text_bytes, worker_store
 
 WINDOW = 10
 BLOCK_BYTES = 16_000_000  # of benchmark text per automaton
@@ -198,6 +198,8 @@ def _cleanness(shared, window: int):
     def clean(texts: pa.Array) -> pa.Array:
         release_stores(STORE)
         matcher = _matcher(*shared.value, window)
-        return pa.array([not matcher.find(alnum_words(t))[0] for t in texts.to_pylist()], pa.bool_())
+        found = pa.array([not matcher.find(alnum_words(t))[0] for t in texts.to_pylist()], pa.bool_())
+        give_back()
+        return found
 
     return clean

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import bound_batches, mix64, numbered, release_stores, text_bytes, written
+from linewatch.llm.common import bound_batches, give_back, mix64, numbered, release_stores, text_bytes, written
 from linewatch.session import materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -186,6 +186,7 @@ def slots(spark, plans: Sequence[Target], block: int = BLOCK, shard_slots: int =
     numbered_ = drawn.withColumn("_from", F.sum("_n").over(Window.partitionBy("_s").orderBy("shard")) - F.col("_n"))
 
     def place(batches):
+        release_stores()
         plan = shared.value
         for batch in batches:
             for shard, s, n, begin, slot in zip(*(c.to_pylist() for c in batch.columns)):
@@ -307,7 +308,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def extract(texts: pa.Array, runs_: pa.Array) -> pa.Array:
         release_stores()
-        return pa.array([cut_words(t, [(r["a"], r["b"]) for r in rs]).decode("utf-8", "replace") for t, rs in zip(texts.to_pylist(), runs_.to_pylist())], pa.string())
+        made = (cut_words(t, [(r["a"], r["b"]) for r in rs]).decode("utf-8", "replace") for t, rs in zip(texts.to_pylist(), runs_.to_pylist()))
+        made = pa.array(made, pa.string())
+        give_back()
+        return made
 
     joined = held.join(runs, "_key").withColumn("_new", F.arrow_udf(extract, "string")(text_bytes(F.col(f"_doc.{text_col}")), F.col("_runs")))
     fields = [

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import bound_batches, release_stores, text_bytes
+from linewatch.llm.common import bound_batches, give_back, release_stores, text_bytes
 from linewatch.session import materialise
 
 SAMPLE = 20_000  # labelled rows the document classifier is fitted on at most
@@ -183,7 +183,9 @@ def posteriors(
 
     def evidence(texts: pa.Array) -> pa.Array:
         release_stores()
-        return pa.array(model.evidence(np.array([measures(t) for t in texts.to_pylist()], float).reshape(-1, len(MEASURES))))
+        found = np.array([measures(t) for t in texts.to_pylist()], float).reshape(-1, len(MEASURES))
+        give_back()
+        return pa.array(model.evidence(found))
 
     rows = docs.select(
         F.struct("*").alias("_doc"),

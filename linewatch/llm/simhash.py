@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return each
 
     source = docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_text"))
-    return arrow_map(source, make, "_id long, _fp long")
+    return arrow_map(source, make, "_id long, _fp long", tidy=True)
 
 
 def quarter_counts(prints: np.ndarray) -> np.ndarray:
@@ -218,7 +218,7 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
 
     pairs = tile_pairs(tiles(prints, tile), radius).select("a", "b", "_left", "_right")
     parts = 4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return arrow_map(pairs.repartition(parts, "a", "b"), make, "_u long, _v long")
+    return arrow_map(pairs.repartition(parts, "a", "b"), make, "_u long, _v long", tidy=True)
 
 
 def near_duplicates(
@@ -262,7 +262,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
         return each
 
-    prints = materialise(arrow_map(source, make, "_id long, _sum string, _fp long"))
+    prints = materialise(arrow_map(source, make, "_id long, _sum string, _fp long", tidy=True))
     firsts = materialise(
         prints.groupBy("_fp").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_sum").alias("s"))).alias("_first"))
     )

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import arrow_map, bound_batches, release_stores, text_bytes, worker_store
+from linewatch.llm.common import arrow_map, bound_batches, give_back, release_stores, text_bytes, worker_store
 from linewatch.session import materialise, working_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,7 +45,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        # A text that holds the string of an added token is encoded whole: the library gives it the token's id.
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # one character of a token stands for one byte
@@ -76,7 +77,7 @@ class Encoder:
         """The ids of each text."""
         if len(self.known) > self.limit:
             self.known.clear()  # frequent words are back soon
-        known, get = self.known, self.known.get
+        known, get, added = self.known, self.known.get, self.added
         cuts = [t.replace("\n", " \n").split(" ") for t in texts]
         found = [list(map(get, c)) for c in cuts]
         whole = []
@@ -84,12 +85,12 @@ class Encoder:
         new: dict[str, None] = {}
         marked: dict[str, None] = {}
         heads: dict[str, None] = {}
-        for cut, ids in zip(cuts, found):
+        for text, cut, ids in zip(texts, cuts, found):
             ids[0] = b""  # the first piece has no blank before it
             gap = [j for j, i in enumerate(ids) if i is None]
             gaps.append(gap)
             fresh = [cut[j] for j in gap]
-            alone = not cut[0] or cut[0][0].isspace() or cut[0][-1].isspace() or not all(map(_regular, fresh))
+            alone = any(a in text for a in added) or not cut[0] or cut[0][0].isspace() or cut[0][-1].isspace() or not all(map(_regular, fresh))
             whole.append(alone)
             if not alone:
                 if f" {cut[0]}" not in known:
@@ -171,6 +172,7 @@ def write_tokens(
                 flat[ends - 1] = end_id
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lengths), lists], ["doc_id", "n_tokens", "ids"])
+        give_back()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (

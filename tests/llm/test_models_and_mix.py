@@ -21,9 +21,7 @@ CASES = [awkward(), random_rows(6)]
 
 
 def library():
-    made = Tokenizer.from_file(token_files.tokenizer_path())
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(token_files.tokenizer_path())
 
 
 @pytest.mark.parametrize("case", range(2))
@@ -54,6 +52,16 @@ def test_selective_reads(spark):
     assert "EqualTo(doc_id,7)" in plan and "ids" not in plan.split("ReadSchema")[1]
 
 
+def test_strings_of_added_tokens():
+    """The library's default: such a string is the token, wherever it stands."""
+    coder, plain = _coder(), _plain()
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert added
+    for a in added:
+        texts = [f"a {a} b", a, f"x{a}y", f"one {a[:-1]} two", f"{a}{a}\n{a}", "a b"]
+        assert [g.tolist() for g in coder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab'Sst é1!…,.\n\t  　\x0b\x1c᠎​ <|endoftext|>"), max_size=30), max_size=4))
 def test_remembered_words_give_the_librarys_ids(texts):
