@@ -21,7 +21,7 @@ from linewatch.session import materialise, working_path
 TOKENIZER = "byte_bpe_50k.json"
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
-CACHE_WORDS = 400_000  # words remembered per Python worker, about 60 MB; more save time on wide vocabularies
+CACHE_WORDS = 200_000  # words remembered per Python worker, about 30 MB; more save time on wide vocabularies
 ENCODED_ROWS = 32  # texts encoded together: their words and ids stay in the processor's cache
 STORE = "encoders"
 
@@ -172,7 +172,7 @@ def write_tokens(
                 flat[ends - 1] = end_id
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lengths), lists], ["doc_id", "n_tokens", "ids"])
-        give_back()
+            give_back()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
