@@ -8,9 +8,10 @@ blocks of another pivot only where its own distances to that pivot reach; all ot
 A pivot with points of weight ``min_samples`` within ``eps / 2`` has a *ball*: its points are core and in one cluster without being
 compared. Balls whose pivots are within ``eps`` of one another are one cluster as well, also without comparison.
 
-Blocks that meet are compared in cells of bands by bands, so that the bytes of a block travel once per band it meets. Both passes
-over the cells reduce inside the task: the first to counts per point, the second to a spanning forest and, for border points, one
-core point of each group they touch.
+Blocks that meet are compared in cells of bands by bands, so that the bytes of a block travel once per band it meets. There are about
+``BANDS`` bands whatever the number of points or partitions, more only where a band would outgrow ``BAND_BYTES``: what travels grows with
+the points. Both passes over the cells reduce inside the task: the first to counts per point, the second to a spanning forest and, for
+border points, one core point of each group they touch.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewatch.functions.components import components
-from linewatch.operators.cluster import NOISE
 from linewatch.operators.scaling import apply_scaler, fit_scaler
 from linewatch.session import materialise, working_path
 
 MAX_PIVOTS = 512  # pivots x columns numbers are sent to all tasks
 BLOCK = 1024
-BAND = 16  # blocks of a band
+BANDS = 16
+BAND_BYTES = 128 << 20  # of points in a band, where 16 bands would be larger
+TOUCHES = 1 << 20  # border points and groups listed before repeats are dropped
+NOISE = -1
+NO_ID = np.iinfo(np.int64).min  # points all of whose rows lack an id: neighbours of others, themselves noise
 ROUNDING = 1e-9
 
 
@@ -68,7 +72,7 @@ def choose_pivots(points: DataFrame, most: int = MAX_PIVOTS) -> tuple[np.ndarray
     """Ids and coordinates of twice the root of the number of points, at most ``most``, by smallest hash of the id."""
     n = points.count()
     k = min(most, max(1, int(2 * n**0.5)), max(n, 1))
-    rows = points.orderBy(F.xxhash64("p"), "p").limit(k).select("p", "x").collect()
+    rows = points.filter("p is not null").orderBy(F.xxhash64("p"), "p").limit(k).select("p", "x").collect()
     return np.array([r["p"] for r in rows], np.int64), np.array([r["x"] for r in rows], float)
 
 
@@ -89,18 +93,34 @@ def placed(points: DataFrame, pivots: np.ndarray, eps: float) -> DataFrame:
                 [pa.array(c), pa.array(r <= eps / 2 * (1 - ROUNDING) - ROUNDING), pa.array(r), *batch.columns], ["c", "ball", "r", "p", "w", "x"]
             )
 
-    return materialise(points.mapInArrow(nearest, "c long, ball boolean, r double, p long, w long, x array<double>"))
+    named = points.select(F.coalesce("p", F.lit(NO_ID)).alias("p"), "w", "x")
+    return materialise(named.mapInArrow(nearest, "c long, ball boolean, r double, p long, w long, x array<double>"))
 
 
-def blocks_of(laid: DataFrame, pivots: np.ndarray, eps: float, balls: set[int], block: int = BLOCK, band: int = BAND) -> DataFrame:
+def band_numbers(sizes: dict[int, int], row_bytes: int) -> list[tuple[int, int, int]]:
+    """``(pivot, first band, bands)``: neighbouring pivots share a band, the blocks of a large one are dealt over several."""
+    most = max(1, min(-(-sum(sizes.values()) // BANDS), BAND_BYTES // row_bytes))
+    found, band, held = [], 0, 0
+    for c, n in sorted(sizes.items()):
+        if held and held + n > most:
+            band, held = band + 1, 0
+        parts = -(-n // most)
+        found.append((c, band, parts))
+        band, held = (band, held + n) if parts == 1 else (band + parts, 0)
+    return found
+
+
+def blocks_of(laid: DataFrame, pivots: np.ndarray, eps: float, balls: set[int], block: int = BLOCK) -> DataFrame:
     """Blocks of points of one pivot, side by side in distance, with the pivots they reach and how far those are.
 
     ``(block, band, c, ball, r_low, r_high, near(q, low, high), n, ids, weights, cells)``; ``ball`` only where the pivot has one.
     """
     d, many = pivots.shape[1], len(pivots)
     radius = np.zeros(many)
-    for r in laid.groupBy("c").agg(F.max("r").alias("r")).collect():  # one row per pivot
-        radius[r["c"]] = r["r"]
+    sizes = {}
+    for r in laid.groupBy("c").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # one row per pivot
+        radius[r["c"]], sizes[r["c"]] = r["r"], r["n"]
+    bands = {c: (first, parts) for c, first, parts in band_numbers(sizes, 8 * (d + 2))}
     owners = F.col("c").isin(sorted(balls)) if balls else F.lit(False)
     keys = ["c", "_in", "r", "p"]
     parts = int(laid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -143,10 +163,11 @@ def blocks_of(laid: DataFrame, pivots: np.ndarray, eps: float, balls: set[int],
         reach = np.flatnonzero(low - radius <= slack)
         near = [{"q": int(q), "low": float(low[q]), "high": float(high[q])} for q in reach]
         r = rows.column("r").to_numpy()
+        first, parts = bands[rows.column("c")[0].as_py()]
         kinds = pa.list_(pa.struct([("q", pa.int64()), ("low", pa.float64()), ("high", pa.float64())]))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([name]), pa.array([(name >> 32 << 32) + (name & 0xFFFFFFFF) // band]), rows.column("c").combine_chunks().slice(0, 1),
+                pa.array([name]), pa.array([first + (name & 0xFFFFFFFF) % parts]), rows.column("c").combine_chunks().slice(0, 1),
                 rows.column("_in").combine_chunks().slice(0, 1), pa.array([float(r.min())]), pa.array([float(r.max())]), pa.array([near], kinds),
                 pa.array([rows.num_rows]), pa.array([rows.column("p").to_numpy().tobytes()]), pa.array([rows.column("w").to_numpy().tobytes()]),
                 pa.array([np.ascontiguousarray(x).tobytes()]),
@@ -184,12 +205,12 @@ def meeting_blocks(blocks: DataFrame, linked: dict[int, int], eps: float, margin
 
 
 def _cells(pairs: DataFrame, blocks: DataFrame, payload: list[str]):
-    """Pairs and the blocks they need, grouped by (band, band)."""
-    lists = pairs.groupBy("a_band", "b_band").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))  # BAND x BAND at most
-    cell = [F.col("a_band").alias("_one"), F.col("b_band").alias("_two")]
+    """Pairs and the blocks they need, grouped by (band, band); a pair of blocks stands in the cell of the smaller band first."""
+    cell = [F.least("a_band", "b_band").alias("_one"), F.greatest("a_band", "b_band").alias("_two")]
+    lists = pairs.select(*cell, "a", "b")
     needed = pairs.select(*cell, F.explode(F.array("a", "b")).alias("block")).distinct()
     bytes_of = needed.join(blocks.select("block", *payload), "block")
-    return lists.groupBy("a_band", "b_band"), bytes_of.groupBy("_one", "_two")
+    return lists.groupBy("_one", "_two"), bytes_of.groupBy("_one", "_two")
 
 
 def pivot_dbscan(
@@ -207,22 +228,25 @@ def pivot_dbscan(
     d = len(cols)
     pivot_ids, at = choose_pivots(points, pivots)
     if not len(pivot_ids):
-        none = F.lit(None).cast("bigint")
+        none = F.lit(NOISE).cast("bigint")
         return rows.select(F.col("_id").alias(id_col), none.alias("cluster"), F.lit(0).alias("core"), F.lit(1).alias("noise"))
     laid, blocks, pairs, linked = _laid_out(points, pivot_ids, at, eps, min_samples, block)
 
     def loaded(table: pa.Table, extra: Sequence[str] = ()) -> dict:
         found = {}
-        for row in table.to_pylist():
-            x = np.frombuffer(row["cells"]).reshape(-1, d)
-            found[row["block"]] = (x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["weights"], np.int64), *(row[k] for k in extra))
+        column = {k: table.column(k) for k in ("block", "cells", "ids", "weights", *extra)}
+        for at in range(table.num_rows):  # the bytes stay where Arrow has them
+            x, p, w = (np.frombuffer(column[k][at].as_buffer(), t) for k, t in (("cells", np.float64), ("ids", np.int64), ("weights", np.int64)))
+            found[column["block"][at].as_py()] = (x.reshape(-1, d), p, w, *(column[k][at].as_py() for k in extra))
         return found
 
+    def listed(lists: pa.Table):
+        return zip(lists.column("a").to_pylist(), lists.column("b").to_pylist())
+
     def counts(lists: pa.Table, needed: pa.Table) -> pa.Table:
         held = loaded(needed)
         total = {name: np.zeros(len(v[1]), np.int64) for name, v in held.items()}
-        for pair in (x for cell in lists.column("pairs").to_pylist() for x in cell):
-            a, b = pair["a"], pair["b"]
+        for a, b in listed(lists):
             near = within(held[a][0], held[b][0], eps)
             total[a] += near @ held[b][2]
             if a != b:
@@ -239,6 +263,16 @@ def pivot_dbscan(
     cores = counted.groupBy("block").applyInArrow(flags, "block long, core binary")
     flagged = materialise(blocks.select("block", "c", "ball", "n", "ids", "weights", "cells").join(cores, "block", "left"))
 
+    def core_flags(ids: np.ndarray, flag: bytes | None, ball: bool) -> np.ndarray:
+        """A block without counts met nothing, not even itself: its distances are no numbers."""
+        found = np.full(len(ids), ball) if ball or flag is None else np.frombuffer(flag, bool)
+        return found & (ids != NO_ID)
+
+    def distinct(touches: list[np.ndarray], group: np.ndarray) -> np.ndarray:
+        """Border points next to the groups they touch, as the groups are now, each once."""
+        both = np.concatenate(touches, axis=1) if touches else np.zeros((2, 0), np.int64)
+        return np.unique(np.stack([both[0], group[both[1]]]), axis=1)
+
     def forest(lists: pa.Table, needed: pa.Table) -> pa.Table:
         held = loaded(needed, ("core", "ball"))
         begin, core, ids, n = {}, [], [], 0
@@ -246,11 +280,10 @@ def pivot_dbscan(
             begin[name] = n
             n += len(p)
             ids.append(p)
-            core.append(np.ones(len(p), bool) if ball else np.frombuffer(flag, bool))
+            core.append(core_flags(p, flag, ball))
         ids, core, group = np.concatenate(ids), np.concatenate(core), np.arange(n)
-        edges, touches = [], []
-        for pair in (x for cell in lists.column("pairs").to_pylist() for x in cell):
-            a, b = pair["a"], pair["b"]
+        edges, touches, room = [], [], TOUCHES
+        for a, b in listed(lists):
             i, j = np.nonzero(within(held[a][0], held[b][0], eps))
             i, j = i + begin[a], j + begin[b]
             both = core[i] & core[j]
@@ -269,10 +302,12 @@ def pivot_dbscan(
                     parent = up
                 group = parent[group]
             for p, q in ((i, j), (j, i)):
-                rim = ~core[p] & core[q]
+                rim = ~core[p] & core[q] & (ids[p] != NO_ID)
                 touches.append(np.unique(np.stack([p[rim], group[q[rim]]]), axis=1))
-        touching = np.concatenate(touches, axis=1) if touches else np.zeros((2, 0), np.int64)
-        touching = np.unique(np.stack([touching[0], group[touching[1]]]), axis=1)
+            if sum(t.shape[1] for t in touches) > room:
+                touches = [distinct(touches, group)]
+                room = TOUCHES + 2 * touches[0].shape[1]
+        touching = distinct(touches, group)
         found = np.concatenate([*edges, ids[touching]], axis=1) if edges or touching.size else np.zeros((2, 0), np.int64)
         kinds = np.r_[np.zeros(found.shape[1] - touching.shape[1], bool), np.ones(touching.shape[1], bool)]
         return pa.table([pa.array(found[0]), pa.array(found[1]), pa.array(kinds)], names=["u", "v", "rim"])
@@ -282,7 +317,7 @@ def pivot_dbscan(
     spark = df.sparkSession
     # Balls: all points hang on their pivot, and pivots of one group on the first of them.
     of_ball = spark.createDataFrame([(c, int(pivot_ids[c])) for c in linked] or [(-1, -1)], "c long, v long")
-    stars = laid.filter("ball").join(F.broadcast(of_ball), "c").select(F.col("p").alias("u"), "v")
+    stars = laid.filter("ball").filter(F.col("p") != NO_ID).join(F.broadcast(of_ball), "c").select(F.col("p").alias("u"), "v")
     tied = spark.createDataFrame([(int(pivot_ids[c]), int(pivot_ids[g])) for c, g in linked.items()] or [(-1, -1)], "u long, v long")
     edges = links.filter("not rim").select("u", "v").unionByName(stars).unionByName(tied).filter("u <> v")
     roots = components(materialise(edges))
@@ -291,7 +326,7 @@ def pivot_dbscan(
         for batch in batches:
             for ids, flag, ball in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 p = np.frombuffer(ids, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(p if ball else p[np.frombuffer(flag, bool)])], ["p"])
+                yield pa.RecordBatch.from_arrays([pa.array(p[core_flags(p, flag, ball)])], ["p"])
 
     core_points = flagged.select("ids", "core", "ball").mapInArrow(core_ids, "p long")
     named = materialise(

@@ -78,3 +78,45 @@ def test_distances_at_the_limit():
     a = np.full((3, 4), 1e6)
     b = a + np.array([[1.0, 0, 0, 0], [1.0 + 1e-9, 0, 0, 0], [0, 0, 0, 1.0]])
     assert pivots.within(a, b, 1.0).tolist() == [[True, False, True]] * 3
+
+
+def test_bands_follow_the_points_not_the_partitions():
+    """As many bands for many points as for few; only large bands are cut further, and a large pivot is dealt over several."""
+    for n in (10, 100, 5000):
+        made = pivots.band_numbers({c: n for c in range(512)}, 8 * 66)
+        assert max(first + parts for _, first, parts in made) <= 2 * pivots.BANDS
+        assert [c for c, _, _ in made] == list(range(512))
+    (one, after) = pivots.band_numbers({3: 1_000_000, 4: 10}, 8 * 66)
+    assert one[:2] == (3, 0) and one[2] >= pivots.BANDS and after[1] == one[2]
+    large = pivots.band_numbers({0: 40_000_000}, 8 * 66)
+    assert large[0][2] >= 40_000_000 * 8 * 66 / pivots.BAND_BYTES
+
+
+def test_bands_of_a_query(spark):
+    """Every partition used to begin bands of its own."""
+    ids, x = crowd(4, 28)
+    df, cols = frame(spark, ids, x)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        _, points = pivots._points(df, cols, "id", False)
+        pivot_ids, at = pivots.choose_pivots(points)
+        _, blocks, _, _ = pivots._laid_out(points, pivot_ids, at, 3.2, 5, 4)
+        assert blocks.select("band").distinct().count() <= 2 * pivots.BANDS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_rows_without_id_are_noise_and_neighbours(spark):
+    """Five points within reach: the one without an id counts as a neighbour but names nothing."""
+    x = np.array([[0.0] * 9, [0.1] * 9, [0.2] * 9, [0.3] * 9, [0.4] * 9, [50.0] * 9])
+    df, cols = frame(spark, np.arange(6), x)
+    df = df.selectExpr("if(id = 2, null, id) as id", *cols)
+    made = {r["id"]: (r["cluster"], r["core"], r["noise"]) for r in pivots.pivot_dbscan(df, cols, 1.3, standardise=False).collect()}
+    assert made == {**{i: (0, 1, 0) for i in (0, 1, 3, 4)}, None: (-1, 0, 1), 5: (-1, 0, 1)}
+
+
+def test_distances_that_are_no_numbers(spark):
+    df, cols = frame(spark, np.arange(8), np.full((8, 9), np.nan))
+    made = pivots.pivot_dbscan(df, cols, 1.0, standardise=False).collect()
+    assert len(made) == 8 and {(r["cluster"], r["core"]) for r in made} == {(-1, 0)}
