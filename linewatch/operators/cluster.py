@@ -4,6 +4,9 @@ Points are placed in cells so small that all points of a cell are neighbours. A
 *dense*: all of them are core and in one cluster, with no pair computed. Only the few points of sparse cells are compared
 with the points of nearby cells, so a crowd of close points never meets itself pair by pair. Exact copies are merged
 first. Cells near each other are found by a band join that adds coordinates to the bucket of crowded places only.
+
+With more than ``MAX_GRID_COLUMNS`` columns nearly every cell holds one point and has nearly all others nearby, and each further
+coordinate asks up to four times as many buckets. There the points are compared in blocks kept apart by pivots (``pivots``).
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewatch.functions.components import components
+from linewatch.operators.pivots import NOISE, pivot_dbscan
 from linewatch.operators.scaling import apply_scaler, fit_scaler
 from linewatch.session import materialise
 
 MAX_BUCKET_CELLS = 500
-NOISE = -1
+MAX_GRID_COLUMNS = 8
 
 
 def _sum(terms: Sequence[Column]) -> Column:
@@ -99,6 +103,8 @@ def dbscan(
     """
     cols = list(cols)
     d = len(cols)
+    if d > MAX_GRID_COLUMNS:
+        return pivot_dbscan(df, cols, eps, min_samples, id_col, standardise)
     rows = df.select(id_col, *cols)
     rows = apply_scaler(rows, fit_scaler(rows, cols)) if standardise else rows
     rows = materialise(rows.select(F.col(id_col).alias("_id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x")))

@@ -163,3 +163,22 @@ def test_whole_vectors_are_clustered():
     for i in range(64):
         assert f"embedding[{i + 1}]::DOUBLE AS e{i}" in sql and f"(a.e{i} - b.e{i})" in sql
     assert f"<= {catalog.WHOLE_EPS})" in sql
+
+
+def test_whole_vectors_need_no_grid(spark, monkeypatch):
+    """With 64 columns the grid asked four times as many buckets per column; blocks and pivots give the same clusters."""
+
+    def grid(*_):
+        raise AssertionError("a grid of many columns")
+
+    monkeypatch.setattr(cluster, "near_cells", grid)
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(0, 0.5, (60, 64)), rng.normal(4, 0.6, (60, 64)), rng.normal(0, 4, (30, 64))])
+    cols = [f"e{i}" for i in range(64)]
+    pdf = pd.DataFrame(x, columns=cols)
+    pdf.insert(0, "id", np.arange(len(x)))
+    got = cluster.dbscan(spark.createDataFrame(pdf), cols, 6.2, standardise=False).toPandas().sort_values("id", ignore_index=True)
+    label, core = brute_dbscan(x, 6.2, 5)
+    assert core.any() and (label < 0).any()
+    np.testing.assert_array_equal(got["core"], core.astype(int))
+    np.testing.assert_array_equal(got["cluster"], label)
