@@ -3,12 +3,13 @@
 Vectors become integers and are laid down in chunks of rows, each chunk cut into blocks of ``width`` columns. A task holds one
 column block of one chunk and the matching slice of the centroids. Per round:
 
-* every block gives its exact partial distances to the slices, ``reduceByKey`` adds the blocks of a chunk, and the smallest sum
-  names each vector's centroid;
+* every block gives its exact partial distances to the slices, those of a chunk are brought together and added, and the smallest
+  sum names each vector's centroid;
 * the labels go back to the blocks of their chunk, and every column block updates its own slice from its own columns.
 
 The blocks stay where they are (partitioned by block, kept in memory or on local disk, rebuilt from the written table if an
-executor is lost); partial distances and labels travel. All numbers are integers, so results depend on no order.
+executor is lost); partial distances and labels travel. A stage has no more tasks than there are blocks: where partitions outnumber
+them, a task takes several. All numbers are integers, so results depend on no order.
 """
 
 from __future__ import annotations
@@ -144,6 +145,8 @@ def lloyd(blocks: DataFrame, centres: np.ndarray, rounds: int = ROUNDS, width: i
         begin, end = slices[row["block"]]
         return (row["block"], row["chunk"]), np.frombuffer(row["cells"], np.int32).reshape(-1, end - begin)
 
+    count = len(slices)
+    tasks = max(1, min(parts, blocks.count()))
     cells = blocks.select("chunk", "block", "cells").rdd.map(block_of).partitionBy(parts).persist(StorageLevel.MEMORY_AND_DISK)
 
     def assigned(now: np.ndarray):
@@ -153,25 +156,47 @@ def lloyd(blocks: DataFrame, centres: np.ndarray, rounds: int = ROUNDS, width: i
             (block, chunk), values = pair
             return chunk, partial_distances(values, shared.value[block])
 
-        return cells.map(part).reduceByKey(_add, parts).mapValues(_nearest)
+        def whole(pairs):
+            held: dict = {}
+            for chunk, found in pairs:
+                total, seen = held.pop(chunk, (None, 0))
+                total = found if total is None else _add(total, found)
+                if seen + 1 == count:
+                    yield chunk, _nearest(total)
+                else:
+                    held[chunk] = total, seen + 1
 
-    def update(now: np.ndarray) -> np.ndarray:
-        count = len(slices)
+        return cells.coalesce(tasks).map(part).partitionBy(parts).coalesce(tasks).mapPartitions(whole)
 
+    def update(now: np.ndarray) -> np.ndarray:
         def to_blocks(pair):
             chunk, (labels, _) = pair
             return [((block, chunk), labels) for block in range(count)]
 
-        def sums(pairs):
-            total = {}
-            for (block, _), (values, labels) in pairs:
-                s, n = _column_sums(values, labels, k)
+        def added(pairs):
+            total: dict = {}
+            for block, (s, n) in pairs:
                 total[block] = (total[block][0] + s, total[block][1] + n) if block in total else (s, n)
             return total.items()
 
+        def sums(pairs):
+            waiting: dict = {}  # labels, which come first, and then the columns they belong to
+
+            def matched():
+                for key, found in pairs:
+                    other = waiting.pop(key, None)
+                    if other is None:
+                        waiting[key] = found
+                    else:
+                        values, labels = (found, other) if found.ndim == 2 else (other, found)
+                        yield key[0], _column_sums(values, labels, k)
+
+            return added(matched())
+
         labels = assigned(now).flatMap(to_blocks).partitionBy(parts)
+        met = labels.union(cells).partitionBy(parts).coalesce(tasks)  # both lie by block already
         # One entry per column block: together as large as the centroids.
-        found = cells.join(labels, parts).mapPartitions(sums).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1])).collect()
+        found = met.mapPartitions(sums).partitionBy(parts).coalesce(min(tasks, count)).mapPartitions(added).collect()
         made = now.astype(object)
         for block, (s, n) in found:
             begin, end = slices[block]

@@ -78,3 +78,28 @@ def test_components_that_overflow_are_refused(spark):
     rows = [(1, [1e6] * 64, 0, "", "")]
     with pytest.raises(Exception, match="overflow"):
         centroids.centroid_clusters(spark.createDataFrame(rows, SCHEMA)).collect()
+
+
+def test_rounds_run_no_more_tasks_than_blocks(spark):
+    """With many shuffle partitions and few blocks every stage of a round ran a task per partition."""
+    rng = np.random.default_rng(8)
+    table = spark.createDataFrame([(i, rng.normal(0, 1, 8).tolist()) for i in range(60)], "vec_id long, embedding array<double>").coalesce(2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    wanted = {tuple(r) for r in centroids.centroid_clusters(table, dims=8, width=4, rounds=2).collect()}
+    context = spark.sparkContext
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        blocks = centroids.column_blocks(centroids.integer_vectors(table, dims=8), 8, 4)
+        whole = centroids.integer_vectors(table, dims=8)
+        start = centroids.starting_centroids(whole)
+        context.setJobGroup("rounds", "rounds")
+        labels, _, cells = centroids.lloyd(blocks, start, rounds=2, width=4)
+        labels.collect()
+        cells.unpersist()
+        stages = [i for job in context.statusTracker().getJobIdsForGroup("rounds") for i in context.statusTracker().getJobInfo(job).stageIds]
+        tasks = [s.numTasks for s in map(context.statusTracker().getStageInfo, stages) if s]
+        assert tasks and max(tasks) <= 8
+        assert {tuple(r) for r in centroids.centroid_clusters(table, dims=8, width=4, rounds=2).collect()} == wanted
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
