@@ -6,6 +6,7 @@ Results are made comparable across engines: doubles rounded, stamps as epoch sec
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -318,23 +319,28 @@ def _(spark, folder):
     return _shown(_streamed(spark, src.stream_readings(spark, path), "followed"))
 
 
-def grow_logs(lines: DataFrame, path: str, share: tuple[float, float]) -> None:
-    """Append a share of the bytes of four log files, written by the tasks; a cut may fall inside a line."""
+def append_share(rows, path: str, share: tuple[float, float], sizes: dict[int, int]) -> None:
+    """Append a share of the bytes of each file's lines, line by line: no more is held than a write buffer."""
+    store, inner = file_store(path)
+    for number, mine in groupby(rows, key=lambda r: r["_file"]):
+        begin, end = (int(sizes[number] * s) for s in share)
+        at = 0
+        with store.open_append_stream(f"{inner}/log-{number}", buffer_size=1 << 20) as file:
+            for r in mine:
+                data = f"{r['value']}\n".encode()
+                file.write(data[max(begin - at, 0) : max(end - at, 0)])
+                at += len(data)
 
-    def append(rows) -> None:
-        texts: dict[int, list[str]] = {}
-        for r in rows:
-            texts.setdefault(r["_file"], []).append(r["value"])
-        store, inner = file_store(path)
-        for number, values in texts.items():
-            data = ("\n".join(values) + "\n").encode()
-            with store.open_append_stream(f"{inner}/log-{number}") as file:
-                file.write(data[int(len(data) * share[0]) : int(len(data) * share[1])])
 
+def grow_logs(lines: DataFrame, path: str, share: tuple[float, float]) -> None:
+    """Append a share of the bytes of four log files, written by the tasks; a cut may fall inside a line."""
+    placed = lines.select("value", "ts", "seq", (F.col("day") % 4).cast("int").alias("_file"))
+    # One number per file: the bytes of its lines and their line feeds.
+    sizes = {r["_file"]: r["n"] for r in placed.groupBy("_file").agg(F.sum(F.octet_length("value") + 1).alias("n")).collect()}
     store, inner = file_store(path)
     store.create_dir(inner)
-    placed = lines.select("value", "ts", "seq", (F.col("day") % 4).cast("int").alias("_file"))
-    placed.repartition(4, "_file").sortWithinPartitions("_file", "ts", "seq").foreachPartition(append)
+    ordered = placed.repartition(4, "_file").sortWithinPartitions("_file", "ts", "seq")
+    ordered.foreachPartition(lambda rows: append_share(rows, path, share, sizes))
 
 
 @query("S4_follow_growing_logs")

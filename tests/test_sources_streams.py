@@ -404,3 +404,27 @@ def test_stream_from_timestamp(spark, logs, tmp_path):
 
 def test_feature_names():
     assert len(ROLLUP_COLUMNS) == 19 and len(PAIR_FEATURE_COLUMNS) == 28 and np.unique(PAIR_FEATURE_COLUMNS).size == 28
+
+
+def test_growing_logs_are_written_line_by_line(tmp_path):
+    """The lines of a file used to be collected before their share was cut."""
+    from linewatch.plans.catalog import append_share
+
+    held, most = [0], [0]
+
+    class Text(str):
+        def __init__(self, _):
+            held[0] += 1
+            most[0] = max(most[0], held[0])
+
+        def __del__(self):
+            held[0] -= 1
+
+    texts = {0: [f"lïne {i}" for i in range(500)], 3: ["x" * 70, "y"]}
+    sizes = {f: len(("\n".join(t) + "\n").encode()) for f, t in texts.items()}
+    for share in ((0.0, 0.3), (0.3, 0.5), (0.5, 1.0)):
+        append_share(({"_file": f, "value": Text(v)} for f, t in texts.items() for v in t), str(tmp_path), share, sizes)
+        for f, t in texts.items():
+            whole = ("\n".join(t) + "\n").encode()
+            assert (tmp_path / f"log-{f}").read_bytes() == whole[: int(len(whole) * share[1])]
+    assert most[0] <= 4
