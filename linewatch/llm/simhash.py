@@ -126,10 +126,18 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) ->
     return nodes[np.array(forest.a, int)], nodes[np.array(forest.b, int)]
 
 
+def tile_tasks(prints: DataFrame, size: int = TILE) -> tuple[int, int]:
+    """How many tasks cut the tiles, one per full tile and one per shuffle partition at most, and the most tiles they can make."""
+    full = -(-prints.count() // size)
+    tasks = max(1, min(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), full))
+    return tasks, full + tasks
+
+
 def tiles(prints: DataFrame, size: int = TILE) -> DataFrame:
     """Distinct fingerprints ``_fp`` in tiles: ``_tile``, ``_low``, ``_high`` (population counts), ``_box`` and ``_fps`` (bytes).
 
-    A range partitioning by counts brings like fingerprints together; a partition is cut every ``size`` rows.
+    A range partitioning by counts brings like fingerprints together; a partition is cut every ``size`` rows. Neighbouring
+    partitions that would not fill a tile go through one task, as every pair of tiles costs a comparison.
     """
     quarters = [F.bit_count(F.shiftrightunsigned("_fp", 16 * q).bitwiseAND(F.lit(0xFFFF))) for q in range(_QUARTERS)]
     total = F.bit_count("_fp")
@@ -138,7 +146,7 @@ def tiles(prints: DataFrame, size: int = TILE) -> DataFrame:
     laid = prints.select("_fp", *[r.alias(f"_k{i}") for i, r in enumerate(ranks)])
     keys = [f"_k{i}" for i in range(len(ranks))]
     parts = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    laid = laid.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("_fp")
+    laid = laid.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("_fp").coalesce(tile_tasks(prints, size)[0])
 
     def cut(batches):
         held = np.array([], np.int64)
@@ -217,7 +225,8 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
         return each
 
     pairs = tile_pairs(tiles(prints, tile), radius).select("a", "b", "_left", "_right")
-    parts = 4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = tile_tasks(prints, tile)[1]
+    parts = min(4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), most * (most + 1) // 2)
     return arrow_map(pairs.repartition(parts, "a", "b"), make, "_u long, _v long", tidy=True)
 
 

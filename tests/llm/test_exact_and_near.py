@@ -182,3 +182,18 @@ def test_empty_tables(spark):
     assert simhash.keep_one(none).columns == none.columns
     assert simhash.keep_one(none).count() == 0
     assert substring_dedup.substring_dedup(none).count() == 0
+
+
+def test_few_fingerprints_make_few_tiles(spark):
+    """Every shuffle partition used to cut a tile of its own, and the pairs of all those went to four times as many tasks."""
+    from linewatch.llm import simhash
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        prints = spark.range(700).selectExpr("xxhash64(id) as _fp")
+        made = simhash.tiles(prints, 100).collect()
+        assert sum(len(r["_fps"]) for r in made) == 8 * 700 and len(made) <= 14
+        assert simhash.links(prints, tile=400).rdd.getNumPartitions() <= 10
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
