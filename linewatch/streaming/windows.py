@@ -39,6 +39,8 @@ _LISTS = {
 _PART = "kind string, time_window long, src string, dst string, stretch int, " + ", ".join(f"{c} array<{t}>" for c, t in _LISTS.items())
 _LATE = "ts double, seq long, address long, value double"
 _NO_SEQ = np.iinfo(np.int64).min
+HELD_BYTES = 4 << 20  # readings gathered before they go to the state
+YIELD_VALUES = 1 << 16  # numbers of the parts that are returned at once
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -210,6 +212,7 @@ class Stretches(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         new: dict[int, list[bytes]] = {}
+        first, size = None, 0
         for batch in rows:
             batch["seq"] = batch["seq"].fillna(_NO_SEQ) if batch["seq"].isna().any() else batch["seq"]
             for window, mine in batch.groupby("time_window", sort=False):
@@ -219,9 +222,14 @@ class Stretches(StatefulProcessor):
                     data = np.column_stack([mine[c].to_numpy(np.float64) for c in self.kept if c != "seq"])
                     packed = len(mine).to_bytes(8, "little") + mine["seq"].to_numpy(np.int64).tobytes() + data.tobytes()
                     new.setdefault(int(window), []).append(packed)
+                    first, size = min(int(window), int(window) if first is None else first), size + len(packed)
+            if size > HELD_BYTES:
+                self.held.appendList([(w, b"".join(found)) for w, found in new.items()])
+                new, size = {}, 0
         if new:
             self.held.appendList([(w, b"".join(found)) for w, found in new.items()])
-            self.handle.registerTimer(self._end_ms(min(new)))
+        if first is not None:
+            self.handle.registerTimer(self._end_ms(first))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """All windows that end before the watermark at once; the earliest of the others gets the next timer.
@@ -246,7 +254,15 @@ class Stretches(StatefulProcessor):
             self.held.clear()
         src, dst, stretch = key
         names = {"kind": WINDOW, "src": src, "dst": dst, "stretch": stretch}
-        yield self._frame([{**names, "time_window": w, **part_of(self._unpacked(b"".join(x)), self.profile)} for w, x in done.items()])
+        parts, size = [], 0
+        for window in list(done):  # packed bytes are few; a part lists its numbers, so only some parts are made at a time
+            parts.append({**names, "time_window": window, **part_of(self._unpacked(b"".join(done.pop(window))), self.profile)})
+            size += sum(len(parts[-1][c]) for c in _LISTS)
+            if size > YIELD_VALUES:
+                yield self._frame(parts)
+                parts, size = [], 0
+        if parts:
+            yield self._frame(parts)
 
     def _unpacked(self, data: bytes) -> dict[str, np.ndarray]:
         """The pieces that batches have appended, each a count, the sequence numbers, and the other columns row by row."""
@@ -317,18 +333,19 @@ def stream_windows(
 
     def merged(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         late = found[found["kind"] == LATE].reindex(columns=columns)
+        listed = found[found["kind"] == WINDOW].to_dict("records")
         rows = []
-        for window, parts_ in found[found["kind"] == WINDOW].groupby("time_window"):
-            listed = parts_.to_dict("records")
+        if listed:
             row = register_row(listed, float(window_seconds), min_count) if profile == "register" else record_row(listed)
             if row:
-                rows.append([WINDOW, window, *key, *row, None, None, None, None])
+                rows.append([WINDOW, *key, *row, None, None, None, None])
         whole = pd.DataFrame(rows, columns=columns)
         return pd.concat([whole.astype(object), late.astype(object)]) if len(late) else whole
 
     numbers = ", ".join(f"{c} double" for c in ROLLUP_COLUMNS)
     schema = f"kind string, time_window long, src string, dst string, {numbers}, {_LATE}"
-    return parts.groupBy("src", "dst").applyInPandas(merged, schema)
+    # A group is one window of a pair, not all windows a batch completes.
+    return parts.groupBy("time_window", "src", "dst").applyInPandas(merged, schema)
 
 
 def windows_of(found: DataFrame, profile: str) -> DataFrame:

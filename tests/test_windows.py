@@ -91,3 +91,67 @@ def test_engine_drops_late_readings_if_asked(spark, tmp_path):
         q.awaitTermination()
     assert sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"]) == 3
     assert {r["time_window"]: r["read_count_sum"] for r in spark.read.parquet(out).collect()} == {w: 11.0 if w == 9 else 10.0 for w in range(10)}
+
+
+class Held:
+    """A list state that remembers how it was filled."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers = [], 0, []
+
+    def appendList(self, rows):
+        self.rows += rows
+        self.calls += 1
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_group_hands_over_some_windows_at_a_time(monkeypatch):
+    """All windows of a pair's stretch, as lists of numbers, used to be one frame; all its readings went to the state at once."""
+    import pandas as pd
+
+    monkeypatch.setattr(win, "YIELD_VALUES", 300)
+    monkeypatch.setattr(win, "HELD_BYTES", 4000)
+    step = win.Stretches("register", 10.0)
+    step.held = step.handle = Held()
+
+    def batch(b):
+        ts = np.arange(200) + 0.25 + 0.01 * b
+        rows = {"time_window": (ts // 10).astype(int), "src": "a", "dst": "b", "ts": ts, "seq": np.arange(200) + 200 * b}
+        return pd.DataFrame(rows | {"address": 1, "value": ts * 3 + b})
+
+    assert list(step.handleInputRows(("a", "b", 0), iter([batch(b) for b in range(5)]), Mark(0))) == []
+    assert step.held.calls > 1 and step.held.timers == [10_000]
+    frames = list(step.handleExpiredTimer(("a", "b", 0), Mark(195_000), None))
+    assert len(frames) > 3 and max(len(f) for f in frames) < 5
+    made = pd.concat(frames)
+    assert sorted(made["time_window"]) == list(range(19)) and sum(x[0] for x in made["n"]) == 19 * 50
+    assert {w for w, _ in step.held.rows} == {19} and step.held.timers[-1] == 200_000
+
+
+def test_parts_are_merged_window_by_window(spark, tmp_path):
+    """All windows a batch completed for a pair used to be merged in one group."""
+    live.use_rocksdb(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    found = win.stream_windows(src.stream_readings(spark, str(folder)), 10, "5 seconds", "register", 3)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandas [time_window" in plan
