@@ -42,13 +42,20 @@ def text_bytes(column: str | Column) -> Column:
 
 BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_READ = "spark.sql.parquet.columnarReaderBatchSize"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold ``BATCH_BYTES`` at most in this session: rows here are whole texts, not a few numbers."""
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let Arrow batches hold ``most`` bytes in this session: rows here are whole texts, not a few numbers."""
     now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
-    if not 0 < now <= BATCH_BYTES:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    if not 0 < now <= most:
+        spark.conf.set(_BATCH, str(most))
+
+
+def bound_reads(spark: SparkSession, most: int) -> None:
+    """Let Parquet be read ``most`` rows at once in this session: a reader holds the texts of all of them, twice as it grows."""
+    if int(spark.conf.get(_READ)) > most:
+        spark.conf.set(_READ, str(most))
 
 
 def give_back() -> None:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linewatch.llm.common import bound_batches, give_back, mix64, numbered, release_stores, text_bytes, written
@@ -144,6 +144,12 @@ def packed(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     return local.join(bases, ["_place", "_chunk"]).withColumn("_begin", F.col("_base") + F.col("_at")).drop("_chunk", "_at", "_base")
 
 
+def target_table(spark: SparkSession, plans: Sequence[Target]) -> DataFrame:
+    """``_name, _place, _source_size, _target``, from Arrow: a list of tuples would keep a second pool of Python workers alive."""
+    columns = [("_name", pa.string(), "source"), ("_place", pa.int64(), "place"), ("_source_size", pa.int64(), "size"), ("_target", pa.float64(), "target")]
+    return spark.createDataFrame(pa.table({name: pa.array([getattr(p, field) for p in plans], kind) for name, kind, field in columns}))
+
+
 def slots(spark, plans: Sequence[Target], block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """The mix: ``shard, slot, _place, _pass, _block, _words``, one row per slot."""
     total = sum(p.slots for p in plans)
@@ -254,9 +260,7 @@ def mix(
         docs.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("_source"), word_count(text_col).alias("_size"))
     )
     plans = plan_targets(source_sizes(slim), weights, total, most, block)
-    table = spark.createDataFrame(
-        [(p.source, p.place, p.size, p.target) for p in plans], "_name string, _place long, _source_size long, _target double"
-    )
+    table = target_table(spark, plans)
     placed = slim.join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
     rows = materialise(packed(placed))
     dealt = written(slots(spark, plans, block, shard_slots, seed), "slots")  # a file's size is known to the planner

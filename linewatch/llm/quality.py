@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,6 +111,15 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = BINS, ridge: float = 1.0, roun
     return model
 
 
+def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of id, label and text with the text's measures in its place; what other operators left in the worker goes first."""
+    release_stores()
+    for batch in batches:
+        rows = [measures(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["i", "y", "x"])
+        give_back()
+
+
 def labelled_measures(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Measures and labels of at most ``sample`` labelled documents, those whose ids hash lowest."""
     chosen = (
@@ -122,16 +131,11 @@ def labelled_measures(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
         .limit(sample)
     )
 
-    def run(batches):
-        for batch in batches:
-            rows = [measures(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["i", "y", "x"])
-
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_t"))
     rows = (
         texts.join(F.broadcast(chosen), "_id")  # at most ``sample`` rows of two numbers
         .select("_id", "_y", "_t")
-        .mapInArrow(run, "i long, y int, x array<double>")
+        .mapInArrow(measured, "i long, y int, x array<double>")
         .orderBy("i", "x")
         .limit(sample)
         .toPandas()

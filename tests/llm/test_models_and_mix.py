@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -257,3 +258,52 @@ def test_pipeline(spark, tmp_path):
             assert docs.filter("doc_id = 2000").count() == 0
     assert counts[0] > counts[1] > counts[2] > counts[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == counts[-1]
+
+
+def test_every_stage_keeps_batches_small(spark, monkeypatch):
+    import corpus_pipeline
+    from linewatch.llm.common import arrow_map
+
+    own = spark.newSession()
+    batch, read = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    docs = own.range(0, 8, 1, 1).selectExpr("id as doc_id", "repeat('a', 1000000) as text")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
+    for module, name in (
+        (corpus_pipeline.quality, "accepted"), (corpus_pipeline.simhash, "keep_one"), (corpus_pipeline.decontaminate, "without_contaminated"),
+        (corpus_pipeline.mixing, "mixed_documents"), (corpus_pipeline.token_files, "encode_documents"),
+    ):
+        monkeypatch.setattr(module, name, lambda docs, *_, **__: arrow_map(docs, lambda: sizes, "bytes long"))
+
+    def sizes(rows):
+        return pa.RecordBatch.from_arrays([pa.array([sum(len(t) for t in rows.column(1).to_pylist())])], ["bytes"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        own.conf.unset(batch)
+        own.conf.unset(read)
+        found = [r["bytes"] for r in stage(own, docs, "").collect()]
+        assert sum(found) == 8_000_000, name
+        assert max(found) <= corpus_pipeline.BATCH_BYTES + 1_000_000, name
+        assert int(own.conf.get(read)) <= 1024, name
+        own.conf.set(batch, "1m")
+        own.conf.set(read, "100")
+        stage(own, docs, "")
+        assert (own.conf.get(batch), own.conf.get(read)) == ("1m", "100"), name  # smaller wishes stay
+
+
+def test_measuring_frees_what_others_left():
+    from linewatch.llm.common import release_stores, worker_store
+
+    worker_store("encoders")["words"] = [0] * 1000
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0], pa.int32()), pa.array([b"one two"])], ["i", "y", "t"])
+    (found,) = quality.measured(iter([batch]))
+    assert found.column(2).to_pylist() == [quality.measures(b"one two")]
+    assert not worker_store("encoders")
+    release_stores()
+
+
+def test_targets_need_no_python_workers(spark):
+    plans = mixing.plan_targets([("b", 10), (None, 7), ("a", 0)])
+    made = mixing.target_table(spark, plans)
+    assert [tuple(r) for r in made.collect()] == [(p.source, p.place, p.size, p.target) for p in plans]
+    assert "ExistingRDD" not in made._jdf.queryExecution().executedPlan().toString()
+    assert mixing.target_table(spark, []).count() == 0
