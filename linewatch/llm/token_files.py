@@ -9,9 +9,11 @@ only, skip the rest of a file.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ TOKENIZER = "byte_bpe_50k.json"
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 CACHE_WORDS = 200_000  # words remembered per Python worker, about 30 MB; more save time on wide vocabularies
-ENCODED_ROWS = 32  # texts encoded together: their words and ids stay in the processor's cache
+ENCODED_ROWS = 128  # texts whose ids are gathered together
+LEARNT_PIECES = 4096  # new words given to the library at once, which makes objects for all their tokens
 STORE = "encoders"
 
 
@@ -38,7 +41,7 @@ class Encoder:
     The vocabulary's pattern cuts a text before every single blank and around every single line feed that stands between other
     characters, and tokens never span a cut, so the ids of a text are those of its pieces. It also cuts between a letter or
     digit and a closing mark. Each piece is encoded by the library once and remembered; texts with runs of white space are
-    given to the library whole.
+    given to the library whole. Many texts are cut at once: each distinct piece is looked up once, and the ids are gathered.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -52,78 +55,142 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # one character of a token stands for one byte
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.limit = limit
-        self.known: dict[str, bytes] = {}
-        self.marks = {m: self._whole(m).tobytes() for m in _MARKS}
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-
-    def _learn(self, pieces: list[str], heads: list[str]) -> None:
-        """Remember new pieces: one text for all of them, cut where the bytes of the tokens reach the ends of the pieces.
-
-        ``heads`` stand at the beginning of texts, without a blank before them, and are remembered under names with a blank.
-        """
-        placed = [p if p[0] == "\n" else f" {p}" for p in pieces]
-        made = self.library.encode_batch_fast(["".join(placed), *heads], add_special_tokens=False)
-        for head, encoded in zip(heads, made[1:]):
-            self.known[f" {head}"] = np.array(encoded.ids, self.kind).tobytes()
-        ids = np.array(made[0].ids, self.kind)
-        ends = np.cumsum(np.fromiter(map(len, map(str.encode, placed)), np.int64, len(placed)))
-        cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.kind.itemsize
-        raw, cuts = ids.tobytes(), cuts.tolist()
-        self.known.update(zip(pieces, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.marks = {m: self._whole(m) for m in _MARKS}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Remember new pieces: one text for many of them, cut where the bytes of the tokens reach the ends of the pieces."""
+        for at in range(0, len(pieces), LEARNT_PIECES):
+            some = pieces[at : at + LEARNT_PIECES]
+            placed = [p if p[0] == 10 else b" " + p for p in some]
+            made = self.library.encode_batch_fast([b"".join(placed).decode()], add_special_tokens=False)[0]
+            ids = np.array(made.ids, self.kind)
+            ends = np.cumsum(np.fromiter(map(len, placed), np.int64, len(placed)))
+            cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.kind.itemsize
+            raw, cuts = ids.tobytes(), cuts.tolist()
+            self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+
+    def _learn_heads(self, heads: list[bytes]) -> None:
+        """Remember words that begin a text, without a blank before them, under names with a blank."""
+        for at in range(0, len(heads), LEARNT_PIECES):
+            some = heads[at : at + LEARNT_PIECES]
+            made = self.library.encode_batch_fast([h.decode() for h in some], add_special_tokens=False)
+            self.known.update((b" " + h, np.array(m.ids, self.kind).tobytes()) for h, m in zip(some, made))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.known) > self.limit:
-            self.known.clear()  # frequent words are back soon
-        known, get, added = self.known, self.known.get, self.added
-        cuts = [t.replace("\n", " \n").split(" ") for t in texts]
-        found = [list(map(get, c)) for c in cuts]
-        whole = []
-        gaps = []  # places of the pieces not known yet
-        new: dict[str, None] = {}
-        marked: dict[str, None] = {}
-        heads: dict[str, None] = {}
-        for text, cut, ids in zip(texts, cuts, found):
-            ids[0] = b""  # the first piece has no blank before it
-            gap = [j for j, i in enumerate(ids) if i is None]
-            gaps.append(gap)
-            fresh = [cut[j] for j in gap]
-            alone = any(a in text for a in added) or not cut[0] or cut[0][0].isspace() or cut[0][-1].isspace() or not all(map(_regular, fresh))
-            whole.append(alone)
-            if not alone:
-                if f" {cut[0]}" not in known:
-                    heads[cut[0]] = None
-                for p in fresh:
-                    if p[-1] in _MARKS and p[-2:-1].isalnum():
-                        marked[p] = None
-                        p = p[:-1]
-                    if p not in known:
-                        new[p] = None
-        if new or heads:
-            self._learn(list(new), list(heads))
-        for p in marked:
-            known[p] = known[p[:-1]] + self.marks[p[-1]]
-        out = []
-        for text, cut, ids, gap, alone in zip(texts, cuts, found, gaps, whole):
-            if alone:
-                out.append(self._whole(text))
-                continue
-            for j in gap:
-                ids[j] = known[cut[j]]
-            ids[0] = known[f" {cut[0]}"]
-            out.append(np.frombuffer(b"".join(ids), self.kind))
-        return out
+        made = self.encoded(pa.array(texts, pa.large_string()))
+        return [ids for lengths, flat in made for ids in np.split(flat, np.cumsum(lengths)[:-1])]
+
+    def encoded(self, texts: pa.Array, room: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(lengths, ids)`` of every ``ENCODED_ROWS`` texts (large strings without nulls), with ``room`` zeros after each text."""
+        if not len(texts):
+            return
+        if len(self.known) > self.limit // 2:
+            self.older, self.known = self.known, {}  # words still in use come back from the older half
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = lists.offsets.to_numpy().astype(np.int64)
+        begins -= begins[0]
+        pieces = _bytes_of(coded.dictionary)
+        del lists, coded
+        known = self.known
+        values = list(map(known.get, pieces))
+        new = [i for i, v in enumerate(values) if v is None]
+        if self.older:
+            for i in new:
+                if (v := self.older.get(pieces[i])) is not None:
+                    values[i] = known[pieces[i]] = v
+            new = [i for i in new if values[i] is None]
+        heads = [pieces[c] for c in code[begins[:-1]].tolist()]
+        # Texts to be given to the library whole.
+        odd = np.zeros(len(pieces), bool)
+        odd[[i for i, p in zip(new, _strings([pieces[i] for i in new])) if not _regular(p)]] = True
+        inner = np.ones(len(code), bool)
+        inner[begins[:-1]] = False  # the first piece has no blank before it
+        alone = np.array([not h or h[0].isspace() or h[-1].isspace() for h in _strings(heads)], bool)
+        alone[np.searchsorted(begins, np.flatnonzero(odd[code] & inner), "right") - 1] = True
+        for a in self.added:
+            alone |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        # New words of the other texts.
+        whole = np.repeat(alone, np.diff(begins))
+        used = np.zeros(len(pieces), bool)
+        used[code[inner & ~whole]] = True
+        new = [i for i in new if used[i]]
+        marked = []
+        fresh: dict[bytes, None] = {}
+        for i in new:
+            p = pieces[i]
+            if p[-1:] in _MARK_BYTES and _follows_word(p):
+                marked.append(i)
+                p = p[:-1]
+            if p not in known:
+                fresh[p] = None
+        self._learn(list(fresh))
+        self._learn_heads([h for h in dict.fromkeys(h for h, w in zip(heads, alone.tolist()) if not w) if b" " + h not in known])
+        for i in marked:
+            known[pieces[i]] = known[pieces[i][:-1]] + self.marks[pieces[i][-1:].decode()]
+        for i in new:
+            values[i] = known[pieces[i]]
+        # What stands for each piece: its own ids, those of a text's beginning or of a whole text, the room, or nothing.
+        code[begins[:-1]] = np.arange(len(values), len(values) + len(texts))
+        values += [self._whole(texts[j].as_py()) if w else known[b" " + h] for j, (h, w) in enumerate(zip(heads, alone.tolist()))]
+        nothing = len(values) + 1
+        code[whole & inner] = nothing
+        values = [v or b"" for v in values] + [bytes(room * self.kind.itemsize), b""]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(values), self.kind)
+        starts = np.cumsum(sizes) - sizes
+        for at in range(0, len(texts), ENCODED_ROWS):
+            cut = begins[at : at + ENCODED_ROWS + 1]
+            part = np.insert(code[cut[0] : cut[-1]], cut[1:] - cut[0], nothing - 1)
+            many = sizes[part]
+            ends = np.cumsum(many)
+            ids = flat[np.repeat(starts[part] - ends + many, many) + np.arange(ends[-1])]
+            yield np.diff(ends[cut[1:] - cut[0] + np.arange(len(cut) - 1)], prepend=0), ids
+
+
+def _bytes_of(words: pa.Array) -> list[bytes]:
+    """Distinct large strings as bytes."""
+    _, places, data = words.buffers()
+    offsets = np.frombuffer(places, np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
+def _strings(pieces: list[bytes]) -> list[str]:
+    """Pieces, which hold no blank, as strings."""
+    return b" ".join(pieces).decode().split(" ") if pieces else []
+
+
+def _follows_word(piece: bytes) -> bool:
+    """Whether a letter or digit stands before the last byte, a mark."""
+    before = piece[-2:-1]
+    return before.isalnum() if before < b"\x80" else piece.decode()[-2].isalnum()
+
+
+def _texts(column: pa.Array) -> pa.Array:
+    """Bytes as strings; what is no UTF-8 becomes replacement characters."""
+    column = column.cast(pa.large_binary())
+    try:
+        return column.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") for t in column.to_pylist()], pa.large_string())
 
 
 _MARKS = ".,"
+_MARK_BYTES = (b".", b",")
 
 
 def _regular(piece: str) -> bool:
     """Not empty, and no white space at its ends but one line feed before another character: no part of a longer run."""
     inner = piece[1:] if piece[:1] == "\n" else piece
-    return bool(inner) and not inner[0].isspace() and not inner[-1].isspace()
+    return bool(inner) and inner.strip() == inner
 
 
 def _encoder(path: str, limit: int) -> Encoder:
@@ -161,17 +228,14 @@ def write_tokens(
         coder = _encoder(tokenizer, cache_words)
         for batch in batches:
             release_stores(STORE)
-            for at in range(0, batch.num_rows, ENCODED_ROWS):
-                rows = batch.slice(at, ENCODED_ROWS)
-                ids = coder.encode([t.decode("utf-8", "replace") for t in rows.column(1).to_pylist()])
-                lengths = np.array([len(i) + 1 for i in ids], np.int64)
+            at = 0
+            for lengths, ids in coder.encoded(_texts(batch.column(1)), room=1):
                 ends = np.cumsum(lengths)
-                flat = np.empty(int(ends[-1]), np.int32)
-                for i, end in zip(ids, ends.tolist()):
-                    flat[end - 1 - len(i) : end - 1] = i
+                flat = ids.astype(np.int32)
                 flat[ends - 1] = end_id
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lengths), lists], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(lengths)), pa.array(lengths), lists], ["doc_id", "n_tokens", "ids"])
+                at += len(lengths)
             give_back()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -72,6 +72,41 @@ def test_remembered_words_give_the_librarys_ids(texts):
         assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+class Counted(dict):
+    """A dictionary that counts lookups."""
+
+    asked = 0
+
+    def get(self, *key):
+        self.asked += 1
+        return super().get(*key)
+
+
+def test_a_repeated_word_is_looked_up_once():
+    coder, plain = token_files.Encoder(token_files.tokenizer_path()), _plain()
+    coder.known = Counted()
+    texts = ["the cat sat on the mat and the dog, " * 40 + "end.", "the cat\nthe dog " * 50 + "x", "", "one  two"] * 3
+    assert [g.tolist() for g in coder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 0 < coder.known.asked < 50
+
+
+def test_words_in_use_stay_remembered():
+    coder, learnt = token_files.Encoder(token_files.tokenizer_path(), limit=60), []
+    learn = coder._learn
+    coder._learn = lambda pieces, *rest: (learnt.extend(pieces), learn(pieces, *rest))[1]
+    for i in range(12):
+        coder.encode(["a frequent word " + " ".join(f"{'abcdefghijkl'[i]}{'mnopqrstuvwxyz'[j]}" for j in range(14))])
+    assert sum(p in (b"frequent", "frequent") for p in learnt) == 1
+
+
+def test_damaged_bytes_are_encoded_with_replacement_characters():
+    texts = token_files._texts(pa.array([b"a b", b"c \xff d", "é ü".encode()]))
+    plain = _plain()
+    (lengths, ids), = _coder().encoded(texts, room=1)
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in ("a b", "c \ufffd d", "é ü")]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
 _made: dict = {}
 
 
