@@ -157,7 +157,7 @@ def token_batches(docs: DataFrame, id_col: str, text_col: str, held_out: Column,
             ends = np.r_[begins[1:], len(order)]
             for b, e, packed in zip(begins, ends, pack_words(words.take(pa.array(order)), ends)):
                 mine = order[b:e]
-                rows.append((name, int(owner[mine[0]]), None, None, None, pack(mine), pack(counts[mine]), packed))
+                rows.append((name, int(owner[mine[0]]), None, None, None, pack(np.diff(mine, prepend=0)), pack(counts[mine]), packed))
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
             give_back()
@@ -214,14 +214,14 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def word_numbers(batches: DataFrame) -> tuple[DataFrame, Counts]:
     """``(batch, numbers, words)``, written down: the corpus-wide number of every local word, and the counts by number."""
     spark = batches.sparkSession
-    rows = batches.filter("part >= 0").select("batch", "part", "numbers", "counts", "words")
+    rows = batches.filter("part >= 0")
 
     def histogram(table: pa.Table) -> pa.Table:
         _, total, _ = _merged(table)
         counts, n = np.unique(total, return_counts=True)
         return pa.table({"part": pa.array(np.full(len(n), table.column("part")[0].as_py()), pa.int32()), "count": counts, "n": n.astype(np.int64)})
 
-    heights = written(rows.groupBy("part").applyInArrow(histogram, "part int, count long, n long"), "word-counts")
+    heights = written(rows.select("part", "counts", "words").groupBy("part").applyInArrow(histogram, "part int, count long, n long"), "word-counts")
     steps = heights.filter("count > 0").groupBy("count").agg(F.sum("n").alias("n")).limit(MOST_COUNTS + 1).collect()
     if len(steps) > MOST_COUNTS:
         raise ValueError(f"more than {MOST_COUNTS} distinct word counts")
@@ -247,7 +247,7 @@ def word_numbers(batches: DataFrame) -> tuple[DataFrame, Counts]:
         cuts = np.split(numbers[place], np.cumsum(sizes)[:-1])
         return pa.table({"batch": table.column("batch"), "numbers": table.column("numbers"), "words": pa.array([pack(c) for c in cuts], pa.binary())})
 
-    named = rows.groupBy("part").cogroup(offsets.groupBy("part")).applyInArrow(number, "batch long, numbers binary, words binary")
+    named = rows.select("batch", "part", "numbers", "counts", "words").groupBy("part").cogroup(offsets.groupBy("part")).applyInArrow(number, "batch long, numbers binary, words binary")
     return written(named, "word-numbers"), vocabulary
 
 
@@ -310,7 +310,7 @@ def grams_of(row: dict, numbered: pa.Table, at: Counts) -> Grams:
     width = int(local.max(initial=0)) + 2
     names = np.empty(width, np.int64)
     for places, words in zip(numbered.column("numbers").to_pylist(), numbered.column("words").to_pylist()):
-        names[unpack(places).astype(np.int64)] = unpack(words)
+        names[np.cumsum(unpack(places).astype(np.int64))] = unpack(words)
     names[width - 1] = at.start
     begins = np.cumsum(lengths) - lengths
     middle = np.r_[0, local[:-1]]
@@ -617,27 +617,26 @@ def language_model_scores(
     plan = Shards.planned(at, tokens, shard_tokens, hot_tokens)
     shared = spark.sparkContext.broadcast((at, plan))
 
-    def asking(hot: bool | None):
-        """The trigrams of a batch for its shards: all of them, those for shards of split words only, or the others."""
-
-        def ask(rows: pa.Table, names: pa.Table) -> pa.Table:
-            at, plan = shared.value
-            row = _batch_row(rows)
-            g = grams_of(row, names, at)
-            asked, shard = plan.asked(g, at)
-            if hot is not None:
-                asked, shard = asked[x := (shard >= plan.cold) == hot], shard[x]
-            cuts = _runs(shard)
-            made = [
-                (row["batch"], int(shard[b]), *(pack(v[asked[b:e]]) for v in (g.first, g.middle, g.last, g.trained)))
-                for b, e in zip(cuts, np.r_[cuts[1:], len(shard)])
-            ]
-            columns = list(zip(*made)) if made else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-            return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["batch", "shard", "first", "middle", "last", "trained"])
-
-        asks = texts.groupBy("batch").cogroup(numbered.groupBy("batch"))
-        return asks.applyInArrow(ask, "batch long, shard long, first binary, middle binary, last binary, trained binary")
+    def ask(rows: pa.Table, names: pa.Table) -> pa.Table:
+        """The trigrams of a batch for its shards."""
+        at, plan = shared.value
+        row = _batch_row(rows)
+        g = grams_of(row, names, at)
+        asked, shard = plan.asked(g, at)
+        cuts = _runs(shard)
+        made = [
+            (row["batch"], int(shard[b]), *(pack(v[asked[b:e]]) for v in (g.first, g.middle, g.last, g.trained)))
+            for b, e in zip(cuts, np.r_[cuts[1:], len(shard)])
+        ]
+        columns = list(zip(*made)) if made else [[]] * 6
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["batch", "shard", "first", "middle", "last", "trained"])
+
+    # Batches travel once, for asking and for scoring, and trigrams once, for the sums of contexts and for the answers: it is all one
+    # query, in which Spark uses equal shuffles again.
+    asks = texts.groupBy("batch").cogroup(numbered.groupBy("batch")).applyInArrow(
+        ask, "batch long, shard long, first binary, middle binary, last binary, trained binary"
+    )
 
     def columns_of(table: pa.Table) -> tuple[list[np.ndarray], list[int]]:
         found, sizes = [], []
@@ -658,13 +657,16 @@ def language_model_scores(
         return pa.table({"batch": table.column("batch"), "shard": table.column("shard"), "logs": pa.array([pack(c) for c in cuts], pa.binary())})
 
     reply = "batch long, shard long, logs binary"
-    replies = asking(False if len(plan.hot) else None).groupBy("shard").applyInArrow(lambda table: answers(table, None), reply)
-    if len(plan.hot):
-        hot = written(asking(True), "hot-trigrams")
+    if not len(plan.hot):
+        replies = asks.groupBy("shard").applyInArrow(lambda table: answers(table, None), reply)
+    else:
 
         def contexts(table: pa.Table) -> pa.Table:
             """Sums and distinct successors of the contexts asked for in this shard; last words are dealt out, so both add up over
-            shards."""
+            shards. Other shards have their contexts whole."""
+            names = ["shard", "middle", "first", "n", "kinds"]
+            if table.column("shard")[0].as_py() < shared.value[1].cold:
+                return pa.table([pa.array([], pa.int64())] * len(names), names=names)
             (first, middle, last, trained), _ = columns_of(table)
             made = []
             for pair in (first, np.full(len(first), -1)):
@@ -676,19 +678,21 @@ def language_model_scores(
                 made.append((m[runs], p[runs], np.add.reduceat(n, runs), np.add.reduceat(kind.astype(np.int64), runs)))
             cols = [np.concatenate(c) for c in zip(*made)]
             shard = np.full(len(cols[0]), table.column("shard")[0].as_py(), np.int64)
-            return pa.table([pa.array(c.astype(np.int64)) for c in (shard, *cols)], names=["shard", "middle", "first", "n", "kinds"])
+            return pa.table([pa.array(c.astype(np.int64)) for c in (shard, *cols)], names=names)
 
-        partial = hot.groupBy("shard").applyInArrow(contexts, "shard long, middle long, first long, n long, kinds long")
+        partial = asks.groupBy("shard").applyInArrow(contexts, "shard long, middle long, first long, n long, kinds long")
         whole = Window.partitionBy("middle", "first")  # one row per shard of the word
         sums = partial.select("shard", "middle", "first", F.sum("n").over(whole).alias("n"), F.sum("kinds").over(whole).alias("kinds"))
 
         def with_totals(table: pa.Table, sums: pa.Table) -> pa.Table:
+            if table.column("shard")[0].as_py() < shared.value[1].cold:
+                return answers(table, None)
             m, f, n, k = (sums.column(c).to_pylist() for c in ("middle", "first", "n", "kinds"))
             return answers(table, {(a, b): (x, y) for a, b, x, y in zip(m, f, n, k)})
 
-        replies = replies.unionByName(hot.groupBy("shard").cogroup(sums.groupBy("shard")).applyInArrow(with_totals, reply))
+        replies = asks.groupBy("shard").cogroup(sums.groupBy("shard")).applyInArrow(with_totals, reply)
 
-    returned = written(replies, "answers").select("batch", "shard", "logs", F.lit(None).cast("binary").alias("numbers"), F.lit(None).cast("binary").alias("words"))
+    returned = replies.select("batch", "shard", "logs", F.lit(None).cast("binary").alias("numbers"), F.lit(None).cast("binary").alias("words"))
     both = returned.unionByName(numbered.select("batch", F.lit(-1).cast("long").alias("shard"), F.lit(None).cast("binary").alias("logs"), "numbers", "words"))
     schema = f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -711,4 +715,4 @@ def language_model_scores(
         columns += [pa.array(np.full(len(known), at.tokens, np.int64)), pa.array(base), pa.array(total)]
         return pa.table(columns, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return texts.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(score, schema)
+    return written(texts.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(score, schema), "scores")

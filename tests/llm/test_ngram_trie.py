@@ -102,6 +102,22 @@ def test_other_folds_and_no_training_texts(spark):
     assert nt.language_model_scores(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_batches_and_trigrams_travel_once(spark, monkeypatch):
+    """Also with split words: the trigrams of a batch are made once, and texts are shuffled once for asking and scoring."""
+    plans, write = {}, nt.written
+
+    def noted(df, name):
+        df.collect()
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return write(df, name)
+
+    monkeypatch.setattr(nt, "written", noted)
+    rows = random_rows(3)
+    compare(nt.language_model_scores(frame(spark, rows), shard_tokens=500, hot_tokens=20, codes=1 << 20, exact=True), brute(rows))
+    assert not {"hot-trigrams", "answers"} & set(plans)
+    assert plans["scores"].count("FlatMapCoGroupsInArrow") == 3 and plans["scores"].count("ReusedExchange") == 2
+
+
 def test_held_out_texts_are_likelier_than_by_words_alone(spark):
     """Texts from a chain of words: who comes next depends on the word before."""
     rng = random.Random(3)
